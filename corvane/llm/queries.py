@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and the SQL that repeats them."""
 
-from corvane.llm import chat_format, decontaminate, mixing, url_filter
+from corvane.llm import chat_format, decontaminate, mixing, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_chat_format": chat_format.op4_chat_format,
     "op8_mixing": mixing.op8_mixing,
