@@ -1,11 +1,13 @@
 """The registered queries of the training-data operators and the SQL that repeats them."""
 
-from corvane.llm import chat_format, decontaminate, mixing, simhash, url_filter
+from corvane.llm import chat_format, decontaminate, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_quality": quality.op5_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
 }
