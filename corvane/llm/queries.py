@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and the SQL that repeats them."""
 
-from corvane.llm import ann, chat_format, decontaminate, mixing, quality, simhash, toxicity, url_filter
+from corvane.llm import ann, chat_format, decontaminate, mixing, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_quality": quality.op5_quality,
+    "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
