@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators and the SQL that repeats them."""
 
-from corvane.llm import ann, chat_format, decontaminate, mixing, quality, simhash, toxicity, url_filter, warc
+from corvane.llm import ann, chat_format, decontaminate, hmm, mixing, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op10_ann": ann.op10_ann,
+    "op2_hmm": hmm.op2_hmm,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_quality": quality.op5_quality,
