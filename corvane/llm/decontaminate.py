@@ -137,8 +137,8 @@ def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> li
     return shards
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``documents`` with a struct ``leak`` (n_words, n_hit, items): words, words inside any occurrence of a
+def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, into: str = "leak") -> DataFrame:
+    """``documents`` with a struct ``into`` (n_words, n_hit, items): words, words inside any occurrence of a
     benchmark window, and the ids of the items with occurring windows, sorted as strings.
 
     Null and empty texts have no words. All other columns and repeated rows stay as they are.
@@ -152,12 +152,12 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     some = F.exists(hits, lambda h: F.octet_length(h) > 0)
     count = F.arrow_udf(_join_hits, returnType="bigint")
     leak = F.struct(F.col(f"{found[0]}.n_words").alias("n_words"), F.when(some, count(hits)).otherwise(F.lit(0)).cast("long").alias("n_hit"), items.alias("items"))
-    return documents.withColumn("leak", leak).drop(*found)
+    return documents.withColumn(into, leak).drop(*found)
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns."""
-    return find_leaks(documents, benchmark).filter(F.col("leak.n_hit") == 0).drop("leak")
+    return find_leaks(documents, benchmark, into="__leak").filter(F.col("__leak.n_hit") == 0).drop("__leak")
 
 
 def items_digest(items: Column) -> Column:

@@ -57,28 +57,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
     return poured.select("source", "source_size", target.alias("target"))
 
 
-def plan_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``documents`` with a struct ``mix`` (size, source_size, target, copies), one row per document.
+def plan_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, into: str = "mix") -> DataFrame:
+    """``documents`` with a struct ``into`` (size, source_size, target, copies), one row per document.
 
     Null texts have size 0; a null source is a source of its own; a source without words has rate 0.
     Equal rows get equal copies, and reruns agree.
     """
     sizes = documents.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
     targets = source_targets(sizes, weights, budget, cap)
-    t = targets.select(F.col("source").alias("__s"), F.struct("source_size", "target").alias("__t"))
+    t = targets.select(F.col("source").alias("__source"), F.struct("source_size", "target").alias("__target"))
     t = materialise(t, "targets")
     small = t.count() <= BROADCAST_SOURCES
-    joined = documents.join(F.broadcast(t) if small else t, F.col("source").eqNullSafe(F.col("__s")), "left")
-    rate = F.when(F.col("__t.source_size") > 0, F.col("__t.target") / F.col("__t.source_size")).otherwise(0.0)
+    joined = documents.join(F.broadcast(t) if small else t, F.col("source").eqNullSafe(F.col("__source")), "left")
+    rate = F.when(F.col("__target.source_size") > 0, F.col("__target.target") / F.col("__target.source_size")).otherwise(0.0)
     copies = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text")) < rate - F.floor(rate), 1).otherwise(0)
-    mix = F.struct(word_count(F.col("text")).alias("size"), F.col("__t.source_size").alias("source_size"), F.col("__t.target").alias("target"), copies.cast("long").alias("copies"))
-    return joined.withColumn("mix", mix).drop("__s", "__t")
+    mix = F.struct(word_count(F.col("text")).alias("size"), F.col("__target.source_size").alias("source_size"), F.col("__target.target").alias("target"), copies.cast("long").alias("copies"))
+    return joined.withColumn(into, mix).drop("__source", "__target")
 
 
 def mix_documents(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The mixture: every document as often as its source's rate says, numbered by ``copy`` from 1."""
-    planned = plan_mix(documents, weights, budget, cap).filter(F.col("mix.copies") > 0)
-    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).drop("mix")
+    """The mixture: every document as often as its source's rate says, its copies numbered from 1 in ``mix_copy``
+    (a column of that name is replaced)."""
+    planned = plan_mix(documents, weights, budget, cap, "__mix").filter(F.col("__mix.copies") > 0)
+    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))).drop("__mix")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
