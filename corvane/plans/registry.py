@@ -1,5 +1,7 @@
 """Registered queries by name and the SQL that repeats them."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from corvane.plans import retrieval_queries
+
+FLAGSHIP = "hybrid_topk"
+QUERIES = {**retrieval_queries.QUERIES}
+ORACLES = {**retrieval_queries.ORACLES}
