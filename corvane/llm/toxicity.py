@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import blocks, bytes_of, crc_mod, materialise, table, text_udf
 from corvane.llm.decontaminate import words_of
-from corvane.llm.quality import trusted
+from corvane.llm.quality import sums, trusted
 
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 8192, 2048, 24, 64
 #: Least log-likelihood ratio of a term with the label (a chance of about one in two thousand).
@@ -217,8 +217,14 @@ def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, ter
     vocabulary = associated_terms(materialise(texts, "examples"), terms)
     table_ = materialise(documents.select("doc_id", vectors(F.col("text"), vocabulary).alias("vector")), "vectors")
     n = table_.count()
-    seen = {r["term"]: r["df"] for r in table_.select(F.explode("vector.terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
-    idf = np.array([np.log((n + 1) / (seen.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
+
+    def partial(batch: pa.RecordBatch) -> np.ndarray:
+        terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
+        return np.bincount(terms.astype(np.int64), minlength=len(vocabulary)).astype(np.float64)
+
+    seen = sums(table_.select(F.col("vector.terms").alias("terms")), partial) if vocabulary else np.zeros(0)
+    seen = seen if len(seen) else np.zeros(len(vocabulary))
+    idf = np.log((n + 1) / (seen + 1)) + 1
     rows = table_.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     bare = [r["label"] == 1 for r in rows if not r["vector"]["terms"]]
     rows = [r for r in rows if r["vector"]["terms"]]
