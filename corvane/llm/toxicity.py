@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-The vocabulary is the terms that the labelled examples associate with either class (log-likelihood
-ratio); document frequencies are counted over all documents. Examples lie in the index in the order
+The vocabulary is the terms that the labelled examples associate with toxicity: words, beginnings of
+words, and repeated ones; a term's TF-IDF weight is scaled by the strength of its association (the
+root of its log-likelihood ratio). Document frequencies are counted over all documents. Examples lie in the index in the order
 of their strongest terms, in blocks, with each term's largest weight per block: a text's blocks are
 scored from the highest upper bound down until no bound reaches the k-th best cosine, so the
 neighbours are exact. Votes weighted by cosine, shrunk towards the rate among examples, give the
@@ -62,14 +63,14 @@ class _Known(dict):
         return got
 
 
-def vectors(text: Column, vocabulary: list[tuple[str, int]]) -> Column:
+def vectors(text: Column, vocabulary: list[tuple[str, int, float]]) -> Column:
     """The vocabulary's terms in a whole text, by term number, with the counts of their grams.
 
     A term is a gram with a level: it belongs to texts that hold the gram at least so often.
     """
-    grams = {g: i for i, g in enumerate(sorted({g for g, _ in vocabulary}))}
+    grams = {g: i for i, g in enumerate(sorted({g for g, *_ in vocabulary}))}
     terms: dict[int, list[tuple[int, int]]] = {}
-    for number, (gram, level) in enumerate(vocabulary):
+    for number, (gram, level, _) in enumerate(vocabulary):
         terms.setdefault(grams[gram], []).append((level, number))
     known: list[_Known] = []
 
@@ -106,8 +107,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def associated_terms(examples: DataFrame, most: int = TERMS, least: float = ASSOCIATED) -> list[tuple[str, int]]:
-    """Terms (gram, level) of rows (text, label) whose presence goes with the label, strongest first, ``most`` at most."""
+def associated_terms(examples: DataFrame, most: int = TERMS, least: float = ASSOCIATED) -> list[tuple[str, int, float]]:
+    """Terms (gram, level, log-likelihood ratio) of rows (text, label) that the label makes likelier, strongest first,
+    ``most`` at most."""
     n, n1 = examples.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
     if not n1 or n1 == n:
         return []
@@ -116,8 +118,8 @@ def associated_terms(examples: DataFrame, most: int = TERMS, least: float = ASSO
     cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     df, a, share = F.col("df"), F.col("a"), n1 / n
     ratio = 2 * (cell(a, df * share) + cell(df - a, df * (1 - share)) + cell(F.lit(n1) - a, (F.lit(n) - df) * share) + cell(F.lit(n - n1) - df + a, (F.lit(n) - df) * (1 - share)))
-    best = counts.filter(df > 1).withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    return [(r["gram"], r["level"]) for r in best.orderBy(F.desc("ratio"), "gram", "level").limit(most).collect()]
+    best = counts.filter((df > 1) & (a > df * share)).withColumn("ratio", ratio).filter(F.col("ratio") >= least)
+    return [(r["gram"], r["level"], r["ratio"]) for r in best.orderBy(F.desc("ratio"), "gram", "level").limit(most).collect()]
 
 
 @dataclass
@@ -168,8 +170,7 @@ class Index:
             slots = (terms[:, None] * self.blocks + todo[None, :]).ravel()
             first, length = self.cuts[slots], self.cuts[slots + 1] - self.cuts[slots]
             rows = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-            got = np.zeros(len(self.ids))
-            np.add.at(got, self.places[rows], np.repeat(np.repeat(q, len(todo)), length) * self.weights[rows])
+            got = np.bincount(self.places[rows], np.repeat(np.repeat(q, len(todo)), length) * self.weights[rows], len(self.ids))
             found = np.flatnonzero(got)
             places, scores = np.r_[places, found], np.r_[scores, got[found]]
             order = np.lexsort((self.ids[places], -np.round(scores, 12)))[:k]
@@ -209,7 +210,7 @@ def sample_labels(labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
     return trusted(labels, "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[list[tuple[str, int]], DataFrame, Index]:
+def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[list[tuple[str, int, float]], DataFrame, Index]:
     """Vocabulary, the table (doc_id, vector) of all documents, and the index of the labelled examples."""
     spark = documents.sparkSession
     chosen = spark.createDataFrame(sample_labels(labels, examples).collect(), "doc_id bigint, label int")
@@ -224,7 +225,7 @@ def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, ter
 
     seen = sums(table_.select(F.col("vector.terms").alias("terms")), partial) if vocabulary else np.zeros(0)
     seen = seen if len(seen) else np.zeros(len(vocabulary))
-    idf = np.log((n + 1) / (seen + 1)) + 1
+    idf = (np.log((n + 1) / (seen + 1)) + 1) * np.sqrt([ratio for *_, ratio in vocabulary])
     rows = table_.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     bare = [r["label"] == 1 for r in rows if not r["vector"]["terms"]]
     rows = [r for r in rows if r["vector"]["terms"]]
