@@ -64,10 +64,17 @@ def search_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(text), r"(?U)\s+", " "))
 
 
-def keep_first(values: Column, key: Callable[[Column], Column]) -> Column:
-    """The values of an array whose key is not empty and did not occur before, in order."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1))
+def keep_first(values: Column, key: Callable[[Column], Column], seen: Column | None = None) -> Column:
+    """The values of an array whose key is not empty and did not occur before, nor is ``seen``, in order."""
+    pairs = F.transform(values, lambda x: F.struct(key(x).alias("key"), x.alias("value")))
+    none = F.array().cast("array<string>")
+    start = F.struct((none if seen is None else F.array(seen)).alias("keys"), none.alias("values"))
+
+    def step(s: Column, p: Column) -> Column:
+        more = F.struct(F.concat(s["keys"], F.array(p["key"])).alias("keys"), F.concat(s["values"], F.array(p["value"])).alias("values"))
+        return F.when((p["key"] != "") & ~F.array_contains(s["keys"], p["key"]), more).otherwise(s)
+
+    return F.aggregate(pairs, start, step, lambda s: s["values"])
 
 
 def file_name(path: Column) -> Column:
