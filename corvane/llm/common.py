@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import checkpoint, materialise, shared_dir
+
+__all__ = ["blocks", "bytes_of", "checkpoint", "crc_mod", "materialise", "shared_dir", "table", "text_udf"]
+
 #: Bytes of text that one block of rows holds inside a task, unless a single row is longer.
 BLOCK_BYTES = 16 << 20
 
@@ -23,47 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none is a temporary folder of this machine set (tests).
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: what a lost executor held is read again from the table, not recomputed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def bytes_of(text: Column) -> Column:
     """UTF-8 bytes of a text, empty for null."""
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
