@@ -44,7 +44,8 @@ def bm25_scores(documents: DataFrame, query: str, fields: Mapping[str, Column])
     tokens = {f"__{name}": tokenize(F.coalesce(text, F.lit(""))) for name, text in fields.items()}
     count = lambda own: F.transform(asked, lambda w: F.size(F.filter(own, lambda t: t == w)))
     measured = documents.withColumns(tokens)
-    measured = measured.withColumns({c: F.struct(F.size(c).alias("length"), count(F.col(c)).alias("tf")) for c in tokens})
+    measured = measured.withColumns({c: F.struct(F.size(c).alias("length"), F.filter(c, lambda t: t.isin(*terms)).alias("own")) for c in tokens})
+    measured = measured.withColumns({c: F.struct(f"{c}.length", count(F.col(f"{c}.own")).alias("tf")) for c in tokens})
     sums = [F.count("*").alias("n")]
     for c in tokens:
         held = [F.sum((F.get(F.col(f"{c}.tf"), i) > 0).cast("long")) for i in range(len(terms))]

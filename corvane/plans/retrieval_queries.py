@@ -10,6 +10,7 @@ from corvane.functions.text import in_folder
 from corvane.operators import bm25, chunk_search, document_search, hybrid, paths, references
 from corvane.plans import corpora, sql
 from corvane.plans.corpora import C_CHUNKS, C_EDGES, C_NODES, table
+from corvane.sources.shared import materialise
 
 QUERY = "the and of the world with tion"
 GRAPH_QUERY = "which red widget does nation 3 get from supplier 000000007"
@@ -193,9 +194,14 @@ def paths_2hop_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two).select(F.array_join("ns", ">").alias("nodes"), F.array_join("es", ">").alias("edges"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, nodes and edges as tables, as a knowledge base holds them: several steps read them."""
+    return materialise(corpora.chunks(spark, sf_dir), "chunks"), materialise(corpora.nodes(spark, sf_dir), "nodes"), materialise(corpora.edges(spark, sf_dir), "edges")
+
+
 @query("graph_paths")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.graph_paths(corpora.chunks(spark, sf_dir), corpora.nodes(spark, sf_dir), corpora.edges(spark, sf_dir), GRAPH_QUERY)
+    found = paths.graph_paths(*stored(spark, sf_dir), GRAPH_QUERY)
     return found.select(F.array_join("node_ids", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edges"), F.array_join("chunk_ids", ",").alias("chunks"), r9("score"))
 
 
@@ -215,7 +221,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hybrid_topk")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, _ = hybrid.retrieve(corpora.chunks(spark, sf_dir), corpora.nodes(spark, sf_dir), corpora.edges(spark, sf_dir), GRAPH_QUERY)
+    hits, _ = hybrid.retrieve(*stored(spark, sf_dir), GRAPH_QUERY)
     return hits.select("id", "source", "index", r9("score"), r9("relevance"))
 
 

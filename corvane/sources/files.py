@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import in_folder
@@ -22,13 +23,17 @@ def discover(spark: SparkSession, folder: str, suffixes: Sequence[str] = MARKDOW
     return files.filter(ending.isin(*suffixes))
 
 
+def relative(path: Column, folder: str) -> Column:
+    """A file's path below a folder; local paths may come with or without their scheme."""
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.substring_index(plain, re.sub("^file:/+", "/", folder).rstrip("/") + "/", -1)
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(source, markdown) of the Markdown files under a folder: paths relative to it, newlines made alike."""
     rows = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    root = F.lit(folder.rstrip("/") + "/")
-    relative = F.substring_index("path", root, -1)
     rows = rows.filter(F.lower("path").endswith(".md"))
-    return rows.select(relative.alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("markdown"))
+    return rows.select(relative(F.col("path"), folder).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("markdown"))
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
