@@ -79,3 +79,11 @@ def cached_vectors(inputs: DataFrame, cache: DataFrame, model: str, embed) -> Da
     fresh = missing.select("embedding_input_hash", embed(F.col("text")).cast("array<float>").alias("fresh"))
     rows = rows.join(fresh, "embedding_input_hash", "left")
     return rows.select("id", "embedding_model", "embedding_input_hash", F.coalesce("own", "same", "fresh").alias("vector"))
+
+
+def reusable(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The keys whose stored manifest equals the expected one in every setting, nulls included: their conversion stands."""
+    settings = [c for c in expected.columns if c != key]
+    left = expected.select(key, F.struct(*settings).alias("wanted"))
+    right = stored.select(key, F.struct(*settings).alias("found"))
+    return left.join(right, key).filter(F.col("wanted").eqNullSafe(F.col("found"))).select(key)

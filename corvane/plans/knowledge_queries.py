@@ -257,6 +257,31 @@ def dropped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.chunk_graph(*extracted(spark, sf_dir))[2].select("chunk_id", "ord", F.array_join("missing", ",").alias("missing"))
 
 
+@query("chunk_graph_counters", f"""WITH {X}, n AS (SELECT chunk_id, count(*) AS raw_nodes, sum(CASE WHEN structural THEN 0 ELSE 1 END) AS kept_nodes FROM xn GROUP BY chunk_id), r AS (SELECT chunk_id, count(*) AS raw_edges FROM xe GROUP BY chunk_id),
+k AS (SELECT chunk_id, count(DISTINCT (s, t, label)) FILTER (s IS NOT NULL AND t IS NOT NULL) AS kept_edges, count(*) FILTER (s IS NULL OR t IS NULL) AS dropped_edges FROM xj GROUP BY chunk_id)
+SELECT n.chunk_id, raw_nodes::BIGINT AS raw_nodes, kept_nodes::BIGINT AS kept_nodes, coalesce(raw_edges, 0)::BIGINT AS raw_edges, coalesce(kept_edges, 0)::BIGINT AS kept_edges, coalesce(dropped_edges, 0)::BIGINT AS dropped_edges FROM n LEFT JOIN r USING (chunk_id) LEFT JOIN k USING (chunk_id)""")
+def chunk_graph_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = extracted(spark, sf_dir)
+    kept, named, dropped = extraction.chunk_graph(nodes, edges)
+    return extraction.counters(nodes, kept, edges, named, dropped)
+
+
+@query("reusable_conversions", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 1")
+def reusable_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests with a setting changed in a third of the rows, and another lost in a quarter; null equals null."""
+    wanted = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"))
+    status = F.when(F.col("o_orderkey") % 3 == 0, F.concat("o_orderstatus", F.lit("?"))).otherwise(F.col("o_orderstatus"))
+    stored = wanted.filter("o_orderkey % 4 <> 1").withColumn("o_orderstatus", status)
+    return sync.reusable(wanted, stored, "o_orderkey")
+
+
+@query("row_changes", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'I' WHEN c_custkey % 5 = 1 THEN 'D' WHEN c_custkey % 5 = 2 THEN 'U' ELSE '=' END AS change FROM customer")
+def row_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    balance = F.when(F.col("c_custkey") % 5 == 2, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    return sync.row_changes(rows.filter("c_custkey % 5 <> 0"), rows.filter("c_custkey % 5 <> 1").withColumn("c_acctbal", balance), "c_custkey")
+
+
 def _suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit(" Part"))).otherwise(F.concat(F.lower("p_type"), F.lit("--part")))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring
-from corvane.functions.text import in_folder
-from corvane.operators import bm25, chunk_search, document_search, hybrid, paths, references
+from corvane.functions.text import in_folder, source_key
+from corvane.operators import bm25, chunk_search, context, document_search, hybrid, paths, references
 from corvane.plans import corpora, sql
 from corvane.plans.corpora import C_CHUNKS, C_EDGES, C_NODES, table
+from corvane.sources.export import viewer_nodes
 from corvane.sources.shared import materialise
 
 QUERY = "the and of the world with tion"
@@ -272,3 +273,55 @@ def page_range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_index = Window.partitionBy("source").orderBy("index")
     return corpora.chunks(spark, sf_dir).select("id", F.lag("id").over(by_index).alias("previous"), F.lead("id").over(by_index).alias("next"))
+
+
+_NODE_TEXT = "n.label || ' [' || n.type || ']' || CASE WHEN len(n.aliases) > 0 THEN ' | aliases: ' || array_to_string(n.aliases, ', ') ELSE '' END || coalesce(' | suggested type: ' || n.suggested_type, '') || coalesce(' | properties: ' || n.properties, '')"
+_LINES = C_SCORES + f""", nl AS (SELECT chunk_id, list({_NODE_TEXT} ORDER BY n.id) AS lines FROM (SELECT unnest(chunk_ids) AS chunk_id, n FROM c_nodes n) GROUP BY chunk_id),
+el AS (SELECT chunk_id, list(line ORDER BY id) AS lines FROM (SELECT e.chunk_ids[1] AS chunk_id, e.id, s.label || ' --' || e.label || '--> ' || t.label AS line FROM c_edges e JOIN c_nodes s ON s.id = e.source JOIN c_nodes t ON t.id = e.target) GROUP BY chunk_id)"""
+
+
+@query("searchable_text", "WITH " + _LINES + """ SELECT c.id, concat_ws(chr(10), 'Source:' || chr(10) || source, 'Heading:' || chr(10) || array_to_string(heading_path, ' > '), 'Content:' || chr(10) || text,
+'Entities:' || chr(10) || array_to_string(nl.lines, chr(10)), 'Relationships:' || chr(10) || array_to_string(el.lines, chr(10))) AS searchable FROM c_chunks c LEFT JOIN nl ON nl.chunk_id = c.id LEFT JOIN el ON el.chunk_id = c.id""")
+def searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_search.searchable_text(annotated(spark, sf_dir)).select("id", "searchable")
+
+
+@query("context_blocks", "WITH " + _LINES + """ SELECT c.id, concat_ws(chr(10), '[' || c.id || ' | ' || source || ' | ' || CASE WHEN page_start = page_end THEN 'p. ' || page_start ELSE 'pp. ' || page_start || '-' || page_end END || ' | ' || array_to_string(heading_path, ' > ') || ']', text,
+'Linked entities:' || chr(10) || '- ' || array_to_string(nl.lines, chr(10) || '- '), 'Linked relationships:' || chr(10) || '- ' || array_to_string(el.lines, chr(10) || '- ')) AS block FROM c_chunks c LEFT JOIN nl ON nl.chunk_id = c.id LEFT JOIN el ON el.chunk_id = c.id""")
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.chunk_blocks(annotated(spark, sf_dir)).select("id", "block")
+
+
+@query("viewer_nodes", "WITH " + C_NODES + """ SELECT id, label, type AS "group", '<b>id</b>: ' || id || '<br><b>type</b>: ' || type || '<br><b>suggested_type</b>: ' || coalesce(suggested_type, 'null') || '<br><b>chunk_ids</b>: [&quot;' || chunk_ids[1] || '&quot;]<br><b>properties</b>: ' || replace(coalesce(properties, '{}'), '"', '&quot;') AS title FROM c_nodes""")
+def exported_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewer_nodes(corpora.nodes(spark, sf_dir))
+
+
+def _edge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge as a path from both of its ends, the seed's score from its name's length."""
+    adj = paths.adjacency(corpora.edges(spark, sf_dir))
+    return adj.select(F.array("node", "neighbour").alias("node_ids"), F.array("edge_id").alias("edge_ids"), F.char_length("node").cast("double").alias("seed_score"), "chunk_ids")
+
+
+@query("path_dedupe", "WITH " + C_CHUNKS + "," + C_EDGES + " SELECT id AS edge, CASE WHEN length(source) > length(target) OR (length(source) = length(target) AND target > source) THEN source ELSE target END AS start FROM c_edges")
+def path_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = paths.deduplicated(_edge_paths(spark, sf_dir))
+    return kept.select(F.get("edge_ids", F.lit(0)).alias("edge"), F.get("node_ids", F.lit(0)).alias("start"))
+
+
+@query("evidence_chunks", "WITH " + C_CHUNKS + "," + C_EDGES + " SELECT chunk_ids[1] AS id, max(greatest(length(source), length(target)))::DOUBLE AS score FROM c_edges GROUP BY 1")
+def evidence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _edge_paths(spark, sf_dir).withColumnRenamed("seed_score", "score")
+    return paths.evidence_chunks(rows, corpora.chunks(spark, sf_dir)).select("id", "score")
+
+
+@query("relevance_cut", "WITH " + score_ctes(GRAPH_QUERY) + " SELECT id, round(score, 9) AS score FROM c_scores WHERE score >= 0.05e0 ORDER BY c_scores.score DESC, index, id LIMIT 5")
+def relevance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = chunk_search.chunk_scores(chunk_search.search_fields(annotated(spark, sf_dir)), GRAPH_QUERY)
+    return chunk_search.top_chunks(scored.filter(F.col("score") >= hybrid.LEAST_RELEVANCE), 5).select("id", r9("score"))
+
+
+@query("source_keys", "WITH " + C_CHUNKS + " SELECT DISTINCT source, regexp_replace(split_part(source, '/', 3), '\\.md$', '') || '-' || left(sha256(source), 8) AS key FROM c_chunks")
+def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.chunks(spark, sf_dir).select("source").distinct()
+    return rows.select("source", source_key(F.col("source")).alias("key"))
