@@ -163,7 +163,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 5, tables: int = T
     merged = parts.groupBy("vector", "salt").agg(smallest).groupBy("vector").agg(smallest)
     asked = usable.filter(is_query).mapInArrow(_distinct(kind, 1 << 30), "vector binary, ids array<bigint>, salt int")
     asked = materialise(asked.select("vector", F.explode("ids").alias("query_id")).distinct(), "queries")
-    names = asked.groupBy("vector").agg(F.min("query_id").alias("query"))
+    names = materialise(asked.groupBy("vector").agg(F.min("query_id").alias("query")), "names")
     hashed = merged.join(names, "vector", "left").select("vector", "ids", "query")
     hashed = materialise(hashed.mapInArrow(_hashed(kind, tables, probes), "vector binary, ids array<bigint>, query bigint, axes array<int>, probed array<int>"), "hashed")
     queries = hashed.filter("query is not null").select("query", "vector", F.octet_length("vector").alias("dim"), F.posexplode("probed").alias("p", "axis"))

@@ -186,7 +186,11 @@ def component_of_fingerprints(rows: DataFrame, most_bits: int = MOST_BITS) -> Da
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(link_fingerprints(classes.select("fp"), most_bits))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return materialise(rooted, "roots").transform(lambda r: r.select("fp", "root").join(r.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id", "root"))
+    rooted = materialise(rooted, "roots")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # inverted keys, as in the rounds of components: a large component can be split among tasks
+    smallest = smallest.select(F.bitwise_not("root").alias("k"), "component_id")
+    return rooted.select("fp", "root", F.bitwise_not("root").alias("k")).join(smallest, "k").select("fp", "component_id", "root")
 
 
 def near_duplicates(documents: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

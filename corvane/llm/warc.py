@@ -57,7 +57,10 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = bytes_of(F.col("html"))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
     first = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, ["sha1", "size"], "left")
+    # the key written otherwise hides the aggregate's partitioning: both sides get an exchange of their own, and a
+    # payload that very many pages share can be split among tasks
+    key = F.concat_ws(":", F.col("size").cast("string"), "sha1").alias("payload")
+    rows = rows.withColumn("payload", key).join(first.select(key, "first"), "payload", "left")
     other = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))

@@ -1,6 +1,7 @@
 """Archives: members, index, revisits, hostile payloads."""
 
 import gzip
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def test_write_normalise_read(spark, tmp_path):
     pages = [(i, f"http://a/{i}", t, "x") for i, t in enumerate(["one", "two", "one", "", None, "WARC/1.1\r\n\r\nx", "a\r\n\r\n", "é😀" * 5000, "one"])]
     pages += [(3, "http://a/3", "two", "x"), (None, None, "one", "x"), (20, "a\r\nb", "z" * 3_000_000, "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, sha1 string").repartition(3)
-    folder = f"{shared_dir(spark)}/t"
+    folder = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     index = warc.normalise(spark, warc.write_monolithic(warc.records(df), f"{folder}/in"), f"{folder}/out")
     assert index.count() == len(pages)
     assert index.exceptAll(warc.read_index(spark, f"{folder}/out")).isEmpty()
@@ -33,6 +34,6 @@ def test_smaller_payloads_are_responses_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     kinds = warc.records(df, 3).select("page_id", F.regexp_extract("record", "WARC-Type: (\\w+)", 1).alias("t")).collect()
     assert {r["page_id"]: r["t"] for r in kinds} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
-    folder = f"{shared_dir(spark)}/empty"
+    folder = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     monolithic = warc.write_monolithic(warc.records(df.limit(0)), f"{folder}/in")
     assert warc.read_archives(warc.normalise(spark, monolithic, f"{folder}/out")).count() == 0
