@@ -119,7 +119,15 @@ def associated_terms(examples: DataFrame, most: int = TERMS, least: float = ASSO
     df, a, share = F.col("df"), F.col("a"), n1 / n
     ratio = 2 * (cell(a, df * share) + cell(df - a, df * (1 - share)) + cell(F.lit(n1) - a, (F.lit(n) - df) * share) + cell(F.lit(n - n1) - df + a, (F.lit(n) - df) * (1 - share)))
     best = counts.filter((df > 1) & (a > df * share)).withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    return [(r["gram"], r["level"], r["ratio"]) for r in best.orderBy(F.desc("ratio"), "gram", "level").limit(most).collect()]
+    kept: list[tuple[str, int, float]] = []
+    twins: dict[tuple, list[str]] = {}
+    # a word and its beginnings that the same examples hold are one term
+    for r in best.orderBy(F.desc("ratio"), F.length("gram"), "gram", "level").limit(4 * most).collect():
+        same, word = twins.setdefault((r["level"], r["df"], r["a"]), []), r["gram"].lstrip("^")
+        if len(kept) < most and not any(word.startswith(w) or w.startswith(word) for w in same):
+            same.append(word)
+            kept.append((r["gram"], r["level"], r["ratio"]))
+    return kept
 
 
 @dataclass
