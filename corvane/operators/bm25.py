@@ -11,11 +11,12 @@ import re
 from collections import Counter
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.scoring import calibrate_bm25
 from corvane.functions.text import tokenize
+from corvane.operators.ranking import global_rank
 
 K1, B = 1.5, 0.75
 
@@ -67,7 +68,7 @@ def _part(length: Column, mean: Column, n: Column):
 def rank_documents(documents: DataFrame, query: str, text: Column, order: Column) -> DataFrame:
     """All ``documents``, zeros included, with ``score`` and ``rank``: by score, then by ``order``."""
     scored = bm25_scores(documents, query, {"score": text})
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), order)))
+    return global_rank(scored, F.desc("score"), order)
 
 
 def calibrated(documents: DataFrame, query: str, text: Column) -> DataFrame:

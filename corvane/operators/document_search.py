@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.scoring import reciprocal_rank
 from corvane.functions.text import document_key, file_name, keep_first, stem, title
 from corvane.operators.bm25 import bm25_scores
+from corvane.operators.ranking import global_rank
 
 MOST_HEADINGS = 20
 
@@ -37,8 +38,8 @@ def search_documents(documents: DataFrame, query: str, passages: DataFrame | Non
     text = F.concat_ws("\n", "source", file_name(F.col("source")), stem(F.col("source")), "title", F.array_join("headings", "\n"))
     scored = bm25_scores(documents, query, {"score": text})
     permitted = lambda df: df if allowed is None else df.filter(F.col("source").isin(*allowed))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "source"))
-    ranks = permitted(scored.filter("score > 0")).select("source", place.alias("metadata_rank"))
+    found = permitted(scored.filter("score > 0")).select("source", "score")
+    ranks = global_rank(found, F.desc("score"), F.col("source"), name="metadata_rank").drop("score")
     if passages is not None:
         ranks = ranks.join(permitted(passages).groupBy("source").agg(F.min("rank").alias("passage_rank")), "source", "full_outer")
     else:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import entity_key, keep_first, type_key
+from corvane.operators.ranking import global_rank
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,9 +118,9 @@ def combine_edges(edges: DataFrame, provenance: bool = True) -> DataFrame:
     rows = rows.withColumn("keeps", (use == 1) if provenance else F.lit(False))
     kept, others = rows.filter("keeps").drop("keeps"), rows.filter("not keeps").drop("keeps", "id")
     # free numbers: as many as edges in all suffice; the ones that ids like edge-0007 hold are taken
-    others = others.withColumn("n", F.row_number().over(Window.orderBy("ord")))
+    others = global_rank(others, F.col("ord"), name="n")
     taken = kept.filter(F.col("id").rlike(r"^edge-\d{4,}$")).select(F.expr("try_cast(substr(id, 6) as bigint)").alias("number"))
     numbers = edges.sparkSession.range(1, rows.count() + taken.count() + 1).withColumnRenamed("id", "number")
-    free = numbers.join(taken, "number", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("number")))
+    free = global_rank(numbers.join(taken, "number", "left_anti"), F.col("number"), name="n")
     named = others.join(free, "n").withColumn("id", F.format_string("edge-%04d", "number")).drop("n", "number")
     return kept.unionByName(named)

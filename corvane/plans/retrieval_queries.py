@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scoring
 from corvane.functions.text import in_folder, source_key
-from corvane.operators import bm25, chunk_search, context, document_search, hybrid, paths, references
+from corvane.operators import bm25, chunk_search, context, document_search, hybrid, paths, ranking, references
 from corvane.plans import corpora, sql
 from corvane.plans.corpora import C_CHUNKS, C_EDGES, C_NODES, table
 from corvane.sources.export import viewer_nodes
@@ -38,7 +38,7 @@ def r9(c: str):
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = bm25.bm25_scores(docs, QUERY, {"score": F.col("text")}).select("doc_id", r9("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long"))
+    return ranking.global_rank(scored, F.desc("score"), F.col("doc_id"))
 
 
 @query("bm25_calibrated", "WITH " + sql.bm25_ctes("b", "documents", "doc_id", "text", QUERY) + f"SELECT key AS doc_id, round({sql.calibrated('score')}, 9) AS score FROM b WHERE score > 0")
