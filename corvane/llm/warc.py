@@ -56,12 +56,16 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     payload = bytes_of(F.col("html"))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
-    first = rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
-    # the key written otherwise hides the aggregate's partitioning: both sides get an exchange of their own, and a
-    # payload that very many pages share can be split among tasks
-    key = F.concat_ws(":", F.col("size").cast("string"), "sha1").alias("payload")
-    rows = rows.withColumn("payload", key).join(first.select(key, "first"), "payload", "left")
-    other = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
+    # payloads stay where they are read: what they are compared by is narrow, and only the revisits come back, by
+    # page, as a table whose size Spark knows when it chooses between a broadcast and a shuffle
+    keys = rows.filter(F.col("size") >= least_bytes).select("page_id", "sha1", "size")
+    first = keys.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select(F.concat_ws(":", F.col("size").cast("string"), "sha1").alias("payload"), "first")
+    again = keys.withColumn("payload", F.concat_ws(":", F.col("size").cast("string"), "sha1")).join(first, "payload")
+    again = again.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("__page"), F.col("sha1").alias("__sha1"), "first").distinct()
+    again = materialise(again, "revisits")
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("sha1") == F.col("__sha1")), "left")
+    other = F.col("__sha1").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     header = F.concat(
@@ -71,7 +75,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         F.when(F.col("url") != "", line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", ""))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         line("X-Payload-Bytes", F.col("size").cast("string")),
-        F.when(other, line("WARC-Refers-To", F.concat(F.lit("<"), name(F.col("first")), F.lit(">")))).otherwise(""),
+        F.when(other & F.col("first").isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<"), name(F.col("first")), F.lit(">")))).otherwise(""),
         F.when(other, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
         line("Content-Length", F.when(other, F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit("\r\n"),
