@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions.text import in_folder
-from corvane.operators import bm25, chunking, document_search, extraction, graph_views, hybrid, references, resolution, sync, taxonomy
+from corvane.operators import bm25, chunk_search, chunking, document_search, extraction, graph_views, hybrid, references, resolution, sync, taxonomy
 from corvane.sources.shared import checkpoint, materialise
 from corvane.sources.snapshots import SnapshotStore
 
@@ -24,6 +24,8 @@ _TABLES = {
     "edges": schemas.EDGES,
     "node_provenance": schemas.NODE_PROVENANCE.replace("ord INT", "ord BIGINT"),
     "edge_provenance": schemas.EDGE_PROVENANCE.replace("ord INT", "ord BIGINT"),
+    "chunk_vectors": schemas.EMBEDDINGS,
+    "node_vectors": schemas.EMBEDDINGS,
     "suggestions": schemas.SUGGESTIONS.replace(", created_at TIMESTAMP", ""),
 }
 
@@ -31,8 +33,10 @@ _TABLES = {
 class KnowledgeBase:
     """Chunks and a graph with provenance, kept up to date from document snapshots."""
 
-    def __init__(self, spark: SparkSession, folder: str, scopes: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, scopes: dict[str, str] | None = None, embed: Callable[[Column], Column] | None = None, model: str = "embedder"):
+        """``embed``, where given, turns texts into vectors; ``model`` names it in the vectors' cache."""
         self.spark, self.store, self.scopes = spark, SnapshotStore(spark, folder), scopes or {}
+        self.embed, self.model = embed, model
 
     def table(self, name: str) -> DataFrame:
         """A table of the newest version, empty before the first."""
@@ -85,17 +89,24 @@ class KnowledgeBase:
         )
         node_rows = materialise(kept_nodes.unionByName(new_nodes), "node-provenance")
         edge_rows = materialise(kept_edges.unionByName(new_edges), "edge-provenance")
-        self.store.commit(
-            documents=hashes,
-            chunks=self.table("chunks").join(gone, "source", "left_anti").unionByName(chunks),
-            node_provenance=node_rows,
-            edge_provenance=edge_rows,
-            nodes=self._delta("nodes", gone, new_nodes.select(F.col("canonical_node_id").alias("id")), "node", node_rows, None),
-            edges=self._delta("edges", gone, new_edges.select(F.col("canonical_edge_id").alias("id")), "edge", edge_rows, edge_rows),
-            suggestions=self.table("suggestions").join(gone, "source", "left_anti").unionByName(taxonomy.suggestions(nodes)),
-        )
+        tables = {
+            "chunks": materialise(self.table("chunks").join(gone, "source", "left_anti").unionByName(chunks), "chunks"),
+            "nodes": materialise(self._delta("nodes", gone, new_nodes.select(F.col("canonical_node_id").alias("id")), "node", node_rows, None), "nodes"),
+            "edges": materialise(self._delta("edges", gone, new_edges.select(F.col("canonical_edge_id").alias("id")), "edge", edge_rows, edge_rows), "edges"),
+        }
+        suggestions = self.table("suggestions").join(gone, "source", "left_anti").unionByName(taxonomy.suggestions(nodes))
+        self.store.commit(documents=hashes, node_provenance=node_rows, edge_provenance=edge_rows, suggestions=suggestions, **tables, **self._vectors(**tables))
         return diff
 
+    def _vectors(self, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+        """Vectors of all chunks and nodes; only texts that no stored vector has are embedded."""
+        if self.embed is None:
+            return {}
+        text = chunk_search.searchable_text(chunk_search.annotated(chunks, nodes, edges)).select("id", F.col("searchable").alias("text"))
+        names = nodes.select("id", chunk_search.node_text(F.struct("label", "type", "aliases", "suggested_type", "properties")).alias("text"))
+        known = lambda name: self.table(name)
+        return {name: sync.cached_vectors(rows, known(name), self.model, self.embed) for name, rows in (("chunk_vectors", text), ("node_vectors", names))}
+
     def _resolve(self, nodes: DataFrame, provenance: DataFrame) -> DataFrame:
         """(id, canonical) of new nodes: a known node with a shared name and a comparable type, or the first new one."""
         known = graph_views.materialize_nodes(provenance).withColumn("rank", F.col("id"))
@@ -141,7 +152,15 @@ class KnowledgeBase:
 
     def search(self, query: str, scope: str | None = None, sources: Sequence[str] | None = None, top: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(chunks, paths, references) for a query."""
-        hits, paths = hybrid.retrieve(*self.restricted(scope, sources), query, top)
+        chunks, nodes, edges = self.restricted(scope, sources)
+        vector = None
+        if self.embed is not None:
+            vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
+            own = lambda name: self.table(name).filter(F.col("embedding_model") == self.model).select("id", "vector")
+            chunks = chunks.join(own("chunk_vectors"), "id", "left")
+            if scope is None or sources is not None:  # a folder scope alone seeds the graph by names, not by meaning
+                nodes = nodes.join(own("node_vectors"), "id", "left")
+        hits, paths = hybrid.retrieve(chunks, nodes, edges, query, top, query_vector=vector)
         order = Window.orderBy(F.desc("score"), "best_rank", "index", "id")
         ranked = hits.withColumn("ord", F.row_number().over(order))
         return ranked, paths, references.source_references(ranked)

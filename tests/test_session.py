@@ -97,3 +97,20 @@ def test_streaming_ingest(spark, tmp_path):
     run()
     assert sorted(r["label"] for r in base.table("nodes").collect()) == ["Alpha", "Beta", "Gamma"]
     assert sorted(r["source"] for r in base.table("documents").collect()) == ["a.md", "b.md"]
+
+
+def test_meaning_and_vector_cache(spark, tmp_path):
+    from corvane.functions.embedding import hashing_embedder
+
+    base = KnowledgeBase(spark, str(tmp_path / "kb"), {"work": "documents/work"}, hashing_embedder(32))
+    base.sync(frame(spark, DOCS), extract)
+    assert base.table("chunk_vectors").count() == base.table("chunks").count()
+    assert base.table("node_vectors").count() == base.table("nodes").count()
+    hits, _, _ = base.search("Delta likes tea")
+    assert "documents/home/notes.md" in {r["source"] for r in hits.collect()}
+    assert base.search("Alpha storage", scope="work")[0].count() > 0
+    before = {r["id"]: r["vector"] for r in base.table("chunk_vectors").collect()}
+    base.embed = lambda text: F.array(F.raise_error(F.lit("asked again")).cast("float"))
+    base.sync(frame(spark, {k: v for k, v in DOCS.items() if "notes" not in k}), extract)
+    after = {r["id"]: r["vector"] for r in base.table("chunk_vectors").collect()}
+    assert after.items() <= before.items() and 0 < len(after) < len(before)
