@@ -1,0 +1,210 @@
+"""Near-duplicates by exact shingle similarity: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Texts of equal sets are collapsed first. A set then has several fingerprints, each of the smallest of its
+shingles under four hash orders, and sets meet in the list of any fingerprint they share: a pair at the
+threshold shares none of the 40 with a chance of (1 - 0.8 ** 4) ** 40, less than one in a thousand million,
+and more similar pairs with a smaller one. Lists of equal members are one; the pairs of a list are then
+compared by their whole sets, so what is linked is exactly as similar as asked. A list that is too long
+for a task is cut into blocks, and every pair of blocks is compared in a task of its own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corvane.llm.common import bytes_of, materialise, text_udf
+from corvane.llm.components import components
+from corvane.llm.simhash import _root, _unite
+
+SHINGLE = 5
+SEED = 42
+#: The least similarity, as a fraction of whole numbers.
+LEAST = (4, 5)
+#: Fingerprints of a set, and the hash orders of each.
+PRINTS, ORDERS = 40, 4
+#: Shingles of a list's members that one block holds.
+MEMBERS = 2 << 20
+#: Posting rows that are gathered before their lists are put out.
+GATHER = 1 << 18
+#: Sets that are compared with as many others at once, and shingles at a time.
+SIDE, COLUMNS = 256, 8192
+
+_FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=(3, PRINTS * ORDERS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted hashes of a text's shingles, A-Z lower-cased; fewer words are one shingle, no words are none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([digest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - SHINGLE + 1].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def _prints(own: np.ndarray) -> np.ndarray:
+    least = np.full(PRINTS * ORDERS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 1024):
+        least = np.minimum(least, ((own[at : at + 1024, None] ^ _FACTORS[0]) * _FACTORS[1]).min(axis=0))
+    return (least * _FACTORS[2]).reshape(PRINTS, ORDERS).sum(axis=1, dtype=np.uint64)
+
+
+def _sketches(texts: list[bytes]) -> pa.Array:
+    names, sizes, prints = [], [], []
+    for text in texts:
+        own = shingles(text)
+        names.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+        sizes.append(len(own))
+        prints.append(_prints(own).view(np.int64))
+    flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PRINTS), pa.int32()), pa.array(flat))
+    return pa.StructArray.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["fp", "n", "prints"])
+
+
+def sketch(text: Column) -> Column:
+    """The name of a text's set of shingles (equal sets have equal names), its size and its fingerprints."""
+    return text_udf(_sketches, "struct<fp:bigint,n:int,prints:array<bigint>>")(bytes_of(text))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings (key, fp, n) sorted by key, the lists of two members or more: (list, fp, parts), a list named by its members."""
+
+    def out(keys: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((fp, keys))
+        keys, fp, n = keys[order], fp[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[first, len(keys)])
+        several = np.flatnonzero(size > 1)
+        names = [xxhash.xxh3_64_intdigest(fp[a : a + s].tobytes()) for a, s in zip(first[several].tolist(), size[several].tolist(), strict=True)]
+        parts = -(-np.add.reduceat(n, first)[several] // MEMBERS)
+        held = np.repeat(size > 1, size)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(names, np.uint64).view(np.int64), size[several])), pa.array(fp[held]), pa.array(np.repeat(np.maximum(parts, 1), size[several]).astype(np.int32))], ["list", "fp", "parts"]
+        )
+
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(tuple(batch.column(i).to_numpy().astype(np.int64) for i in range(3)))
+        rows += batch.num_rows
+        if rows < GATHER or held[0][0][0] == held[-1][0][-1]:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+        yield out(*(c[:cut] for c in columns))
+        held, rows = [tuple(c[cut:] for c in columns)], len(columns[0]) - cut
+    if rows:
+        yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set of ``one`` shares with each of ``other``."""
+    flat = [np.concatenate(x) for x in (one, other)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, other)]
+    both = np.intersect1d(*flat)
+    place = [np.searchsorted(both, x) for x in flat]
+    real = [np.append(both, 0)[p] == x if len(both) else np.zeros(len(x), bool) for p, x in zip(place, flat, strict=True)]
+    real = [r & (p < len(both)) for r, p in zip(real, place, strict=True)]
+    counts = np.zeros((len(one), len(other)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        sides = []
+        for p, r, o, x in zip(place, real, owner, (one, other), strict=True):
+            own = r & (p >= at) & (p < at + COLUMNS)
+            side = np.zeros((len(x), min(COLUMNS, len(both) - at)), np.float32)
+            side[o[own], p[own] - at] = 1
+            sides.append(side)
+        counts += sides[0] @ sides[1].T
+    return counts.astype(np.int64)
+
+
+def _similar(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    a, b = (np.array([len(s) for s in x], np.int64) for x in (one, other))
+    shared, (least, of) = _shared(one, other), LEAST
+    return of * shared >= least * (a[:, None] + b[None, :] - shared)
+
+
+def _forest(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """The index of each set's root, from all pairs of sets, or of sets on different sides if there are two."""
+    parent = np.arange(len(sets))
+    cuts = [np.flatnonzero(side == s) for s in np.unique(side)]
+    pieces = [[c[i : i + SIDE] for i in range(0, len(c), SIDE)] for c in cuts]
+    if len(pieces) == 1:
+        todo = [(x, y) for k, x in enumerate(pieces[0]) for y in pieces[0][k:]]
+    else:
+        todo = [(x, y) for x in pieces[0] for y in pieces[1]]
+    for x, y in todo:
+        roots = parent[np.r_[x, y]]
+        if len(sets) > 1 and (roots == roots[0]).all():
+            continue
+        a, b = np.nonzero(_similar([sets[i] for i in x], [sets[i] for i in y]))
+        parent = _unite(parent, x[a], y[b])
+    return _root(parent)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From members (list, one, two, side, fp, shingles) sorted by list and blocks, links (a, b) of similar sets as a forest."""
+
+    def out(members: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        fp = np.array([m[1] for m in members], np.int64)
+        root = _forest([np.frombuffer(m[2], np.uint64) for m in members], np.array([m[0] for m in members]))
+        at = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[root[at]])], ["a", "b"])
+
+    held, last = [], None
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("list", "one", "two")), strict=True)
+        for key, side, fp, own in zip(keys, batch.column("side").to_pylist(), batch.column("fp").to_pylist(), batch.column("shingles"), strict=True):
+            if key != last and held:
+                yield out(held)
+                held = []
+            last = key
+            held.append((side, fp, own.as_py()))
+    if held:
+        yield out(held)
+
+
+def _sets(texts: list[bytes]) -> pa.Array:
+    return pa.array([shingles(t).tobytes() for t in texts], pa.binary())
+
+
+def links(sketches: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of similar sets, from sketches (fp, n, prints), one for each set, the row of
+    a text with each set (fp, row), and texts (row, text)."""
+    postings = sketches.filter("n > 0").select("fp", "n", F.posexplode("prints").alias("i", "print"))
+    postings = postings.select(F.xxhash64("i", "print").alias("key"), "fp", "n").repartition("key").sortWithinPartitions("key")
+    members = materialise(postings.mapInArrow(_lists, "list bigint, fp bigint, parts int"), "lists").distinct()
+    sets = texts.join(classes.join(members.select("fp").distinct(), "fp", "left_semi"), "row")
+    sets = materialise(sets.select("fp", text_udf(_sets, "binary")(bytes_of(F.col("text"))).alias("shingles")), "sets")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pairs = members.select("list", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = pairs.select("list", "fp", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.col("own").alias("side"))
+    pairs = pairs.join(sets, "fp").repartition("list", "one", "two").sortWithinPartitions("list", "one", "two")
+    return pairs.select("list", "one", "two", "side", "fp", "shingles").mapInArrow(_links, "a bigint, b bigint")
+
+
+def drop_similar(documents: DataFrame) -> DataFrame:
+    """One document of each group that is linked by similar texts, all columns kept: the smallest doc_id, null ids last,
+    and of rows with the same id the first written. Null, empty and blank texts are equal. Rows get a number in a
+    written table, so repeated rows are told apart."""
+    names = documents.columns
+    numbered = documents.withColumns({"__s": sketch(F.col("text")), "__row": F.monotonically_increasing_id()})
+    numbered = materialise(numbered, "numbered")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row"))).alias("first")
+    classes = materialise(numbered.groupBy(F.col("__s.fp").alias("fp")).agg(first), "classes")
+    own = classes.select("fp", F.col("first.row").alias("row"))
+    sketches = numbered.join(own.select(F.col("row").alias("__row")), "__row", "left_semi").select("__s.fp", "__s.n", "__s.prints")
+    roots = components(links(sketches, own, numbered.select(F.col("__row").alias("row"), "text"))).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return numbered.join(rooted.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*names)

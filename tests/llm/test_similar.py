@@ -1,0 +1,78 @@
+"""The pipeline's near-duplicate stage against brute force over all pairs."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline as p
+from corvane.llm import similar
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups(rows):
+    sets, names = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while names[i] != i:
+            i = names[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                names[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(rows))]
+
+
+def planted():
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([30, 90, 200, 400]))) for _ in range(60)]
+    for k in range(240):  # near copies on both sides of the threshold
+        t = texts[k % 60].split()
+        for _ in range(rng.randrange(1, 1 + len(t) // 25)):
+            t[rng.randrange(len(t))] = "changed" + rng.choice(words)
+        texts.append(" ".join(t))
+    common = " ".join(rng.choices(words, k=25))
+    texts += [common + " " + " ".join(rng.choices(words, k=30)) for _ in range(40)]
+    texts += [None, "", " \t", "A b c", "a B C", "a b c d", texts[3], texts[3].upper()]
+    ids = rng.sample(range(10**6), len(texts))
+    return list(zip(ids, texts, strict=True))
+
+
+def test_stage_drops_all_planted_near_copies(spark):
+    rows = planted()
+    names = groups(rows)
+    want = sorted(min(i for (i, _), n in zip(rows, names, strict=True) if n == name) for name in set(names))
+    assert 60 < len(want) < len(rows) - 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = p.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_blocks_of_a_long_list_meet(spark, monkeypatch):
+    rows = planted()
+    monkeypatch.setattr(similar, "SIDE", 3)
+    monkeypatch.setattr(similar, "COLUMNS", 50)
+    sets = [similar.shingles((t or "").encode()) for _, t in rows if t and t.split()]
+    want = np.array(groups([r for r in rows if r[1] and r[1].split()]))
+    assert similar._forest(sets, np.zeros(len(sets), int)).tolist() == want.tolist()
+    # two sides: all pairs across
+    side = np.arange(len(sets)) % 2
+    root = similar._forest(sets, side)
+    for i in range(0, len(sets), 2):
+        for j in range(1, len(sets), 2):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            assert 5 * len(a & b) < 4 * len(a | b) or root[i] == root[j]
+
+
+def test_stage_on_empty_table_and_null_ids(spark):
+    assert p.drop_near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+    rows = [(5, "a b c d"), (5, "a b c d"), (2, "A B c d"), (None, "a b c d"), (None, "other words here now"), (7, None), (8, "")]
+    got = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == [(-1, "other words here now"), (2, "A B c d"), (7, None)]
