@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources.shared import checkpoint, materialise, shared_dir
 
-__all__ = ["blocks", "bytes_of", "checkpoint", "crc_mod", "materialise", "shared_dir", "table", "text_udf"]
+__all__ = ["blocks", "bytes_of", "checkpoint", "crc_mod", "materialise", "shared_dir", "table", "text_udf", "unused", "vector_sum"]
 
 #: Bytes of text that one block of rows holds inside a task, unless a single row is longer.
 BLOCK_BYTES = 16 << 20
@@ -67,3 +69,54 @@ def text_udf(function: Callable[[list[bytes]], pa.Array], returns: str):
 
     call.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(call, returnType=returns)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Positions of a long vector that travel in one row, and partial vectors that one task adds up at a time.
+CHUNK, FAN = 1 << 16, 64
+
+
+def vector_sum(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], length: int) -> np.ndarray:
+    """The sum over all rows of a vector of whole numbers of fixed length: tasks add up their own, chunks of it are
+    added in groups of ``FAN`` tasks, twice, then by chunk, so no task's share grows with the number of tasks before a
+    million of them. Only the total reaches the driver."""
+
+    def pack(x: np.ndarray) -> bytes:
+        return pa.compress(x.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+    def unpack(x: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(pa.decompress(x, decompressed_size=8 * n, codec="zstd", asbytes=True), "<i8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = partial(batch) if total is None else total + partial(batch)
+        if total is not None:
+            context = TaskContext.get()
+            part = context.partitionId() // FAN if context else 0
+            for chunk, at in enumerate(range(0, length, CHUNK)):
+                own = total[at : at + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), pa.array([len(own)]), pa.array([pack(own)], pa.binary())], ["chunk", "part", "n", "x"])
+
+    def add(group: pa.Table) -> pa.Table:
+        n, total = group.column("n")[0].as_py(), 0
+        for x in group.column("x"):
+            total = total + unpack(x.as_py(), n)
+        return pa.table({"chunk": [group.column("chunk")[0].as_py()], "part": [group.column("part")[0].as_py() // FAN], "n": [n], "x": pa.array([pack(total)], pa.binary())})
+
+    kinds = "chunk bigint, part bigint, n bigint, x binary"
+    parts = rows.mapInArrow(run, kinds)
+    for keys in (["chunk", "part"], ["chunk", "part"], ["chunk"]):
+        parts = parts.groupBy(*keys).applyInArrow(add, kinds)
+    out = np.zeros(length, np.int64)
+    for r in parts.collect():
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + r["n"]] = unpack(bytes(r["x"]), r["n"])
+    return out

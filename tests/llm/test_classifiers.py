@@ -1,7 +1,10 @@
 """Quality and toxicity: held-out accuracy, exact neighbours, edge cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -48,31 +51,102 @@ def test_quality_held_out(spark):
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
 
 
-def test_toxicity_held_out_and_exact_neighbours(spark):
+def brute_toxicity(docs, labels, strength):
+    """Idf, cosines of all examples, the nearest and the score of every text, by plain loops."""
+    words = lambda t: Counter(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+    counts = [words(t) for _, t, *_ in docs]
+    df = Counter(w for c in counts for w in c)
+    known = {}
+    for i, _, t in labels:
+        if i is not None and t is not None and not held_out(i):
+            known[i] = max(t, known.get(i, 0))
+    examples = {}
+    for (i, *_), c in zip(docs, counts):
+        if i in known and (i not in examples or len(c) < len(examples[i])):
+            examples[i] = c
+    n, toxic = len(examples), sum(known[i] for i in examples)
+    of, of_toxic = Counter(w for c in examples.values() for w in c), Counter(w for i, c in examples.items() if known[i] for w in c)
+
+    def cell(o, e):
+        return o * math.log(o / e) if o else 0.0
+
+    def idf(w):
+        # the norm's unseen words: the number of documents of all unseen words in the bucket, each document once for each
+        own = df[w] if w in of else sum(df[x] for x in df if x not in of and toxicity.bucket_of(x) == toxicity.bucket_of(w))
+        plain = math.log((len(docs) + 1) / (own + 1)) + 1
+        d, a, share = of[w], of_toxic[w], toxic / n
+        if a <= d * share:
+            return plain
+        ratio = 2 * (cell(a, d * share) + cell(d - a, d * (1 - share)) + cell(toxic - a, (n - d) * share) + cell(n - toxic - d + a, (n - d) * (1 - share)))
+        return plain * (1 + strength * math.sqrt(max(0.0, ratio - toxicity.CHANCE)))
+
+    weight = {w: idf(w) for w in df}
+
+    def unit(c):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: unit(c) for i, c in examples.items()}
+    base = (toxic + 0.5) / (n + 5)
+    out = []
+    for c in counts:
+        q = unit(c) if c else {}
+        every = {i: sum(x * v.get(w, 0.0) for w, x in q.items()) for i, v in vectors.items()}
+        best = sorted((i for i, s in every.items() if s > 0), key=lambda i: (-round(every[i], 12), i))[: toxicity.NEIGHBOURS]
+        votes = [(every[i] / every[best[0]]) ** 2 for i in best]
+        score = (sum(v * known[i] for v, i in zip(votes, best)) + toxicity.SHRINK * base) / (sum(votes) + toxicity.SHRINK) if best else base
+        out.append((score, best, [every[i] for i in best]))
+    return out
+
+
+def test_toxicity_matches_brute_force(spark):
     docs, labels, df, known = frames(spark)
-    vocabulary, rows, index = toxicity.train(df, known)
-    got = {r["doc_id"]: r["j"] for r in rows.select("doc_id", toxicity.judge(rows["vector"], index).alias("j")).collect()}
+    for strength in (0.0, toxicity.ASSOCIATION):
+        want = brute_toxicity([(r["doc_id"], r["text"]) for r in df.collect()], [tuple(r) for r in known.collect()], strength)
+        got = df.select("doc_id", toxicity.judge(df["text"], *toxicity.train(df, known, strength=strength)).alias("j")).collect()
+        for r, (score, best, cosines) in zip(got, want, strict=True):
+            assert r["j"]["neighbours"] == best and np.allclose(r["j"]["cosines"], cosines) and math.isclose(r["j"]["score"], score, rel_tol=1e-9)
+
+
+def test_block_max_search_is_exact_with_small_blocks():
+    rng = np.random.default_rng(4)
+    vectors = []
+    for _ in range(300):
+        terms = np.unique(np.minimum(rng.geometric(0.02, rng.integers(1, 60)) - 1, 199))
+        vectors.append((terms, rng.integers(1, 5, len(terms)).astype(float)))
+    idf, none = rng.random(200) + 0.5, (np.zeros(0, np.int64), np.zeros(0))
+    for block, frequent in ((4, 0), (8, 10), (64, 200)):
+        index = toxicity.Index(np.arange(300), np.zeros(300), idf, np.ones(toxicity.OTHERS)).build(vectors, block, frequent)
+        whole = np.zeros((300, 200))
+        for i, v in enumerate(vectors):
+            whole[i, v[0]] = index.weigh(*v, *none)
+        texts = [(t, index.weigh(t, n, *none)) for t, n in vectors]
+        for (places, cosines), row in zip(index.nearest(texts, 10), whole @ whole.T, strict=True):
+            best = sorted(np.flatnonzero(row > 0).tolist(), key=lambda i: (-round(row[i], 12), i))[:10]
+            assert index.ids[places].tolist() == best and np.allclose(cosines, row[best])
+
+
+def test_toxicity_held_out_and_edges(spark):
+    docs, labels, df, known = frames(spark)
+    vocabulary, index = toxicity.train(df, known)
+    got = {r["doc_id"]: r["j"] for r in df.select("doc_id", toxicity.judge(df["text"], vocabulary, index).alias("j")).collect()}
     test = [(got[i]["score"] >= 0.3) == bool(t) for i, _, t in labels if held_out(i)]
     assert np.mean(test) > 0.95
     assert all(not held_out(n) for j in got.values() for n in j["neighbours"])
-    assert got[9001]["neighbours"] == [] and got[9001]["score"] == index.base
-    # block-max search gives what scoring every example gives
-    vectors = [(r["doc_id"], np.array(r["vector"]["terms"]), np.array(r["vector"]["counts"])) for r in rows.collect() if r["vector"]["terms"]]
-    by_id = {d: (t, index.weigh(t, c)) for d, t, c in vectors if d is not None}
-    for doc, terms, counts in vectors[:60]:
-        q = dict(zip(terms.tolist(), index.weigh(terms, counts)))
-        every = {}
-        for example in index.ids.tolist():
-            t, w = by_id[example]
-            s = sum(q.get(k, 0.0) * x for k, x in zip(t.tolist(), w))
-            if s > 0:
-                every[example] = s
-        best = sorted(every, key=lambda e: (-round(every[e], 12), e))[: toxicity.NEIGHBOURS]
-        places, cosines = index.nearest(terms, counts, toxicity.NEIGHBOURS)
-        assert index.ids[places].tolist() == best
-        assert np.allclose(cosines, [every[e] for e in best])
-    kept = toxicity.drop_toxic(df, known)
-    assert kept.columns == df.columns and kept.filter("doc_id = 9003").count() == 0
+    for empty in (9001, 9002):
+        assert got[empty]["neighbours"] == [] and got[empty]["score"] == index.base
+    # every text that shares a word with an example has evidence
+    assert all(j["neighbours"] for i, j in got.items() if i not in (9001, 9002))
+    kept = toxicity.drop_toxic(df.withColumnRenamed("score", "judged"), known)
+    assert kept.columns == ["doc_id", "text", "judged"] and kept.filter("doc_id = 9003").count() == 0
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    docs, labels, df, known = frames(spark)
+    long = spark.createDataFrame([(77, " ".join(LANG) * 200_000)], "doc_id long, text string")
+    [row] = long.select(toxicity.judge(long["text"], *toxicity.train(df, known)).alias("j")).collect()
+    assert 0 <= row["j"]["score"] < 0.3 and row["j"]["neighbours"]
 
 
 def test_without_documents_or_labels(spark):
