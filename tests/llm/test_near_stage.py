@@ -2,10 +2,10 @@
 
 import random
 
-import numpy as np
+import pytest
 
 import corpus_pipeline as p
-from corvane.llm import similar
+from corvane.llm import postings
 
 
 def shingles(text):
@@ -55,20 +55,32 @@ def test_stage_drops_all_planted_near_copies(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
-def test_blocks_of_a_long_list_meet(spark, monkeypatch):
-    rows = planted()
-    monkeypatch.setattr(similar, "SIDE", 3)
-    monkeypatch.setattr(similar, "COLUMNS", 50)
-    sets = [similar.shingles((t or "").encode()) for _, t in rows if t and t.split()]
-    want = np.array(groups([r for r in rows if r[1] and r[1].split()]))
-    assert similar._forest(sets, np.zeros(len(sets), int)).tolist() == want.tolist()
-    # two sides: all pairs across
-    side = np.arange(len(sets)) % 2
-    root = similar._forest(sets, side)
-    for i in range(0, len(sets), 2):
-        for j in range(1, len(sets), 2):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            assert 5 * len(a & b) < 4 * len(a | b) or root[i] == root[j]
+@pytest.mark.parametrize("members, short", [(4096, 48), (16, 48), (16, 2)])
+def test_long_lists_are_cut_into_blocks_that_meet(spark, monkeypatch, members, short):
+    """Shingles that hundreds of texts share, and copies around several centres, in blocks of 16."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(3):
+        centre = rng.choices(words, k=120)
+        for _ in range(60):
+            t = list(centre)
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = "new" + rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    common = " ".join(rng.choices(words, k=40))
+    rows += [(len(rows) + i, common + " " + " ".join(rng.choices(words, k=12))) for i in range(80)]
+    names = groups(rows)
+    monkeypatch.setattr(postings, "MEMBERS", members)
+    monkeypatch.setattr(postings, "SHORT", short)
+    got = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(names))
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 7, None), (2, "a b c", "y", 8, 1.0), (3, "q", "z", 9, 2.0)], "doc_id long, text string, near string, row int, fp double")
+    got = p.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(1, "a b c", "x", 7, None), (3, "q", "z", 9, 2.0)]
 
 
 def test_stage_on_empty_table_and_null_ids(spark):

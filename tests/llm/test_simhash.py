@@ -51,14 +51,33 @@ def test_near_duplicates_match_brute_force(spark):
     assert {i: g[1] for i, g in got.items()} == dict(zip(ids, brute_components(ids, prints)))
 
 
-def test_posting_lists_long_and_short_agree(monkeypatch):
+def test_long_posting_lists_are_cut_into_blocks_that_meet(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 62))
     f = np.unique(np.array([base ^ int(x) for x in rng.integers(0, 1 << 16, 300)], np.uint64))
     want = brute_components(list(range(len(f))), [int(x) for x in f])
-    assert simhash._forest(f, 3).tolist() == want
-    monkeypatch.setattr(simhash, "PAIRWISE", 10)
-    assert simhash._forest(f, 3).tolist() == want
+    rows = spark.createDataFrame([(i, int(x.astype(np.int64))) for i, x in enumerate(f)], "doc_id long, fp long")
+    for members, short in ((4096, 48), (32, 48), (32, 4)):
+        monkeypatch.setattr(simhash.postings, "MEMBERS", members)
+        monkeypatch.setattr(simhash.postings, "SHORT", short)
+        got = {r["fp"]: r["component_id"] for r in simhash.component_of_fingerprints(rows).collect()}
+        assert [got[int(x.astype(np.int64))] for x in f] == want
+
+
+def test_tally_decides_at_every_key_width(spark):
+    """Pairs on both sides of the minimum of five shared bytes and of the three bits."""
+    rng = random.Random(5)
+    prints = []
+    for _ in range(40):
+        p = rng.getrandbits(64)
+        prints += [p, p ^ sum(1 << (8 * b) for b in rng.sample(range(8), rng.choice([3, 4]))), p ^ (0xF << 8 * rng.randrange(8))]
+    want = brute_components(list(range(len(prints))), prints)
+    signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for width in (2, 3, 4, 5):
+        roots = {r["node"]: r["root"] for r in components(simhash.link_fingerprints(df, 3, width)).collect()}
+        got = [signed.index(next(x for x in signed if roots.get(x, x) == roots.get(s, s))) for s in signed]
+        assert got == want
 
 
 def test_links_span_planted_clusters(spark):
@@ -75,12 +94,6 @@ def test_links_span_planted_clusters(spark):
     assert [got[s] for s in signed] == brute_components(list(range(len(prints))), prints)
 
 
-def test_drop_keeps_one_of_each_component(spark):
-    rows = [(5, "a b c d"), (5, "a b c d"), (2, "A B c d"), (None, "a b c d"), (None, "other words here now"), (7, None), (8, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in simhash.drop_near_duplicates(df).collect()) == [(-1, "other words here now"), (2, "A B c d"), (7, None)]
-
-
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
