@@ -4,7 +4,7 @@ Latent states emit word classes (a hash of the word into a fixed number of class
 by their counts in the whole training corpus, so the model's tables are bounded while the word counts grow with
 the input and stay distributed. Baum-Welch: each task turns its blocks into expected counts over whole texts, Spark
 adds them by class, and the driver normalises a table of states by classes. The first model comes from all training
-text too: classes are clustered by the neighbours of their words. A text's likelihood is exact: the scaled forward
+text too: classes are clustered by the texts that hold their words. A text's likelihood is exact: the scaled forward
 recursion over all its tokens.
 
 Tokenised text is written once, in blocks of bounded size that number their own words in the order of their hashes
@@ -36,8 +36,8 @@ SEGMENT = 128
 BLOCK, RANGE = 24 << 20, 1 << 20
 #: Tokens between two scalings of the recursions along a text.
 STRIDE = 16
-#: Random signs that stand for a class as a neighbour.
-SIGNS = 8
+#: Random signs that stand for a class.
+SIGNS = 16
 END = b"\n"
 
 _BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, kinds binary, hashes binary, counts binary, words bigint"
@@ -321,44 +321,36 @@ def _summed(texts: DataFrame, rows: int, columns: int, partial) -> np.ndarray:
 
 
 def first_model(texts: DataFrame, corpus: Corpus, states: int = STATES) -> Model:
-    """A model from all training text: classes are clustered by what stands before and after them and in their texts."""
+    """A model from all training text: classes are clustered by the texts that their words are in, and states stay.
+
+    A text is known by the mean of its classes' random signs, a class by the mean of its tokens' texts.
+    """
     classes = corpus.classes
     signs = np.random.default_rng(7).choice(np.array([-1.0, 1.0]), (classes, SIGNS))
 
-    def neighbours(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def company(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if not len(lengths):
-            return np.zeros((classes, 3 * SIGNS + 1))
-        begin = np.cumsum(lengths) - lengths
-        own = signs[tokens]
-        left, right = np.r_[own[:1] * 0, own[:-1]], np.r_[own[1:], own[:1] * 0]
-        left[begin], right[begin + lengths - 1] = 0, 0
-        mean = np.add.reduceat(own, begin) / lengths[:, None]
-        whole = np.repeat(mean, lengths, axis=0)
-        columns = [*left.T, *right.T, *whole.T, np.ones(len(tokens))]
-        return np.stack([np.bincount(tokens, c, classes) for c in columns], axis=1)
-
-    total = _summed(texts, classes, 3 * SIGNS + 1, neighbours)
-    n = total[:, -1]
-    share = corpus.share()
-    spread = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
+            return np.zeros((classes, SIGNS + 1))
+        mean = np.add.reduceat(signs[tokens], np.cumsum(lengths) - lengths) / lengths[:, None]
+        return np.stack([np.bincount(tokens, np.repeat(c, lengths), classes) for c in (*mean.T, np.ones(len(lengths)))], axis=1)
+
+    total = _summed(texts, classes, SIGNS + 1, company)
+    n, share = total[:, -1], corpus.share()
+    stay = np.full((states, states), 0.02 / states) + 0.98 * np.eye(states)
     if not n.any():
-        return Model(np.full(states, 1 / states), spread, np.tile(share[:, None], (1, states)))
+        return Model(np.full(states, 1 / states), stay, np.tile(share[:, None], (1, states)))
     mean = total[:, :-1].sum(axis=0) / n.sum()
     x = (total[:, :-1] + 20 * mean) / (n + 20)[:, None] - mean
-    x /= np.sqrt((n[:, None] * x * x).sum(axis=0) / n.sum()) + 1e-12
-    rng = np.random.default_rng(11)
-    weight = np.sqrt(n)
-    centres = x[[int(np.argmax(weight))]]
+    x /= np.sqrt((n[:, None] * x * x).sum() / n.sum()) + 1e-12
+    rng, centres = np.random.default_rng(11), x[[int(np.argmax(n))]]
     for _ in range(states - 1):  # far from those chosen, as far as tokens weigh
-        far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) * weight
+        far = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) * n
         centres = np.r_[centres, x[[int(rng.choice(classes, p=far / far.sum()) if far.sum() else 0)]]]
     for _ in range(30):
-        distance = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
-        own = distance.argmin(axis=1)
-        centres = np.stack([np.average(x[own == s], axis=0, weights=weight[own == s]) if weight[own == s].sum() else centres[s] for s in range(states)])
-    near = np.exp(-(distance - distance.min(axis=1, keepdims=True)) / 2) + 0.05
-    emit = share[:, None] * near / near.sum(axis=1, keepdims=True)
-    return Model(np.full(states, 1 / states), spread, emit / emit.sum(axis=0))
+        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.stack([np.average(x[own == s], axis=0, weights=n[own == s]) if n[own == s].sum() else centres[s] for s in range(states)])
+    emit = share[:, None] * ((own[:, None] == np.arange(states)) + 0.05)
+    return Model(np.full(states, 1 / states), stay, emit / emit.sum(axis=0))
 
 
 def improved(texts: DataFrame, model: Model, corpus: Corpus) -> tuple[Model, float]:
