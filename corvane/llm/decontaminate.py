@@ -4,8 +4,8 @@ Patterns are the word windows of the benchmark. For each pattern length there is
 by the last block of two words under the window (how far the search may jump without missing a
 pattern), and, where the shift is zero, a bucket of test windows by that suffix block and their
 first block; a direct comparison of all words confirms an occurrence. The benchmark is cut into
-shards of a bounded number of patterns; every shard's tables pass over the texts in turn, so what a
-task holds is bounded however large the benchmark grows.
+shards of a bounded number of words; every shard is a pass of its own over the texts, so the driver
+and a task hold the tables of one shard however large the benchmark grows.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bytes_of, table, text_udf
+from corvane.llm.common import bytes_of, materialise, table, text_udf, unused
 
 #: Words of a window.
 WINDOW = 10
-#: Words of all patterns that one shard's tables hold at most (an item longer than that is a shard alone).
+#: Words of the items of a shard, on average over a hash of them.
 SHARD_WORDS = 1_000_000
 
 #: ASCII letters lower-cased, digits and all bytes of other characters kept, the rest turned to blanks.
@@ -120,44 +120,66 @@ def _join_hits(column: pa.Array) -> pa.Array:
 _join_hits.__annotations__ = {"column": pa.Array, "return": pa.Array}
 
 
-def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> list[list[tuple[str | None, bytes]]]:
-    """The benchmark's items in shards of bounded size. Items without words have no windows; a null id marks
-    hits but is no item; repeated rows count once."""
+def benchmark_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """The benchmark's items (item, text, shard) as a written table, and the number of shards, dealt out by a hash so that
+    one holds ``shard_words`` on average. Items without words have no windows; a null id marks hits but is no item;
+    repeated rows count once."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), bytes_of(F.col("text")).alias("text")).distinct()
-    shards, held = [[]], 0
-    for row in rows.toLocalIterator():
-        size = len(words_of(bytes(row["text"])))
-        if not size:
-            continue
-        if shards[-1] and held + size > shard_words:
-            shards.append([])
-            held = 0
-        shards[-1].append((row["item"], bytes(row["text"])))
-        held += size
-    return shards
+    rows = materialise(rows.withColumn("n", text_udf(_lengths, "bigint")(F.col("text"))).filter("n > 0"), "benchmark")
+    shards = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // shard_words))
+    return rows.select("item", "text", F.pmod(F.xxhash64("item", "text"), F.lit(shards)).cast("int").alias("shard")), shards
+
+
+def _lengths(texts: list[bytes]) -> pa.Array:
+    return pa.array([len(words_of(t)) for t in texts], pa.int64())
+
+
+def _shard(items: DataFrame, number: int, window: int):
+    """The search for one shard: only its items are on the driver and in the tasks of a pass."""
+    return _scan([(r["item"], bytes(r["text"])) for r in items.filter(F.col("shard") == number).select("item", "text").collect()], window)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, into: str = "leak") -> DataFrame:
     """``documents`` with a struct ``into`` (n_words, n_hit, items): words, words inside any occurrence of a
     benchmark window, and the ids of the items with occurring windows, sorted as strings.
 
-    Null and empty texts have no words. All other columns and repeated rows stay as they are.
+    The first shard is searched where the documents are read. If there are more, the documents get row numbers in a
+    written table, each further shard passes over them alone and writes the rows that it hits, and the hits are merged by
+    row. Null and empty texts have no words. All other columns and repeated rows stay as they are; a column named
+    ``into`` is replaced.
     """
-    found = []
-    for k, shard in enumerate(benchmark_shards(benchmark, shard_words)):
-        documents = documents.withColumn(f"__shard{k}", _scan(shard, window)(bytes_of(F.col("text"))))
-        found.append(f"__shard{k}")
-    hits = F.array(*[F.col(f"{k}.hits") for k in found])
-    items = F.sort_array(F.array_distinct(F.flatten(F.array(*[F.col(f"{k}.items") for k in found]))))
+    items, shards = benchmark_shards(benchmark, shard_words)
+    names = [c for c in documents.columns if c.lower() != into.lower()]
+    keep = [F.col(f"`{c}`") for c in names]
+    own = unused(documents, "found")
+    text = bytes_of(F.col("text"))
+    found = documents.select(*keep, F.struct(_shard(items, 0, window)(text).alias("f"), F.monotonically_increasing_id().alias("row")).alias(own))
+    more = F.lit(None).cast("struct<row:bigint,hits:array<binary>,items:array<string>>")
+    if shards > 1:
+        found, parts = materialise(found, "found"), []
+        for k in range(1, shards):
+            part = found.select(F.col(f"{own}.row").alias("row"), _shard(items, k, window)(bytes_of(F.col("text"))).alias("f"))
+            parts.append(materialise(part.filter(F.octet_length("f.hits") > 0).select("row", "f.hits", "f.items"), f"shard{k}"))
+        merged_ = parts[0]
+        for part in parts[1:]:
+            merged_ = merged_.unionByName(part)
+        merged_ = merged_.groupBy("row").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        other = unused(documents, "others")
+        merged_ = merged_.select(F.struct("row", "hits", "items").alias(other))
+        found = found.join(merged_, F.col(f"{own}.row") == F.col(f"{other}.row"), "left")
+        more = F.col(other)
+    first = F.col(f"{own}.f")
+    hits = F.concat(F.array(first["hits"]), F.coalesce(more["hits"], F.array().cast("array<binary>")))
+    all_items = F.sort_array(F.array_distinct(F.concat(first["items"], F.coalesce(more["items"], F.array().cast("array<string>")))))
     some = F.exists(hits, lambda h: F.octet_length(h) > 0)
-    count = F.arrow_udf(_join_hits, returnType="bigint")
-    leak = F.struct(F.col(f"{found[0]}.n_words").alias("n_words"), F.when(some, count(hits)).otherwise(F.lit(0)).cast("long").alias("n_hit"), items.alias("items"))
-    return documents.withColumn(into, leak).drop(*found)
+    n_hit = F.when(some, F.arrow_udf(_join_hits, returnType="bigint")(hits)).otherwise(F.lit(0)).cast("long")
+    return found.select(*keep, F.struct(first["n_words"].alias("n_words"), n_hit.alias("n_hit"), all_items.alias("items")).alias(into))
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark window, with all their columns."""
-    return find_leaks(documents, benchmark, into="__leak").filter(F.col("__leak.n_hit") == 0).drop("__leak")
+    """The documents that hold no benchmark window, with all their columns, whatever their names."""
+    own = unused(documents, "leak")
+    return find_leaks(documents, benchmark, into=own).filter(F.col(own)["n_hit"] == 0).drop(own)
 
 
 def items_digest(items: Column) -> Column:

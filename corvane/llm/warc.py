@@ -16,6 +16,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs
@@ -45,10 +46,11 @@ def base32(digest):
     return F.concat(*[letter(k) for k in range(32)])
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def records(pages: DataFrame, least_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Pages (page_id, url, html) as WARC records: page_id, record (header and block as one string).
 
-    Of pages with equal payloads of at least ``least_bytes``, the one with the smallest page_id is a response,
+    A response's block is an HTTP message whose body is the payload; ``date`` (now, if none) is its WARC-Date. Without a
+    url the record's own name is the target. Of pages with equal payloads of at least ``least_bytes``, the one with the smallest page_id is a response,
     the others revisits that name it and carry no block; smaller payloads are all responses. A null html is an
     empty payload. Rows with a null page_id are responses where no id shares their payload; repeated rows with the
     smallest id are all responses. Payloads count as
@@ -68,19 +70,24 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     other = F.col("__sha1").isNotNull()
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(other, "revisit").otherwise("response")),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Record-ID", F.concat(F.lit("<"), name(F.col("page_id")), F.lit(">"))),
-        F.when(F.col("url") != "", line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", ""))).otherwise(""),
+        line("WARC-Target-URI", F.when(target != "", target).otherwise(name(F.col("page_id")))),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
         line("X-Payload-Bytes", F.col("size").cast("string")),
         F.when(other & F.col("first").isNotNull(), line("WARC-Refers-To", F.concat(F.lit("<"), name(F.col("first")), F.lit(">")))).otherwise(""),
         F.when(other, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
-        line("Content-Length", F.when(other, F.lit("0")).otherwise(F.col("size").cast("string"))),
+        line("Content-Length", F.when(other, F.lit("0")).otherwise((F.octet_length(http) + F.col("size")).cast("string"))),
         F.lit("\r\n"),
     )
-    return rows.select("page_id", F.concat(header, F.when(other, "").otherwise(F.col("html"))).alias("record"))
+    return rows.select("page_id", F.concat(header, F.when(other, "").otherwise(F.concat(http, "html"))).alias("record"))
 
 
 def write_monolithic(rows: DataFrame, folder: str) -> str:
@@ -151,12 +158,13 @@ def _normalise(folder: str):
         system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
-            for content in batch.column("content"):
+            for stream in batch.column("path").to_pylist():
                 name = f"{uuid.uuid4().hex}.warc.gz"
                 archive = f"{folder}/{name}"
                 index, offset = [], 0
-                with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-                    for header, record in split_records(inflate(pa.BufferReader(content.as_buffer()))):
+                of, path = file_system(stream)
+                with system.open_output_stream(f"{root}/{name}", compression=None) as out, of.open_input_stream(path, compression=None) as raw:
+                    for header, record in split_records(inflate(raw)):
                         packed = member(record)
                         out.write(packed)
                         index.append((archive, offset, len(packed), header["WARC-Record-ID"], header["WARC-Type"]))
@@ -173,12 +181,18 @@ def _normalise(folder: str):
 
 def normalise(spark: SparkSession, monolithic: str, folder: str) -> DataFrame:
     """Rewrite every gzip stream under ``monolithic`` as an archive of one member per record in ``folder``,
-    each with a sidecar ``.idx.jsonl``. Returns the offset index. A stream's compressed bytes (those of one
-    writing task) are held by its task; what it inflates to is not."""
-    streams = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(monolithic).select("content")
+    each with a sidecar ``.idx.jsonl``. Returns the offset index. A task reads a stream in pieces and holds a piece
+    and a record of it; only paths come through Spark."""
+    streams = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(monolithic).select("path")
     return materialise(streams.mapInArrow(_normalise(folder), INDEX), "warc-index")
 
 
+def remove(folder: str) -> None:
+    """Delete a folder of streams or archives, once no table reads it."""
+    system, path = file_system(folder)
+    system.delete_dir(path)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened: tuple[str, object] | None = None
     for batch in batches:
@@ -192,6 +206,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = record[record.index(END.encode()) + 4 : -4]
             told = header["WARC-Payload-Digest"].removeprefix("sha1:")
             response = header["WARC-Type"] == "response"
+            block = block[block.index(END.encode()) + 4 :] if response else block  # the body of the HTTP message
             if response and (told != base64.b32encode(hashlib.sha1(block).digest()).decode() or len(block) != int(header["X-Payload-Bytes"])):
                 raise ValueError(f"record {header['WARC-Record-ID']} of {archive} does not have the payload that it names")
             page = lambda key: None if (x := header.get(key, "")[len("<urn:page:") : -1]) in ("", "none") else int(x)  # noqa: B023, E731
@@ -218,6 +233,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/corvane-warc-{uuid.uuid4().hex}"
     monolithic = write_monolithic(records(table(spark, sf_dir, "pages")), f"{folder}/monolithic")
     index = normalise(spark, monolithic, f"{folder}/archives")
+    remove(monolithic)  # the index is a written table: nothing reads the streams again
     read = read_archives(index)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -39,6 +39,27 @@ def test_search_matches_brute_force(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[1]}
 
 
+def test_a_pass_holds_one_shard(spark, capsys):
+    """No plan searches more than one shard's tables, however many there are."""
+    docs = spark.createDataFrame([(1, "a b c"), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"w{i} v{i} u{i}") for i in range(40)], "item_id long, text string")
+    items, shards = d.benchmark_shards(bench, 30)
+    assert shards == 4 and items.groupBy("shard").count().agg({"count": "sum"}).first()[0] == 40
+    d.find_leaks(docs, bench, shard_words=30).explain()
+    plan = capsys.readouterr().out.partition("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") <= 1  # the merge of hits; searches are behind written tables
+    assert d.find_leaks(docs, bench, shard_words=30).count() == 2
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "zz zz zz", "p", "q", 3), (2, "yy", "p", "q", 4)], "doc_id long, text string, found string, others string, row int")
+    bench = spark.createDataFrame([("i", "zz zz zz"), ("j", "a b c")], "item_id string, text string")
+    for shard in (10**6, 1):
+        got = d.find_leaks(docs, bench, shard_words=shard)
+        assert got.columns == [*docs.columns, "leak"] and {r["doc_id"]: r["leak"]["n_hit"] for r in got.collect()} == {1: 3, 2: 0}
+        assert sorted(map(tuple, got.drop("leak").collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

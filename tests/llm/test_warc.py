@@ -30,6 +30,30 @@ def test_write_normalise_read(spark, tmp_path):
         assert gzip.decompress(f.read(r["length"])).startswith(b"WARC/1.1\r\n")
 
 
+def test_records_have_what_the_standard_asks_for(spark):
+    df = spark.createDataFrame([(1, "http://a/ b", "é"), (2, None, "é"), (3, "http://c", None)], "page_id long, url string, html string")
+    texts = {r["page_id"]: r["record"] for r in warc.records(df, 1, "2024-05-06T07:08:09Z").collect()}
+    for page, kind, target, payload in ((1, "response", "http://a/b", "é"), (2, "revisit", "urn:page:2", None), (3, "response", "http://c", "")):
+        head, _, block = texts[page].partition("\r\n\r\n")
+        first, *lines = head.split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert first == "WARC/1.1" and fields["WARC-Type"] == kind and fields["WARC-Date"] == "2024-05-06T07:08:09Z"
+        assert fields["WARC-Target-URI"] == target and fields["Content-Type"] == "application/http; msgtype=response"
+        assert int(fields["Content-Length"]) == len(block.encode())
+        if payload is not None:
+            http, _, body = block.partition("\r\n\r\n")
+            assert http.startswith("HTTP/1.1 200 OK\r\n") and body == payload and f"Content-Length: {len(payload.encode())}" in http
+    assert "WARC-Refers-To: <urn:page:1>" in texts[2]
+
+
+def test_a_removed_folder_is_gone(spark):
+    folder = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    warc.write_monolithic(warc.records(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")), folder)
+    warc.remove(folder)
+    system, path = warc.file_system(folder)
+    assert system.get_file_info(path).type.name == "NotFound"
+
+
 def test_smaller_payloads_are_responses_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     kinds = warc.records(df, 3).select("page_id", F.regexp_extract("record", "WARC-Type: (\\w+)", 1).alias("t")).collect()
