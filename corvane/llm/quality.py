@@ -2,9 +2,9 @@
 
 A linear model over shape features of the whole text minimises the non-negative unbiased risk of
 trusted positives (documents labelled good) and unlabelled text (all documents), weighted by a class
-prior estimated from the labelled rows. With the logistic loss the unbiased risk is convex, and each
-Newton step needs only sums over the rows: partial sums in the tasks, added by position in Spark. A
-step that would make the estimated risk of the negatives negative is halved until it does not.
+prior that is estimated from these two as well: labels of bad text are never used. With the logistic loss
+the unbiased risk is convex, and each Newton step needs only sums over the rows: partial sums in the
+tasks, added by position in Spark.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bytes_of, crc_mod, materialise, table, text_udf
+from corvane.llm.common import bytes_of, crc_mod, materialise, table, text_udf, unused
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 _GROUPS = [range(48, 58), range(65, 91), range(97, 123), [10], [9, 11, 12, 13, 32], [*range(9), *range(14, 32), 127], range(128, 256)]
@@ -28,8 +28,8 @@ for _k, _bytes in enumerate([*([b] for b in _PUNCTUATION), *_GROUPS]):
 #: Features of a text, besides the constant.
 FEATURES = _SHARES.shape[1] + 7
 #: Newton steps at most; each is one pass over the feature table.
-STEPS = 12
-RIDGE = 1e-4
+STEPS = 30
+RIDGE = 1e-2
 
 
 def _features(texts: list[bytes]) -> pa.Array:
@@ -86,12 +86,14 @@ def sums(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np
 
 @dataclass(frozen=True)
 class Model:
-    """Weights over standardised features, the constant first; ``prior`` is the estimated share of good text."""
+    """Weights over standardised features, the constant first; ``prior`` is the estimated share of good text. A
+    ``multiplier`` below 1 tells that the negatives' risk is held at zero."""
 
     weights: tuple[float, ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     prior: float
+    multiplier: float = 1.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         w = np.array(self.weights)
@@ -115,7 +117,13 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE) -> Model:
-    """Fit from rows (x: features, positive: boolean). All rows are the unlabelled sample, positives besides."""
+    """Fit from rows (x: features, positive: boolean). All rows are the unlabelled sample, positives besides.
+
+    The non-negative risk is ``prior * P+ + max(0, N)`` with ``N = U- - prior * P-`` (P, U: mean losses of the positives and of
+    all rows). Its minimum is that of ``prior * P+ + m * N`` for a multiplier m: 1 where N stays above zero, else
+    the m below 1, found by bisection, at which N is zero. Each of these is convex and solved by Newton steps, a
+    pass each, ``steps`` at most in all.
+    """
     if not rows.take(1):
         return Model((0.0,) * (FEATURES + 1), (0.0,) * FEATURES, (1.0,) * FEATURES, prior)
 
@@ -128,41 +136,70 @@ def fit(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE)
     mean = first / n
     scale = np.sqrt(np.maximum(second / n - mean**2, 0))
     scale = np.where(scale > 1e-6, scale, 1.0)
-    d = FEATURES + 1
 
-    def risk_terms(w: np.ndarray) -> tuple[float, float, float, np.ndarray, np.ndarray]:
+    def losses(w: np.ndarray) -> Losses:
         def partial(batch: pa.RecordBatch) -> np.ndarray:
             x = np.c_[np.ones(batch.num_rows), (_matrix(batch.column("x")) - mean) / scale]
             positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-            z = np.clip(x @ w, -500, 500)
-            p = 1 / (1 + np.exp(-z))
-            zp, xp = z[positive], x[positive]
-            return np.r_[len(z), _softplus(z).sum(), len(zp), _softplus(-zp).sum(), _softplus(zp).sum(), xp.sum(axis=0), x.T @ p, ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
-
-        t = sums(rows, partial)
-        n_u, n_p = t[0], max(1.0, t[2])
-        negative = t[1] / n_u - prior * t[4] / n_p
-        risk = prior * t[3] / n_p + negative + ridge / 2 * float(w @ w)
-        gradient = t[5 + d : 5 + 2 * d] / n_u - prior * t[5 : 5 + d] / n_p + ridge * w
-        return risk, negative, n_p, gradient, t[5 + 2 * d :].reshape(d, d) / n_u + ridge * np.eye(d)
-
-    w = np.zeros(d)
+            return np.concatenate([_loss_sums(part, w) for part in (x, x[positive])])
+
+        return Losses(sums(rows, partial), prior, ridge, w)
+
+    w = np.zeros(FEATURES + 1)
     w[0] = np.log(prior / (1 - prior))
-    risk, negative, _, gradient, hessian = risk_terms(w)
-    passes, pace = 1, 1.0
-    while passes < steps:
-        step = np.linalg.solve(hessian, gradient)
-        if float(gradient @ step) < 1e-7:
-            break
-        tried = w - pace * step
-        now = risk_terms(tried)
-        passes += 1
-        if now[0] > risk + 1e-12 or now[1] < 0:  # beyond the minimum, or the negatives' risk below zero
-            pace /= 2
-            continue
-        w, pace = tried, min(1.0, 2 * pace)
-        risk, negative, _, gradient, hessian = now
-    return Model(tuple(w), tuple(mean), tuple(scale), prior)
+    now, passes = losses(w), 1
+
+    def minimise(now: Losses, multiplier: float) -> Losses:
+        nonlocal passes
+        pace = 1.0
+        while passes < steps:
+            gradient, hessian = now.slope(multiplier)
+            step = np.linalg.solve(hessian, gradient)
+            if float(gradient @ step) < 1e-8:
+                break
+            tried = losses(now.w - pace * step)
+            passes += 1
+            if tried.risk(multiplier) > now.risk(multiplier) + 1e-12:
+                pace /= 2
+                continue
+            now, pace = tried, min(1.0, 2 * pace)
+        return now
+
+    now, multiplier = minimise(now, 1.0), 1.0
+    low, high = 0.0, 1.0
+    while now.negative < -1e-4 and passes < steps or now.negative > 1e-4 and multiplier < 1 and passes < steps:
+        low, high = (low, multiplier) if now.negative < 0 else (multiplier, high)
+        multiplier = (low + high) / 2
+        now = minimise(now, multiplier)
+    return Model(tuple(now.w), tuple(mean), tuple(scale), prior, multiplier)
+
+
+def _loss_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows, losses as a positive and as a negative, margins' slope, and the losses' slope and curvature."""
+    z = np.clip(x @ w, -500, 500)
+    p = 1 / (1 + np.exp(-z))
+    return np.r_[len(z), _softplus(-z).sum(), _softplus(z).sum(), x.sum(axis=0), x.T @ p, ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+
+
+class Losses:
+    """Mean losses of all rows and of the positives at weights ``w``, with their slopes."""
+
+    def __init__(self, total: np.ndarray, prior: float, ridge: float, w: np.ndarray):
+        d = len(w)
+        self.prior, self.ridge, self.w = prior, ridge, w
+        self.all, self.good = (t / max(1.0, t[0]) for t in np.split(total, 2))
+        self.x, self.p, self.curve = slice(3, 3 + d), slice(3 + d, 3 + 2 * d), slice(3 + 2 * d, None)
+        self.negative = float(self.all[2] - prior * self.good[2])
+
+    def risk(self, multiplier: float = 1.0) -> float:
+        return float(self.prior * self.good[1] + multiplier * self.negative + self.ridge / 2 * self.w @ self.w)
+
+    def slope(self, multiplier: float) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian; the two losses of a positive differ by its margin, so its curvatures cancel at 1."""
+        d, rest = len(self.w), self.prior * (1 - multiplier)
+        gradient = self.prior * (self.good[self.p] - self.good[self.x]) + multiplier * (self.all[self.p] - self.prior * self.good[self.p]) + self.ridge * self.w
+        hessian = multiplier * self.all[self.curve] + rest * self.good[self.curve]
+        return gradient, hessian.reshape(d, d) + self.ridge * np.eye(d)
 
 
 def trusted(labels: DataFrame, column: str) -> DataFrame:
@@ -172,21 +209,48 @@ def trusted(labels: DataFrame, column: str) -> DataFrame:
     return rows.filter(crc_mod(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def estimated_prior(rows: DataFrame) -> float:
+    """The share of good ones among all rows (score, kept), from positives that the score was not learnt from (``kept``).
+
+    Above any score lie at least ``share * (positives above it)`` of all rows, and no more where only good ones are:
+    the share is the least ratio of the two, over thresholds that a tenth of the positives or more reach. The ratio's
+    chance error is a twentieth at most there. Scores are counted in 1,000 bins.
+    """
+    bins = rows.groupBy(F.least(F.floor(F.col("score") * 1000), F.lit(999)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("p"))
+    every, good = np.zeros(1000), np.zeros(1000)
+    for r in bins.collect():
+        every[r["bin"]], good[r["bin"]] = r["n"], r["p"]
+    if not good.sum():
+        return 0.5
+    above, reached = np.cumsum(every[::-1]) / every.sum(), np.cumsum(good[::-1]) / good.sum()
+    own = (reached >= 0.1) & (np.cumsum(good[::-1]) >= min(400, good.sum()))
+    return float(np.clip((above[own] / reached[own]).min(), 0.01, 0.99))
+
+
 def train(shapes: DataFrame, labels: DataFrame) -> Model:
-    """The model from rows (doc_id, x) of all documents and the labels table (doc_id, quality)."""
-    known = trusted(labels, "quality")
-    # the estimated class prior: the labelled rows' share of good ones, smoothed
-    n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0))).first()
-    prior = (good + 1) / (n + 2)
-    rows = shapes.join(known, "doc_id", "left").select("x", (F.coalesce("label", F.lit(0)) == 1).alias("positive"))
-    return fit(materialise(rows, "quality"), prior)
+    """The model from rows (doc_id, x) of all documents and the labels table (doc_id, quality).
+
+    Only labels of good text are used. The class prior is estimated with a first model that a quarter of the
+    positives, by a hash of their ids, are kept from; the second has them all.
+    """
+    good = trusted(labels, "quality").filter("label = 1").select("doc_id", F.lit(True).alias("good"))
+    known = F.coalesce("good", F.lit(False))
+    kept = known & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(4)) == 0)
+    rows = materialise(shapes.join(good, "doc_id", "left").select("x", known.alias("good"), kept.alias("kept")), "quality")
+    if rows.filter("good").isEmpty():
+        return Model((0.0,) * (FEATURES + 1), (0.0,) * FEATURES, (1.0,) * FEATURES, 0.5)
+    first = fit(rows.select("x", (F.col("good") & ~F.col("kept")).alias("positive")), 0.5, 8)
+    prior = estimated_prior(rows.select(first.score(F.col("x")).alias("score"), "kept"))
+    return fit(rows.select("x", F.col("good").alias("positive")), prior)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """The documents whose score is at least ``least``, all columns kept. Empty texts score like any other."""
-    shapes = materialise(documents.select("doc_id", features(F.col("text")).alias("x")), "shapes")
-    model = train(shapes, labels)
-    return documents.withColumn("__score", model.score(features(F.col("text")))).filter(F.col("__score") >= least).drop("__score")
+    """The documents whose score is at least ``least``, all columns kept, whatever their names. Empty texts score like
+    any other. The documents and their features are written once, learnt from and scored there."""
+    own = unused(documents, "shape")
+    shaped = materialise(documents.withColumn(own, features(F.col("text"))), "shaped")
+    model = train(shaped.select("doc_id", F.col(own).alias("x")), labels)
+    return shaped.filter(model.score(F.col(own)) >= least).drop(own)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

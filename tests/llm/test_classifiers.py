@@ -39,6 +39,69 @@ def frames(spark):
     return docs, labels, spark.createDataFrame(docs + extra, "doc_id long, text string, score string"), spark.createDataFrame([*labels, (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
 
 
+def plain_risk(x, positive, prior, w, multiplier=1.0, ridge=quality.RIDGE):
+    """The unbiased risk of weights by the definition, with its negative part."""
+    z = np.c_[np.ones(len(x)), x] @ w
+    negative = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z[positive]).mean()
+    return prior * np.logaddexp(0, -z[positive]).mean() + multiplier * negative + ridge / 2 * w @ w, negative
+
+
+def standardised(features):
+    x = np.array(features, float)
+    scale = np.sqrt(np.maximum((x * x).mean(0) - x.mean(0) ** 2, 0))
+    return (x - x.mean(0)) / np.where(scale > 1e-6, scale, 1.0)
+
+
+def test_quality_weights_minimise_the_non_negative_risk(spark):
+    rng = np.random.default_rng(6)
+    good = rng.random(400) < 0.6
+    raw = rng.normal(size=(400, quality.FEATURES)).astype(np.float32)
+    raw[:, 0] += 1.5 * good
+    positive = good & (rng.random(400) < 0.5)
+    rows = spark.createDataFrame([(r.tolist(), bool(p)) for r, p in zip(raw, positive)], "x array<float>, positive boolean")
+    x = standardised(raw)
+    bound = []
+    for prior in (0.3, 0.6, 0.95):
+        model = quality.fit(rows, prior)
+        w, m = np.array(model.weights), model.multiplier
+        risk, negative = plain_risk(x, positive, prior, w, m)
+        bound.append(m)
+        assert negative > -1e-3 and (m == 1.0 or abs(negative) < 1e-2)
+        # plain gradient descent by differences ends no lower, from the solution and from zero
+        for v in (w.copy(), np.zeros_like(w)):
+            for _ in range(400):
+                z = np.c_[np.ones(len(x)), x] @ v
+                p, full = 1 / (1 + np.exp(-z)), np.c_[np.ones(len(x)), x]
+                g = prior * (full[positive] * (p[positive] - 1)[:, None]).mean(0) + m * ((full * p[:, None]).mean(0) - prior * (full[positive] * p[positive][:, None]).mean(0)) + quality.RIDGE * v
+                v -= 0.2 * g
+            assert plain_risk(x, positive, prior, v, m)[0] >= risk - 1e-4
+        assert np.allclose(model.margin(raw.astype(float)), np.c_[np.ones(len(x)), x] @ w, atol=1e-3)
+    assert bound[0] == 1.0 and bound[2] < 1.0  # the risk of the negatives binds where the prior is far too large
+
+
+def test_prior_from_positives_and_unlabelled_text(spark):
+    rng = np.random.default_rng(8)
+    for share in (0.2, 0.7):
+        good = rng.random(20_000) < share
+        score = np.clip(np.where(good, rng.normal(0.75, 0.1, 20_000), rng.normal(0.3, 0.1, 20_000)), 0, 1)
+        rows = spark.createDataFrame(list(zip(score.tolist(), (good & (rng.random(20_000) < 0.2)).tolist())), "score double, kept boolean")
+        assert abs(quality.estimated_prior(rows) - share) < 0.05
+
+
+def test_labels_of_bad_text_are_not_used(spark):
+    docs, labels, df, known = frames(spark)
+    shapes = df.select("doc_id", quality.features(df["text"]).alias("x"))
+    assert quality.train(shapes, known) == quality.train(shapes, known.filter("quality = 1"))
+
+
+def test_quality_keeps_columns_of_any_name_and_long_texts(spark):
+    docs, labels, df, known = frames(spark)
+    wide = df.withColumnRenamed("score", "shape").unionByName(spark.createDataFrame([(8000, "lorem " * 500_000, "y")], "doc_id long, text string, shape string"))
+    kept = quality.keep_good(wide, known, 0.0)
+    assert kept.columns == ["doc_id", "text", "shape"] and kept.count() == wide.count()
+    assert sorted(r["shape"] for r in kept.collect()) == sorted(r["shape"] for r in wide.collect())
+
+
 def test_quality_held_out(spark):
     docs, labels, df, known = frames(spark)
     shapes = df.select("doc_id", quality.features(df["text"]).alias("x"))
