@@ -48,6 +48,12 @@ def norm(vector: Column) -> Column:
     return F.sqrt(_total(F.transform(vector, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def unit(vector: Column) -> Column:
+    """The vector at length 1 in double precision; a zero vector stays."""
+    length = norm(vector)
+    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+
+
 def cosine(left: Column, right: Column) -> Column:
     """Cosine in double precision; 0 where lengths differ or a vector is zero."""
     lengths = norm(left) * norm(right)

@@ -66,15 +66,14 @@ def search_key(text: Column) -> Column:
 
 def keep_first(values: Column, key: Callable[[Column], Column], seen: Column | None = None) -> Column:
     """The values of an array whose key is not empty and did not occur before, nor is ``seen``, in order."""
-    pairs = F.transform(values, lambda x: F.struct(key(x).alias("key"), x.alias("value")))
-    none = F.array().cast("array<string>")
-    start = F.struct((none if seen is None else F.array(seen)).alias("keys"), none.alias("values"))
-
-    def step(s: Column, p: Column) -> Column:
-        more = F.struct(F.concat(s["keys"], F.array(p["key"])).alias("keys"), F.concat(s["values"], F.array(p["value"])).alias("values"))
-        return F.when((p["key"] != "") & ~F.array_contains(s["keys"], p["key"]), more).otherwise(s)
-
-    return F.aggregate(pairs, start, step, lambda s: s["values"])
+    keyed = F.filter(F.transform(values, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("value"))), lambda p: p["key"] != "")
+    keyed = F.array_sort(keyed if seen is None else F.filter(keyed, lambda p: p["key"] != seen))
+    # beside each value the key of the one before it in order of keys: sorted, not every value against all
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(keyed, lambda p: p["key"]))
+    pairs = F.zip_with(keyed, before, lambda p, b: F.struct(p.alias("p"), b.alias("before")))
+    firsts = F.filter(pairs, lambda x: x["p"].isNotNull() & ~x["p"]["key"].eqNullSafe(x["before"]))
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["p"]["at"], x["p"]["value"].alias("value"))))
+    return F.transform(placed, lambda x: x["value"])
 
 
 def file_name(path: Column) -> Column:

@@ -26,18 +26,22 @@ def catalog(chunks: DataFrame) -> DataFrame:
     return grouped.select("source", title(F.col("source")).alias("title"), "headings", "chunk_count")
 
 
-def search_documents(documents: DataFrame, query: str, passages: DataFrame | None = None, allowed: Sequence[str] | None = None, top: int = 5) -> DataFrame:
+def search_documents(documents: DataFrame, query: str, passages: DataFrame | None = None, allowed: Sequence[str] | DataFrame | None = None, top: int = 5) -> DataFrame:
     """The best ``top`` documents of a catalogue: reciprocal ranks by metadata and by first passage hit, and 1 more where
     the query contains the file name or title.
 
-    ``passages`` is ranked hits (source, rank), a rank for each hit; metadata ranks are given among allowed sources
+    ``passages`` is ranked hits (source, rank), a rank for each hit; metadata ranks are given among allowed sources (a list, or a table with a
+    column source)
     with a positive score. Only documents in one of the two lists are returned.
     """
     if top < 1:
         raise ValueError("top must be positive")
     text = F.concat_ws("\n", "source", file_name(F.col("source")), stem(F.col("source")), "title", F.array_join("headings", "\n"))
     scored = bm25_scores(documents, query, {"score": text})
-    permitted = lambda df: df if allowed is None else df.filter(F.col("source").isin(*allowed))
+    if isinstance(allowed, DataFrame):
+        permitted = lambda df: df.join(allowed.select("source").distinct(), "source", "left_semi")
+    else:
+        permitted = lambda df: df if allowed is None else df.filter(F.col("source").isin(*allowed))
     found = permitted(scored.filter("score > 0")).select("source", "score")
     ranks = global_rank(found, F.desc("score"), F.col("source"), name="metadata_rank").drop("score")
     if passages is not None:

@@ -143,4 +143,4 @@ def graph_paths(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: st
 def evidence_chunks(paths: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunks that the paths rest on, each with the best path's score."""
     best = paths.select(F.explode("chunk_ids").alias("id"), "score").groupBy("id").agg(F.max("score").alias("score"))
-    return chunks.join(F.broadcast(best), "id")
+    return chunks.join(best, "id")

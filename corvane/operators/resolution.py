@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.scoring import cosine
+from corvane.functions.scoring import dot, unit
 from corvane.functions.text import entity_key
 from corvane.sources.shared import checkpoint
 
@@ -27,31 +27,34 @@ def names(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("name", entity_key(F.col("name"))).filter("name <> ''").distinct()
 
 
-def comparable(left: str, right: str):
-    """Types may meet if they are equal or one is unclassified."""
-    return (F.col(left) == F.col(right)) | (F.col(left) == UNCLASSIFIED) | (F.col(right) == UNCLASSIFIED)
-
-
 def name_matches(incoming: DataFrame, canonical: DataFrame) -> DataFrame:
     """(id, match): for incoming nodes (id, rank, label, type, aliases), the canonical one of lowest rank that shares a
     normalised name and has a comparable type."""
     own = names(incoming).select("id", "type", "name")
-    others = names(canonical).select(F.col("id").alias("match"), F.col("rank").alias("match_rank"), F.col("type").alias("match_type"), "name")
-    found = own.join(others, "name").filter(comparable("type", "match_type"))
-    return found.groupBy("id").agg(F.min_by("match", F.struct("match_rank", "match")).alias("match"))
+    # one row for each name and type, and one for the name in any type, however many nodes share it
+    best = names(canonical).groupBy("name", "type").agg(F.min(F.struct("rank", "id")).alias("best"))
+    typed = own.filter(F.col("type") != UNCLASSIFIED).withColumn("meets", F.explode(F.array("type", F.lit(UNCLASSIFIED))))
+    found = typed.join(best.withColumnRenamed("type", "meets"), ["name", "meets"]).select("id", "best")
+    every = best.groupBy("name").agg(F.min("best").alias("best"))
+    found = found.unionByName(own.filter(F.col("type") == UNCLASSIFIED).join(every, "name").select("id", "best"))
+    return found.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.id").alias("match"))
 
 
 def vector_candidates(incoming: DataFrame, canonical: DataFrame, top: int = TOP, least: float = SIMILARITY) -> DataFrame:
     """(id, candidate, similarity, rank): up to ``top`` canonical nodes of a comparable type with a cosine of at least
     ``least``; ties by id. Both sides have (id, type, vector)."""
-    left = incoming.select("id", F.col("type").alias("own_type"), "vector")
-    right = canonical.select(F.col("id").alias("candidate"), F.col("type").alias("other_type"), F.col("vector").alias("other"))
-    # an incoming node meets its own type and unclassified ones, an unclassified node every type (a short registry)
-    kinds = [r["other_type"] for r in right.select("other_type").distinct().collect()]
-    every = F.array(*[F.lit(k) for k in kinds]).cast("array<string>")
-    meets = F.when(F.col("own_type") == UNCLASSIFIED, every).otherwise(F.array_distinct(F.array("own_type", F.lit(UNCLASSIFIED))))
-    pairs = left.withColumn("other_type", F.explode(meets)).join(right, "other_type").filter("id <> candidate")
-    scored = pairs.select("id", "candidate", F.round(cosine(F.col("vector"), F.col("other")), 9).alias("similarity")).filter(F.col("similarity") >= least)
+    # Blocks: an unclassified incoming node meets block "any", which holds every canonical node, others their own type's
+    # and the unclassified one. A block's canonical rows are dealt out in parts, each incoming node asks all of them.
+    parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda any_type, kind: F.struct(any_type.alias("any"), kind.alias("kind"))
+    whole = block(F.lit(True), F.lit(None).cast("string"))
+    typed = block(F.lit(False), F.col("type"))
+    meets = F.when(F.col("type") == UNCLASSIFIED, F.array(whole)).otherwise(F.array(typed, block(F.lit(False), F.lit(UNCLASSIFIED))))
+    left = incoming.select("id", unit(F.col("vector")).alias("vector"), F.explode(meets).alias("b")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = canonical.select(F.col("id").alias("candidate"), unit(F.col("vector")).alias("other"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(whole, typed)).alias("b"))
+    flat = lambda rows: rows.withColumns({"any": F.col("b.any"), "kind": F.coalesce("b.kind", F.lit(""))}).drop("b")
+    pairs = flat(left).join(flat(right), ["any", "kind", "part"]).filter("id <> candidate and size(vector) = size(other)")
+    scored = pairs.select("id", "candidate", F.round(dot(F.col("vector"), F.col("other")), 9).alias("similarity")).filter(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 

@@ -60,7 +60,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     pairs = t("nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("source"), F.concat(F.lit("region:"), "n_regionkey").alias("target"), F.lit("part_of").alias("label"), F.col("n_nationkey").cast("long").alias("k"))
     pairs = pairs.unionByName(t("supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("source"), F.concat(F.lit("nation:"), "s_nationkey").alias("target"), F.lit("located_in").alias("label"), F.col("s_suppkey").alias("k")))
-    supplied = t("lineitem").select("l_suppkey", "l_partkey").distinct().filter("l_partkey % 10 = 0")
+    supplied = t("lineitem").select("l_suppkey", "l_partkey").distinct()
     pairs = pairs.unionByName(supplied.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("source"), F.concat(F.lit("part:"), "l_partkey").alias("target"), F.lit("supplies").alias("label"), (F.col("l_suppkey") + F.col("l_partkey")).alias("k")))
     named = pairs.withColumn("id", F.concat_ws("|", "label", "source", "target")).withColumn("properties", F.lit(None).cast("string"))
     return _attached(named, spark, sf_dir, ["id", "source", "target", "label", "properties"])
@@ -83,6 +83,6 @@ C_EDGES = """
 c_edges AS (SELECT label || '|' || e.source || '|' || target AS id, e.source, target, label, NULL::VARCHAR AS properties, [c.id] AS chunk_ids, c.source AS chunk_source FROM (
   SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'part_of' AS label, n_nationkey::BIGINT AS k FROM nation
   UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'located_in', s_suppkey FROM supplier
-  UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies', l_suppkey + l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 10 = 0)) e
+  UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies', l_suppkey + l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) e
   JOIN c_chunks c ON c.doc_id = e.k % (SELECT count(*) FROM documents))
 """

@@ -39,7 +39,7 @@ def node_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_partkey % 10 = 0").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     target = F.concat(F.lit("name:"), "p_name")
     source = F.concat(F.lit("supplier:"), F.col("l_suppkey"))
     return lines.select(
@@ -52,7 +52,7 @@ def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 NP = """np AS (SELECT 'name:' || p_name AS id, p_partkey AS ord, p_brand AS source, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 5 = 0 THEN p_name || 's' ELSE p_name || ' ' || p_size END AS label,
  CASE WHEN p_size > 40 THEN lower(p_type) ELSE 'unclassified' END AS type, CASE WHEN p_size < 10 THEN p_type END AS suggested, [p_type, p_brand] AS aliases, [p_type] AS more, p_retailprice AS price, 'c' || (p_partkey % 7) AS chunk FROM part)"""
 EP = """ep AS (SELECT 'supplier:' || l_suppkey || '|name:' || p_name AS id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ord, p_brand AS source, 'supplier:' || l_suppkey AS s, 'name:' || p_name AS t, 'ships_' || lower(l_returnflag) AS label, 'c' || (l_orderkey % 5) AS chunk
- FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 10 = 0)"""
+ FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def node_sql(rows: str, out: str) -> str:
@@ -200,11 +200,11 @@ def normalized_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("blocked_knn", """WITH v AS (SELECT vec_id::VARCHAR AS id, CASE WHEN label = 0 THEN 'unclassified' ELSE 't' || label END AS type, embedding::DOUBLE[] AS e, vec_id FROM embeddings),
-p AS (SELECT a.id, b.id AS candidate, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM v a JOIN v b ON a.id <> b.id AND (a.type = b.type OR a.type = 'unclassified' OR b.type = 'unclassified') WHERE a.vec_id < 60),
+p AS (SELECT a.id, b.id AS candidate, round(list_cosine_similarity(a.e, b.e), 9) AS similarity FROM v a JOIN v b ON a.id <> b.id AND (a.type = b.type OR a.type = 'unclassified' OR b.type = 'unclassified') WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, candidate) AS rank FROM p WHERE similarity >= 0.2) SELECT id, candidate, similarity, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
 def blocked_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", F.when(F.col("label") == 0, "unclassified").otherwise(F.concat(F.lit("t"), F.col("label"))).alias("type"), F.col("embedding").alias("vector"))
-    return resolution.vector_candidates(rows.filter("vec_id < 60"), rows, 10, 0.2).withColumn("rank", F.col("rank").cast("long"))
+    return resolution.vector_candidates(rows.filter("vec_id % 20 = 0"), rows, 10, 0.2).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("edge_remap_dedupe", """WITH e AS (SELECT 'supplier:' || (l_suppkey % 10) AS source, 'part:' || l_partkey AS target, lower(l_returnflag) AS label FROM lineitem) SELECT source, target, label, count(*)::BIGINT AS n FROM e GROUP BY ALL""")
@@ -229,14 +229,14 @@ def extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("size-"), F.col("p_size")).alias("chunk_id"), F.lit("a/b.md").alias("source"), F.array(F.col("p_size").cast("string")).alias("heading_path"), F.col("p_partkey").alias("ord"),
         F.concat(F.lit("r"), F.col("p_partkey")).alias("ref"), label.alias("label"), F.when(F.col("p_partkey") % 17 == 0, "Table").otherwise(F.lower("p_type")).alias("type"), F.lit(None).cast("string").alias("suggested_type"),
     )
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     edges = lines.select(F.concat(F.lit("size-"), F.col("p_size")).alias("chunk_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("ord"), F.concat(F.lit("r"), F.col("p_partkey")).alias("source_ref"), F.concat(F.lit("r"), (F.col("p_partkey") * 7) % 2500).alias("target_ref"), F.lower("l_returnflag").alias("label"))
     return nodes, edges
 
 
 X = """xn AS (SELECT 'size-' || p_size AS chunk_id, p_partkey AS ord, 'r' || p_partkey AS ref, CASE WHEN p_partkey % 11 = 0 THEN 'Heading' WHEN p_partkey % 13 = 0 THEN 'Chunk: ' || p_size ELSE p_name END AS label,
   p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 17 = 0 AS structural FROM part),
-xe AS (SELECT 'size-' || p_size AS chunk_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ord, 'r' || p_partkey AS source_ref, 'r' || (p_partkey * 7 % 2500) AS target_ref, lower(l_returnflag) AS label FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0),
+xe AS (SELECT 'size-' || p_size AS chunk_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ord, 'r' || p_partkey AS source_ref, 'r' || (p_partkey * 7 % 2500) AS target_ref, lower(l_returnflag) AS label FROM lineitem JOIN part ON l_partkey = p_partkey),
 xk AS (SELECT *, chunk_id || '::node-' || lpad((row_number() OVER (PARTITION BY chunk_id ORDER BY ord))::VARCHAR, 4, '0') AS id FROM xn WHERE NOT structural),
 xj AS (SELECT e.*, s.id AS s, t.id AS t FROM xe e LEFT JOIN xk s ON s.chunk_id = e.chunk_id AND s.ref = source_ref LEFT JOIN xk t ON t.chunk_id = e.chunk_id AND t.ref = target_ref
   WHERE NOT EXISTS (SELECT 1 FROM xn n WHERE n.structural AND n.chunk_id = e.chunk_id AND n.ref IN (source_ref, target_ref)))"""
@@ -331,19 +331,19 @@ def transcript_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Texts of digits, and corrections that each rewrite two marked places."""
-    t = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.lit("s").alias("source"), F.col("o_orderkey").cast("int").alias("index"), F.concat_ws(" ", F.lit("alpha"), "o_orderkey", F.lit("beta"), "o_custkey", F.lit("gamma")).alias("text"))
+    t = table(spark, sf_dir, "orders").select(F.lit("s").alias("source"), F.col("o_orderkey").cast("int").alias("index"), F.concat_ws(" ", F.lit("alpha"), "o_orderkey", F.lit("beta"), "o_custkey", F.lit("gamma")).alias("text"))
     row = lambda i, original, context, to: t.select(F.concat(F.lit(f"{i}-"), "index").alias("id"), "source", F.col("index").alias("chunk"), F.lit(original).alias("original"), F.lit(to).alias("replacement"), F.lit(context).alias("context"), F.when(F.col("index") % 2 == 0, "apply").otherwise("review").alias("decision"), F.lit(False).alias("reviewed"))
     rows = row(1, "alpha", "alpha ", "Alpha").unionByName(row(2, "beta", " beta ", "Beta-2")).unionByName(row(3, "eta", "beta", "ETA").filter("chunk % 5 = 0"))
     return t, rows
 
 
-@query("correction_overlap", "SELECT i || '-' || o_orderkey AS id FROM orders, (VALUES (2), (3)) v(i) WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 = 0")
+@query("correction_overlap", "SELECT i || '-' || o_orderkey AS id FROM orders, (VALUES (2), (3)) v(i) WHERE o_orderkey % 5 = 0")
 def correction_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, rows = _ledger(spark, sf_dir)
     return transcripts.overlapping(transcripts.located(rows, texts)).select("id")
 
 
-@query("correction_apply", "SELECT o_orderkey::BIGINT AS index, CASE WHEN o_orderkey % 2 = 0 THEN 'Alpha' ELSE 'alpha' END || ' ' || o_orderkey || ' ' || CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 THEN 'Beta-2' ELSE 'beta' END || ' ' || o_custkey || ' gamma' AS text FROM orders WHERE o_orderkey % 3 = 0")
+@query("correction_apply", "SELECT o_orderkey::BIGINT AS index, CASE WHEN o_orderkey % 2 = 0 THEN 'Alpha' ELSE 'alpha' END || ' ' || o_orderkey || ' ' || CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 THEN 'Beta-2' ELSE 'beta' END || ' ' || o_custkey || ' gamma' AS text FROM orders")
 def correction_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, rows = _ledger(spark, sf_dir)
     return transcripts.apply_corrections(texts, transcripts.located(rows, texts)).select(F.col("index").cast("long").alias("index"), "text")
@@ -356,10 +356,10 @@ def conversation_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.compacted(turns, 250, 120).select("conv_id", "turn", "tokens", "keeps")
 
 
-@query("reference_registry", "WITH " + C_CHUNKS + ", r AS (SELECT source, page_start, page_end, min(doc_id) AS first FROM c_chunks WHERE doc_id < 200 GROUP BY ALL) SELECT source, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, 'S' || row_number() OVER (ORDER BY first) AS name FROM r")
+@query("reference_registry", "WITH " + C_CHUNKS + ", r AS (SELECT source, page_start, page_end, min(doc_id) AS first FROM c_chunks GROUP BY ALL) SELECT source, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, 'S' || row_number() OVER (ORDER BY first) AS name FROM r")
 def reference_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two hundred hits of a session."""
-    rows = corpora.chunks(spark, sf_dir).filter("doc_id < 200").select(F.col("doc_id").alias("ord"), "source", "page_start", "page_end")
+    """All chunks as the hits of a session."""
+    rows = corpora.chunks(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", "page_start", "page_end")
     return ledger.registry(rows).select("source", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"), "name")
 
 
@@ -370,12 +370,11 @@ def evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each source: a title, a section for each row, and a page marker every five."""
+    """Every row as a document of its own: a title, a page marker in every fifth, a section with the text."""
     docs = table(spark, sf_dir, "documents")
-    block = F.concat(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<!-- page: "), F.col("doc_id") + 1, F.lit(" -->\n"))).otherwise(""), F.lit("## Doc "), F.col("doc_id"), F.lit("\n\n"), "text")
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", block.alias("block"))))
-    body = F.array_join(F.transform(listed, lambda x: x["block"]), "\n\n")
-    return docs.groupBy("source").agg(body.alias("body")).select(F.concat("source", F.lit(".md")).alias("source"), F.concat(F.lit("# "), "source", F.lit("\n\n"), "body").alias("markdown"))
+    marker = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<!-- page: "), F.col("doc_id") + 1, F.lit(" -->\n"))).otherwise("")
+    body = F.concat(F.lit("# "), "source", F.lit("\n\n"), marker, F.lit("## Doc "), "doc_id", F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return docs.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), body.alias("markdown"))
 
 
 @query("chunk_markdown")

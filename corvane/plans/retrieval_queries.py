@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scoring
 from corvane.functions.text import in_folder, source_key
-from corvane.operators import bm25, chunk_search, context, document_search, hybrid, paths, ranking, references
+from corvane.operators import bm25, chunk_search, chunking, context, document_search, hybrid, paths, ranking, references
 from corvane.plans import corpora, sql
 from corvane.plans.corpora import C_CHUNKS, C_EDGES, C_NODES, table
 from corvane.sources.export import viewer_nodes
@@ -119,12 +119,16 @@ def noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query("cosine_topk", f"SELECT query_id, vec_id, round(score, 9) AS score, rank::BIGINT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20) WHERE rank <= 5")
+@query("cosine_topk", f"SELECT query_id, vec_id, round(score, 9) AS score, rank::BIGINT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For twenty given query vectors, the five nearest within their block."""
+    """For every twentieth vector, the five nearest within their block."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "label")
-    pairs = vectors.join(F.broadcast(asked), "label").filter("vec_id <> query_id")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "label")
+    # the rows of a label are dealt out, so a hot label is many tasks' work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.withColumn("__part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    asked = asked.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = dealt.join(asked, ["label", "__part"]).filter("vec_id <> query_id")
     rows = pairs.select("query_id", "vec_id", F.round(scoring.cosine(F.col("asked"), F.col("embedding")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank.cast("long")).filter("rank <= 5")
@@ -259,20 +263,19 @@ def documents_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "title", F.array_join("headings", "|").alias("headings"), "chunk_count", r9("score"))
 
 
-@query("page_range_merge", "WITH " + C_CHUNKS + """, h AS (SELECT source, page_start AS s, page_end AS e, doc_id FROM c_chunks WHERE doc_id % 4 <> 1),
+@query("page_range_merge", "WITH " + C_CHUNKS + """, h AS (SELECT source, page_start AS s, page_end AS e, doc_id FROM c_chunks),
 b AS (SELECT *, max(e) OVER w AS before FROM h WINDOW w AS (PARTITION BY source ORDER BY s, e, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY s, e, doc_id ROWS UNBOUNDED PRECEDING) AS island FROM b)
 SELECT source, min(s)::BIGINT AS page_start, max(e)::BIGINT AS page_end, source || ' (' || CASE WHEN min(s) = max(e) THEN 'p. ' || min(s) ELSE 'pp. ' || min(s) || '-' || max(e) END || ')' AS label FROM i GROUP BY source, island""")
 def page_range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = corpora.chunks(spark, sf_dir).filter("doc_id % 4 <> 1").select(F.col("doc_id").alias("ord"), "source", "page_start", "page_end")
+    hits = corpora.chunks(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", "page_start", "page_end")
     found = references.source_references(hits)
     return found.select("source", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"), references.reference_label(F.col("source"), F.col("page_start"), F.col("page_end")).alias("label"))
 
 
 @query("chunk_neighborhood", "WITH " + C_CHUNKS + " SELECT id, lag(id) OVER w AS previous, lead(id) OVER w AS next FROM c_chunks WINDOW w AS (PARTITION BY source ORDER BY index)")
 def chunk_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_index = Window.partitionBy("source").orderBy("index")
-    return corpora.chunks(spark, sf_dir).select("id", F.lag("id").over(by_index).alias("previous"), F.lead("id").over(by_index).alias("next"))
+    return chunking.neighbours(corpora.chunks(spark, sf_dir)).select("id", F.col("previous_id").alias("previous"), F.col("next_id").alias("next"))
 
 
 _NODE_TEXT = "n.label || ' [' || n.type || ']' || CASE WHEN len(n.aliases) > 0 THEN ' | aliases: ' || array_to_string(n.aliases, ', ') ELSE '' END || coalesce(' | suggested type: ' || n.suggested_type, '') || coalesce(' | properties: ' || n.properties, '')"

@@ -170,7 +170,7 @@ class KnowledgeBase:
         chunks, _, _ = self.restricted(scope)
         passages = bm25.bm25_scores(chunks, query, {"score": F.col("text")}).filter("score > 0").orderBy(F.desc("score"), "index", "id").limit(max(4 * top, 20))
         passages = passages.select("source", F.row_number().over(Window.orderBy(F.desc("score"), "index", "id")).alias("rank"))
-        allowed = None if scope is None else [r["source"] for r in chunks.select("source").distinct().collect()]
+        allowed = None if scope is None else chunks.select("source")
         return document_search.search_documents(document_search.catalog(self.table("chunks")), query, passages, allowed, top)
 
     def neighborhood(self, source: str, chunk_id: str) -> DataFrame:

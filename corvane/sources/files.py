@@ -13,7 +13,7 @@ from corvane.schemas import CORRECTIONS
 
 MARKDOWN = (".md",)
 #: Formats that are converted to Markdown outside of the engine.
-CONVERTED = (".pdf", ".pptx", ".aac", ".flac", ".m4a", ".mp3", ".mp4", ".mpeg", ".ogg", ".wav", ".webm")
+CONVERTED = (".pdf", ".pptx", ".flac", ".m4a", ".mp3", ".mp4", ".mpeg", ".mpga", ".ogg", ".wav", ".webm")
 
 
 def discover(spark: SparkSession, folder: str, suffixes: Sequence[str] = MARKDOWN + CONVERTED) -> DataFrame:

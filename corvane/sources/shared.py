@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none is a temporary folder of this machine set (tests).
+    Where none is named, a session on this machine alone gets a temporary folder; a cluster must name one.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
