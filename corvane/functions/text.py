@@ -66,14 +66,17 @@ def search_key(text: Column) -> Column:
 
 def keep_first(values: Column, key: Callable[[Column], Column], seen: Column | None = None) -> Column:
     """The values of an array whose key is not empty and did not occur before, nor is ``seen``, in order."""
-    keyed = F.filter(F.transform(values, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("value"))), lambda p: p["key"] != "")
-    keyed = F.array_sort(keyed if seen is None else F.filter(keyed, lambda p: p["key"] != seen))
-    # beside each value the key of the one before it in order of keys: sorted, not every value against all
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(keyed, lambda p: p["key"]))
-    pairs = F.zip_with(keyed, before, lambda p, b: F.struct(p.alias("p"), b.alias("before")))
-    firsts = F.filter(pairs, lambda x: x["p"].isNotNull() & ~x["p"]["key"].eqNullSafe(x["before"]))
-    placed = F.array_sort(F.transform(firsts, lambda x: F.struct(x["p"]["at"], x["p"]["value"].alias("value"))))
-    return F.transform(placed, lambda x: x["value"])
+    keyed = F.transform(values, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("value")))
+    keyed = F.array_sort(F.filter(keyed, lambda p: p["key"] != ""))
+    once = F.struct(keyed.alias("keyed"), (F.lit("") if seen is None else seen).alias("seen"))
+
+    def chosen(s: Column) -> Column:
+        # beside each value the key of the one before it in order of keys: sorted, not every value against all
+        before = F.concat(F.array(s["seen"]), F.transform(s["keyed"], lambda p: p["key"]))
+        pairs = F.zip_with(s["keyed"], before, lambda p, b: F.when((p["key"] != b) & (p["key"] != s["seen"]), F.struct(p["at"].alias("at"), p["value"].alias("value"))))
+        return F.transform(F.array_sort(F.filter(pairs, lambda x: x.isNotNull())), lambda x: x["value"])
+
+    return F.get(F.transform(F.array(once), chosen), F.lit(0))
 
 
 def file_name(path: Column) -> Column:
