@@ -20,6 +20,9 @@ from corvane.sources.shared import checkpoint
 TOP, SIMILARITY, CONFIDENCE = 10, 0.80, 0.80
 UNCLASSIFIED = "unclassified"
 
+#: From a node (id, label, type) and its options (id, label, type, similarity) to the chosen option's id, or none, and a confidence.
+Judge = Callable[[dict, list[dict]], tuple[str | None, float]]
+
 
 def names(nodes: DataFrame) -> DataFrame:
     """(id, rank, type, name): every node's normalised label and aliases."""
@@ -40,9 +43,23 @@ def name_matches(incoming: DataFrame, canonical: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.id").alias("match"))
 
 
-def vector_candidates(incoming: DataFrame, canonical: DataFrame, top: int = TOP, least: float = SIMILARITY) -> DataFrame:
+def unsettled(nodes: DataFrame) -> DataFrame:
+    """The nodes (id, rank, type, label, aliases) that may be canonical or come to the judge.
+
+    All others join by name whatever is decided elsewhere: an earlier node has one of their names and their own type (any
+    type, for an unclassified node), and so has then the canonical node that it stands for.
+    """
+    own = names(nodes)
+    typed = own.groupBy("name", "type").agg(F.min(F.struct("rank", "id")).alias("first"))
+    every = typed.groupBy("name").agg(F.min("first").alias("first"))
+    met = own.filter(F.col("type") != UNCLASSIFIED).join(typed, ["name", "type"]).select("id", "rank", "first")
+    met = met.unionByName(own.filter(F.col("type") == UNCLASSIFIED).join(every, "name").select("id", "rank", "first"))
+    return nodes.join(met.filter(F.struct("rank", "id") > F.col("first")).select("id"), "id", "left_anti")
+
+
+def vector_candidates(incoming: DataFrame, canonical: DataFrame, top: int = TOP, least: float = SIMILARITY, earlier: bool = False) -> DataFrame:
     """(id, candidate, similarity, rank): up to ``top`` canonical nodes of a comparable type with a cosine of at least
-    ``least``; ties by id. Both sides have (id, type, vector)."""
+    ``least``; ties by id. Both sides have (id, type, vector), and a rank if only ``earlier`` nodes are asked for."""
     # Blocks: an unclassified incoming node meets block "any", which holds every canonical node, others their own type's
     # and the unclassified one. A block's canonical rows are dealt out in parts, each incoming node asks all of them.
     parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -50,36 +67,42 @@ def vector_candidates(incoming: DataFrame, canonical: DataFrame, top: int = TOP,
     whole = block(F.lit(True), F.lit(None).cast("string"))
     typed = block(F.lit(False), F.col("type"))
     meets = F.when(F.col("type") == UNCLASSIFIED, F.array(whole)).otherwise(F.array(typed, block(F.lit(False), F.lit(UNCLASSIFIED))))
-    left = incoming.select("id", unit(F.col("vector")).alias("vector"), F.explode(meets).alias("b")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = canonical.select(F.col("id").alias("candidate"), unit(F.col("vector")).alias("other"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(whole, typed)).alias("b"))
+    place = (lambda name: [F.struct("rank", "id").alias(name)]) if earlier else (lambda name: [])
+    left = incoming.select("id", *place("own_place"), unit(F.col("vector")).alias("vector"), F.explode(meets).alias("b")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = canonical.select(F.col("id").alias("candidate"), *place("its_place"), unit(F.col("vector")).alias("other"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(whole, typed)).alias("b"))
     flat = lambda rows: rows.withColumns({"any": F.col("b.any"), "kind": F.coalesce("b.kind", F.lit(""))}).drop("b")
     pairs = flat(left).join(flat(right), ["any", "kind", "part"]).filter("id <> candidate and size(vector) = size(other)")
+    if earlier:
+        pairs = pairs.filter("its_place < own_place")
     scored = pairs.select("id", "candidate", F.round(dot(F.col("vector"), F.col("other")), 9).alias("similarity")).filter(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def resolve_groups(nodes: DataFrame, pairs: DataFrame, judge: Callable[[dict, list[dict]], tuple[str | None, float]] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+def resolve_groups(nodes: DataFrame, pairs: DataFrame, judge: Judge | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """(id, canonical): the fold of nodes (id, rank, label, type, aliases, key group) in order of rank.
 
     A node joins the earlier canonical node of lowest rank that shares a normalised name, aliases learnt from merges
     included, and has a comparable type; else ``judge`` may choose one of its earlier vector candidates (pairs: id,
-    candidate, similarity) with enough confidence; else it is canonical itself. ``group`` names the connected group of
-    candidates, whose nodes alone can meet.
+    candidate, similarity) with enough confidence; else it is canonical itself. Candidates are asked for that are canonical
+    and of a comparable type when the node's turn comes. ``group`` names the connected group of candidates, whose nodes
+    alone can meet. Nodes with a true ``fixed``, if there is such a column, are canonical whatever they share.
     """
+    fixed = F.col("fixed") if "fixed" in nodes.columns else F.lit(False)
     named = nodes.withColumn("names", F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), entity_key)))
     listed = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.negative("similarity").alias("d"), "candidate"))).alias("near"))
-    rows = named.join(listed, "id", "left").select("group", "id", "rank", "label", "type", "names", F.transform("near", lambda x: x["candidate"]).alias("near"))
+    rows = named.join(listed, "id", "left").select("group", "id", "rank", "label", "type", "names", fixed.alias("fixed"), F.transform("near", lambda x: x["candidate"]).alias("near"), F.transform("near", lambda x: -x["d"]).alias("similar"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         known: dict[str, list[str]] = {}
         kinds, place, canonical, labels = {}, {}, {}, {}
         for node in group.sort_values(["rank", "id"]).itertuples():
-            found = {c for n in node.names for c in known.get(n, ()) if UNCLASSIFIED in (kinds[c], node.type) or kinds[c] == node.type}
+            comparable = lambda c, own=node.type: UNCLASSIFIED in (kinds[c], own) or kinds[c] == own
+            found = {c for n in node.names for c in known.get(n, ()) if comparable(c)} if not node.fixed else set()
             target = min(found, key=lambda c: (place[c], c), default=None)
-            if target is None and judge is not None and node.near is not None:
-                options = list(dict.fromkeys(canonical[c] for c in node.near if c in canonical))
-                options = [{"id": c, "label": labels[c], "type": kinds[c]} for c in options]
+            if target is None and judge is not None and node.near is not None and not node.fixed:
+                near = [(c, s) for c, s in zip(node.near, node.similar, strict=True) if canonical.get(c) == c and comparable(c)]
+                options = [{"id": c, "label": labels[c], "type": kinds[c], "similarity": s} for c, s in near]
                 if options:
                     choice, sure = judge({"id": node.id, "label": node.label, "type": node.type}, options)
                     target = choice if sure >= confidence and choice in {o["id"] for o in options} else None
@@ -97,9 +120,13 @@ def resolve_groups(nodes: DataFrame, pairs: DataFrame, judge: Callable[[dict, li
     return rows.groupBy("group").applyInPandas(fold, "id string, canonical string")
 
 
-def name_groups(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``group``: names connect them, rounds of smallest labels spread until nothing changes."""
-    links = checkpoint(names(nodes).select("id", "name"))
+def name_groups(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Nodes with ``group``: names, and pairs (id, candidate) where given, connect them; rounds of smallest labels spread
+    until nothing changes."""
+    links = names(nodes).select("id", "name")
+    if pairs is not None:
+        links = links.unionByName(pairs.select(F.explode(F.array("id", "candidate")).alias("id"), F.concat(F.lit("\0"), "candidate").alias("name")))
+    links = checkpoint(links)
     labels = checkpoint(nodes.select("id", F.col("id").alias("group")))
     while True:
         best = links.join(labels, "id").groupBy("name").agg(F.min("group").alias("g"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.embedding import hashing_embedder
 from corvane.functions.text import entity_key
 from corvane.operators import chunking, extraction, graph_views, ledger, resolution, sync, taxonomy, transcripts
 from corvane.plans import corpora, sql
 from corvane.plans.corpora import C_CHUNKS, C_EDGES, C_NODES, table
 from corvane.sources import messages
+from corvane.sources.shared import materialise
 
 QUERIES, ORACLES = {}, {}
 
@@ -214,11 +216,17 @@ def edge_remap_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_views.remapped(edges, node_map).groupBy("source", "target", "label").agg(F.count("*").alias("n"))
 
 
+def closest(node: dict, options: list[dict]) -> tuple[str | None, float]:
+    """A judge without a model: the most similar option, as surely as it is similar."""
+    return options[0]["id"], options[0]["similarity"]
+
+
 @query("entity_resolution")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _part_nodes(spark, sf_dir)
-    pairs = spark.createDataFrame([], "id string, candidate string, similarity double")
-    return resolution.resolve_groups(resolution.name_groups(nodes), pairs)
+    asking = resolution.unsettled(nodes).withColumn("vector", hashing_embedder(32)(F.col("label")))
+    pairs = materialise(resolution.vector_candidates(asking, asking, least=0.5, earlier=True).drop("rank"), "pairs")
+    return resolution.resolve_groups(resolution.name_groups(nodes, pairs), pairs, closest)
 
 
 # Parts as extracted nodes of chunks (their sizes), line items as extracted edges.

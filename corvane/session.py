@@ -17,6 +17,9 @@ from corvane.sources.snapshots import SnapshotStore
 #: source_ref, target_ref, label).
 Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
+#: Stands before the ids of known nodes while new ones are resolved, and sorts before them.
+KNOWN = "\x01"
+
 _TABLES = {
     "documents": "source STRING, content_hash STRING",
     "chunks": schemas.CHUNKS,
@@ -33,10 +36,11 @@ _TABLES = {
 class KnowledgeBase:
     """Chunks and a graph with provenance, kept up to date from document snapshots."""
 
-    def __init__(self, spark: SparkSession, folder: str, scopes: dict[str, str] | None = None, embed: Callable[[Column], Column] | None = None, model: str = "embedder"):
-        """``embed``, where given, turns texts into vectors; ``model`` names it in the vectors' cache."""
+    def __init__(self, spark: SparkSession, folder: str, scopes: dict[str, str] | None = None, embed: Callable[[Column], Column] | None = None, model: str = "embedder", judge: resolution.Judge | None = None):
+        """``embed``, where given, turns texts into vectors; ``model`` names it in the vectors' cache. ``judge``, where given
+        too, decides on new nodes that share no name with an earlier one but have a similar vector."""
         self.spark, self.store, self.scopes = spark, SnapshotStore(spark, folder), scopes or {}
-        self.embed, self.model = embed, model
+        self.embed, self.model, self.judge = embed, model, judge
 
     def table(self, name: str) -> DataFrame:
         """A table of the newest version, empty before the first."""
@@ -108,15 +112,40 @@ class KnowledgeBase:
         return {name: sync.cached_vectors(rows, known(name), self.model, self.embed) for name, rows in (("chunk_vectors", text), ("node_vectors", names))}
 
     def _resolve(self, nodes: DataFrame, provenance: DataFrame) -> DataFrame:
-        """(id, canonical) of new nodes: a known node with a shared name and a comparable type, or the first new one."""
+        """(id, canonical) of new nodes: a known node with a shared name and a comparable type, one that the judge accepts, or
+        the first new one. A new canonical node whose id is taken gets the next free number behind it."""
         known = graph_views.materialize_nodes(provenance).withColumn("rank", F.col("id"))
-        incoming = nodes.select("id", F.concat_ws("\0", "source", "id").alias("rank"), "label", "type", F.array().cast("array<string>").alias("aliases"))
+        incoming = nodes.select("id", F.concat_ws("\0", "source", "id").alias("rank"), "label", "type", "suggested_type", F.array().cast("array<string>").alias("aliases"))
         matched = materialise(resolution.name_matches(incoming, known), "matches")
-        rest = incoming.join(matched, "id", "left_anti")
-        no_pairs = self.spark.createDataFrame([], "id string, candidate string, similarity double")
-        folded = resolution.resolve_groups(resolution.name_groups(rest), no_pairs)
+        rest = materialise(incoming.join(matched, "id", "left_anti"), "unmatched")
+        if self.judge is None or self.embed is None:
+            no_pairs = self.spark.createDataFrame([], "id string, candidate string, similarity double")
+            folded = resolution.resolve_groups(resolution.name_groups(rest), no_pairs)
+        else:
+            folded = self._judged(rest, known)
+        # known nodes are told apart from new ones with the same id by a mark
+        number = F.coalesce(F.nullif(F.regexp_extract("id", r"::(\d{4,})$", 1), F.lit("")).cast("int"), F.lit(1))
+        taken = known.select(F.regexp_replace("id", r"::\d{4,}$", "").alias("canonical"), number.alias("n")).groupBy("canonical").agg(F.max("n").alias("n"))
+        free = F.when(F.col("canonical").startswith(KNOWN), F.substring_index("canonical", KNOWN, -1)).when(F.col("n").isNotNull(), F.concat("canonical", F.lit("::"), F.lpad((F.col("n") + 1).cast("string"), 4, "0")))
+        folded = folded.join(taken, "canonical", "left").select("id", F.coalesce(free, "canonical").alias("canonical"))
         return materialise(matched.select("id", F.col("match").alias("canonical")).unionByName(folded), "canonical")
 
+    def _judged(self, rest: DataFrame, known: DataFrame) -> DataFrame:
+        """(id, canonical) of new nodes by name among themselves, else by the judge among similar earlier ones; known nodes
+        come first and have a mark before their ids."""
+        none = F.lit(None).cast("string").alias("properties")
+        text = chunk_search.node_text(F.struct("label", "type", "aliases", "suggested_type", none))
+        fresh = resolution.unsettled(rest).select("id", "rank", "type", self.embed(text).alias("vector"))
+        vectors = self.table("node_vectors").filter(F.col("embedding_model") == self.model).select("id", "vector")
+        mark = F.concat(F.lit(KNOWN), "id")
+        stored = known.join(vectors, "id").select(mark.alias("id"), mark.alias("rank"), "type", "vector")
+        asking = materialise(fresh, "new-vectors")
+        pairs = materialise(resolution.vector_candidates(asking, asking.unionByName(stored), earlier=True).drop("rank"), "pairs")
+        asked = known.select(mark.alias("id"), mark.alias("rank"), "label", "type", "aliases", F.lit(True).alias("fixed"))
+        asked = asked.join(pairs.select(F.col("candidate").alias("id")), "id", "left_semi")
+        both = rest.select("id", "rank", "label", "type", "aliases", F.lit(False).alias("fixed")).unionByName(asked)
+        return resolution.resolve_groups(resolution.name_groups(both, pairs), pairs, self.judge).join(rest.select("id"), "id", "left_semi")
+
     def _delta(self, name: str, gone: DataFrame, added: DataFrame, kind: str, rows: DataFrame, ends: DataFrame | None) -> DataFrame:
         """The stored elements with those that removed or new provenance touches made anew."""
         key = f"canonical_{kind}_id"

@@ -114,3 +114,26 @@ def test_meaning_and_vector_cache(spark, tmp_path):
     base.sync(frame(spark, {k: v for k, v in DOCS.items() if "notes" not in k}), extract)
     after = {r["id"]: r["vector"] for r in base.table("chunk_vectors").collect()}
     assert after.items() <= before.items() and 0 < len(after) < len(before)
+
+
+def firms(chunks):
+    """Upper-case phrases that end in CORP or LTD are nodes."""
+    found = chunks.select(F.col("id").alias("chunk_id"), F.regexp_extract_all("text", F.lit("[A-Z]+ CORP(?: LTD)?"), 0).alias("names"))
+    nodes = found.select("chunk_id", F.posexplode("names").alias("ord", "label")).select("chunk_id", "ord", F.col("ord").cast("string").alias("ref"), "label", F.lit("firm").alias("type"), F.lit(None).cast("string").alias("suggested_type"))
+    return nodes, chunks.select(F.col("id").alias("chunk_id"), F.lit(0).alias("ord"), F.lit("0").alias("source_ref"), F.lit("1").alias("target_ref"), F.lit("with").alias("label")).limit(0)
+
+
+def test_judge_and_taken_ids(spark, tmp_path):
+    from corvane.functions.embedding import hashing_embedder
+
+    asked = lambda node, options: (options[0]["id"], 0.9 if node["label"] == "ZEPHYR CORP LTD" else 0.1)
+    base = KnowledgeBase(spark, str(tmp_path / "kb"), embed=hashing_embedder(256), judge=asked)
+    base.sync(frame(spark, {"a.md": "# A\n\nZEPHYR CORP and ORBIT CORP.", "b.md": "# B\n\nZEPHYR CORP."}), firms)
+    base.merge(frame(spark, {"c.md": "# C\n\nZEPHYR CORP LTD, ORBIT CORP LTD."}), firms)
+    nodes = {r["label"]: r for r in base.table("nodes").collect()}
+    assert sorted(nodes) == ["ORBIT CORP", "ORBIT CORP LTD", "ZEPHYR CORP"] and len(nodes["ZEPHYR CORP"]["chunk_ids"]) == 3
+    # a.md no longer names it, others do: its id stays theirs, and a new node in its place gets another
+    base.merge(frame(spark, {"a.md": "# A\n\nQUARTZ CORP."}), firms)
+    ids = {r["label"]: r["id"] for r in base.table("nodes").collect()}
+    assert sorted(ids) == ["ORBIT CORP LTD", "QUARTZ CORP", "ZEPHYR CORP"]
+    assert ids["ZEPHYR CORP"] == nodes["ZEPHYR CORP"]["id"] and ids["QUARTZ CORP"] == ids["ZEPHYR CORP"] + "::0002"
