@@ -34,6 +34,44 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one computation, which can be removed as soon as nothing reads them any more.
+
+    As a context it removes, at its end, whatever is left; results must be computed before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.tables:
+            self.remove(self.tables[-1][0])
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialise``."""
+        path = f"{shared_dir(self.spark)}/corvane-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((written, path))
+        return written
+
+    def keep_only(self, written: DataFrame) -> DataFrame:
+        """Delete all tables but this one, and return it."""
+        for other in [t for t, _ in self.tables if t is not written]:
+            self.remove(other)
+        return written
+
+    def remove(self, written: DataFrame) -> None:
+        """Delete a table that ``write`` returned."""
+        path = next(p for t, p in self.tables if t is written)
+        self.tables = [(t, p) for t, p in self.tables if t is not written]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
