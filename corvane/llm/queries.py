@@ -1,10 +1,13 @@
 """The registered queries of the training-data operators and the SQL that repeats them."""
 
-from corvane.llm import ann, chat_format, decontaminate, hmm, mixing, quality, simhash, toxicity, url_filter, warc
+from corvane.llm import ann, centroids, chat_format, decontaminate, hmm, mixing, pieces, quality, simhash, toxicity, url_filter, variants, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op10_ann": ann.op10_ann,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_variants": variants.op13_variants,
     "op2_hmm": hmm.op2_hmm,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_chat_format": chat_format.op4_chat_format,
@@ -16,6 +19,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_centroids": centroids.OP11_SQL,
+    "op13_variants": variants.OP13_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
