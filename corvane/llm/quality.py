@@ -9,6 +9,7 @@ tasks, added by position in Spark.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,9 +28,11 @@ for _k, _bytes in enumerate([*([b] for b in _PUNCTUATION), *_GROUPS]):
     _SHARES[list(_bytes), _k] = 1
 #: Features of a text, besides the constant.
 FEATURES = _SHARES.shape[1] + 7
-#: Newton steps at most; each is one pass over the feature table.
-STEPS = 30
 RIDGE = 1e-2
+#: The negatives' risk that counts as zero, and the root of the Newton decrement at which a minimum is reached.
+TOLERANCE = 1e-5
+#: Where halving ends: a part of a Newton step, a bracket of the multiplier.
+SHORTEST_PACE, NARROWEST = 2.0**-40, 1e-13
 
 
 def _features(texts: list[bytes]) -> pa.Array:
@@ -87,13 +90,14 @@ def sums(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np
 @dataclass(frozen=True)
 class Model:
     """Weights over standardised features, the constant first; ``prior`` is the estimated share of good text. A
-    ``multiplier`` below 1 tells that the negatives' risk is held at zero."""
+    ``multiplier`` below 1 tells that the negatives' risk is held at zero or, at 0, is below it at the minimum."""
 
     weights: tuple[float, ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     prior: float
     multiplier: float = 1.0
+    converged: bool = True
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         w = np.array(self.weights)
@@ -116,13 +120,11 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE) -> Model:
+def fit(rows: DataFrame, prior: float, ridge: float = RIDGE) -> Model:
     """Fit from rows (x: features, positive: boolean). All rows are the unlabelled sample, positives besides.
 
     The non-negative risk is ``prior * P+ + max(0, N)`` with ``N = U- - prior * P-`` (P, U: mean losses of the positives and of
-    all rows). Its minimum is that of ``prior * P+ + m * N`` for a multiplier m: 1 where N stays above zero, else
-    the m below 1, found by bisection, at which N is zero. Each of these is convex and solved by Newton steps, a
-    pass each, ``steps`` at most in all.
+    all rows), with a ridge. Every evaluation in ``solve`` is a pass over the rows; it goes on until the optimum's conditions hold.
     """
     if not rows.take(1):
         return Model((0.0,) * (FEATURES + 1), (0.0,) * FEATURES, (1.0,) * FEATURES, prior)
@@ -147,31 +149,63 @@ def fit(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE)
 
     w = np.zeros(FEATURES + 1)
     w[0] = np.log(prior / (1 - prior))
-    now, passes = losses(w), 1
-
-    def minimise(now: Losses, multiplier: float) -> Losses:
-        nonlocal passes
-        pace = 1.0
-        while passes < steps:
-            gradient, hessian = now.slope(multiplier)
-            step = np.linalg.solve(hessian, gradient)
-            if float(gradient @ step) < 1e-8:
-                break
+    found = solve(losses, w)
+    if not found.converged:
+        warnings.warn("the quality model's risk was not minimised to the tolerance", stacklevel=2)
+    return Model(tuple(found.losses.w), tuple(mean), tuple(scale), prior, found.multiplier, found.converged)
+
+
+@dataclass(frozen=True)
+class Solution:
+    losses: Losses
+    multiplier: float
+    converged: bool
+
+
+def _minimise(losses: Callable[[np.ndarray], Losses], now: Losses, multiplier: float) -> tuple[Losses, bool]:
+    """Newton steps, halved where they do not lessen the risk, until the decrement is below the tolerance. The risk is
+    strictly convex, so a step short enough lessens it: one that no longer does is at the end of what doubles tell."""
+    while True:
+        gradient, hessian = now.slope(multiplier)
+        step = np.linalg.solve(hessian, gradient)
+        decrement, pace = float(gradient @ step), 1.0
+        if decrement < TOLERANCE**2:
+            return now, True
+        while True:
             tried = losses(now.w - pace * step)
-            passes += 1
-            if tried.risk(multiplier) > now.risk(multiplier) + 1e-12:
-                pace /= 2
-                continue
-            now, pace = tried, min(1.0, 2 * pace)
-        return now
-
-    now, multiplier = minimise(now, 1.0), 1.0
-    low, high = 0.0, 1.0
-    while now.negative < -1e-4 and passes < steps or now.negative > 1e-4 and multiplier < 1 and passes < steps:
-        low, high = (low, multiplier) if now.negative < 0 else (multiplier, high)
-        multiplier = (low + high) / 2
-        now = minimise(now, multiplier)
-    return Model(tuple(now.w), tuple(mean), tuple(scale), prior, multiplier)
+            if tried.risk(multiplier) <= now.risk(multiplier) - pace * decrement / 4:
+                break
+            pace /= 2
+            if pace < SHORTEST_PACE:
+                return now, decrement < TOLERANCE
+        now = tried
+
+
+def solve(losses: Callable[[np.ndarray], Losses], w: np.ndarray) -> Solution:
+    """The minimum of ``prior * P+ + max(0, N) + ridge`` from losses at given weights, starting at ``w``.
+
+    It is the largest over m in 0..1 of the least ``prior * P+ + m * N + ridge``; N at that minimum does not grow with m. So
+    m is 1 where N is not below zero there, 0 where N is not above zero there, and else where N is zero: found in
+    a bracket by Newton steps in m, or its middle after a step that did not halve N.
+    """
+    now, good = _minimise(losses, losses(w), 1.0)
+    if now.negative >= 0:
+        return Solution(now, 1.0, good)
+    one = now
+    now, good = _minimise(losses, now, 0.0)
+    if now.negative <= 0:
+        return Solution(now, 0.0, good)
+    low, high, m, last = 0.0, 1.0, 0.0, np.inf
+    # from the nearer end
+    if abs(one.negative) < abs(now.negative):
+        now, m = one, 1.0
+    while abs(now.negative) > TOLERANCE and high - low > NARROWEST:
+        low, high = (m, high) if now.negative > 0 else (low, m)
+        step = now.negative / max(now.fall(m), 1e-300)
+        m = m + step if abs(now.negative) <= last / 2 and low < m + step < high else (low + high) / 2
+        last = abs(now.negative)
+        now, good = _minimise(losses, now, m)
+    return Solution(now, m, good and abs(now.negative) <= 10 * TOLERANCE)
 
 
 def _loss_sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -194,6 +228,11 @@ class Losses:
     def risk(self, multiplier: float = 1.0) -> float:
         return float(self.prior * self.good[1] + multiplier * self.negative + self.ridge / 2 * self.w @ self.w)
 
+    def fall(self, multiplier: float) -> float:
+        """How fast N at the minimum falls with the multiplier."""
+        own = self.all[self.p] - self.prior * self.good[self.p]
+        return float(own @ np.linalg.solve(self.slope(multiplier)[1], own))
+
     def slope(self, multiplier: float) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and Hessian; the two losses of a positive differ by its margin, so its curvatures cancel at 1."""
         d, rest = len(self.w), self.prior * (1 - multiplier)
@@ -239,7 +278,7 @@ def train(shapes: DataFrame, labels: DataFrame) -> Model:
     rows = materialise(shapes.join(good, "doc_id", "left").select("x", known.alias("good"), kept.alias("kept")), "quality")
     if rows.filter("good").isEmpty():
         return Model((0.0,) * (FEATURES + 1), (0.0,) * FEATURES, (1.0,) * FEATURES, 0.5)
-    first = fit(rows.select("x", (F.col("good") & ~F.col("kept")).alias("positive")), 0.5, 8)
+    first = fit(rows.select("x", (F.col("good") & ~F.col("kept")).alias("positive")), 0.5)
     prior = estimated_prior(rows.select(first.score(F.col("x")).alias("score"), "kept"))
     return fit(rows.select("x", F.col("good").alias("positive")), prior)
 
