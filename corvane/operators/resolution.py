@@ -1,27 +1,36 @@
 """Entity resolution: candidates by name and by vector, and the decision ladder.
 
-Candidates are joins: by normalised name, and by vector within blocks of comparable types. Decisions
-depend on earlier ones only through elements that candidates connect, so each connected group of the
-candidate graph is folded on its own, in order, in a task.
+Candidates are joins by normalised name, and matrix products of blocks of vectors within comparable types. A node's
+decision depends on those of earlier nodes that share a name with it or are its candidates; ``resolve`` takes them in
+rounds, each of which decides every node whose outcome no open decision can change. Its state is a narrow
+table of nodes and the canonical nodes that they stand for; no group of nodes is ever held in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.scoring import dot, unit
+from corvane.functions.scoring import unit
 from corvane.functions.text import entity_key
-from corvane.sources.shared import checkpoint
+from corvane.sources.shared import Scratch
 
 TOP, SIMILARITY, CONFIDENCE = 10, 0.80, 0.80
 UNCLASSIFIED = "unclassified"
 
-#: From a node (id, label, type) and its options (id, label, type, similarity) to the chosen option's id, or none, and a confidence.
-Judge = Callable[[dict, list[dict]], tuple[str | None, float]]
+#: Rows of a block of vectors on average, and rows of it that are multiplied at a time.
+BLOCK, STRIP = 4096, 512
+#: Open nodes, at most, that end the rounds: they are folded in one task.
+LAST = 4096
+
+#: From a node (id, label, type) and its options (id, label, type, similarity) to the chosen option's id, or none, a
+#: confidence, and maybe a list of aliases that the chosen one gets.
+Judge = Callable[[dict, list[dict]], tuple]
 
 
 def names(nodes: DataFrame) -> DataFrame:
@@ -57,81 +66,293 @@ def unsettled(nodes: DataFrame) -> DataFrame:
     return nodes.join(met.filter(F.struct("rank", "id") > F.col("first")).select("id"), "id", "left_anti")
 
 
+def _best_in_block(top: int, least: float, earlier: bool):
+    """Of each asking row the ``top`` most similar rows of a block, at least ``least``: one matrix product for a strip of rows."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"id": pa.array([], pa.string()), "candidate": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        right = right.sort_by("id")  # ties go to the smaller id
+        mine, other = (np.array(t.column("id").to_pylist(), object) for t in (left, right))
+        matrix = lambda t: t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        x, y = matrix(left), matrix(right)
+        if earlier:
+            both = pa.concat_tables([left.select(["rank", "id"]), right.select(["rank", "id"])])
+            place = np.empty(both.num_rows, np.int64)
+            place[pa.compute.sort_indices(both, [("rank", "ascending"), ("id", "ascending")]).to_numpy()] = np.arange(both.num_rows)
+        ids, found, scores = [], [], []
+        for at in range(0, len(x), STRIP):
+            s = np.round(x[at : at + STRIP] @ y.T, 9)
+            s[mine[at : at + STRIP, None] == other[None, :]] = -np.inf
+            if earlier:
+                s[place[at : at + len(s), None] <= place[None, len(x) :]] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :top]
+            value = np.take_along_axis(s, best, axis=1)
+            row, column = np.nonzero(value >= least)
+            ids.extend(mine[at + row])
+            found.extend(other[best[row, column]])
+            scores.append(value[row, column])
+        return pa.table({"id": pa.array(ids, pa.string()), "candidate": pa.array(found, pa.string()), "similarity": pa.array(np.concatenate(scores), pa.float64())})
+
+    return run
+
+
 def vector_candidates(incoming: DataFrame, canonical: DataFrame, top: int = TOP, least: float = SIMILARITY, earlier: bool = False) -> DataFrame:
     """(id, candidate, similarity, rank): up to ``top`` canonical nodes of a comparable type with a cosine of at least
-    ``least``; ties by id. Both sides have (id, type, vector), and a rank if only ``earlier`` nodes are asked for."""
-    # Blocks: an unclassified incoming node meets block "any", which holds every canonical node, others their own type's
-    # and the unclassified one. A block's canonical rows are dealt out in parts, each incoming node asks all of them.
-    parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ``least``; ties by id. Both sides have (id, type, vector), and a rank if only ``earlier`` nodes are asked for.
+
+    An unclassified incoming node asks all canonical ones, others their own type and the unclassified. Both sides of each of
+    these are cut into blocks of about ``BLOCK`` rows by a hash of the id; each pair of blocks is one product, of
+    which only the best of each row leave. Null vectors take no part.
+    """
+    names_ = ["id", *(["rank"] if earlier else []), "vector", "any", "kind", "width"]
     block = lambda any_type, kind: F.struct(any_type.alias("any"), kind.alias("kind"))
-    whole = block(F.lit(True), F.lit(None).cast("string"))
-    typed = block(F.lit(False), F.col("type"))
+    whole, typed = block(F.lit(True), F.lit("")), block(F.lit(False), F.col("type"))
     meets = F.when(F.col("type") == UNCLASSIFIED, F.array(whole)).otherwise(F.array(typed, block(F.lit(False), F.lit(UNCLASSIFIED))))
-    place = (lambda name: [F.struct("rank", "id").alias(name)]) if earlier else (lambda name: [])
-    left = incoming.select("id", *place("own_place"), unit(F.col("vector")).alias("vector"), F.explode(meets).alias("b")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = canonical.select(F.col("id").alias("candidate"), *place("its_place"), unit(F.col("vector")).alias("other"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(whole, typed)).alias("b"))
-    flat = lambda rows: rows.withColumns({"any": F.col("b.any"), "kind": F.coalesce("b.kind", F.lit(""))}).drop("b")
-    pairs = flat(left).join(flat(right), ["any", "kind", "part"]).filter("id <> candidate and size(vector) = size(other)")
-    if earlier:
-        pairs = pairs.filter("its_place < own_place")
-    scored = pairs.select("id", "candidate", F.round(dot(F.col("vector"), F.col("other")), 9).alias("similarity")).filter(F.col("similarity") >= least)
+
+    def placed(rows: DataFrame, blocks: Column) -> DataFrame:
+        rows = rows.filter("vector is not null").withColumns({"vector": unit(F.col("vector")), "width": F.size("vector"), "b": F.explode(blocks)})
+        rows = rows.withColumns({"any": F.col("b.any"), "kind": F.coalesce("b.kind", F.lit(""))})
+        return rows.select(*[F.col(n).alias(n) for n in names_])  # names of its own, should both sides be one table
+
+    left, right = placed(incoming, meets), placed(canonical, F.array(whole, typed))
+    keys = ["any", "kind", "width"]
+    count = lambda rows, name: rows.groupBy(keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    parts = count(left, "left_parts").join(count(right, "right_parts"), keys)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cut = lambda rows, one, two: rows.join(parts, keys).withColumn("one", one).withColumn("two", two).drop("left_parts", "right_parts").groupBy(*keys, "one", "two")
+    left = cut(left, own(F.col("left_parts")), every(F.col("right_parts")))
+    right = cut(right, every(F.col("left_parts")), own(F.col("right_parts")))
+    scored = left.cogroup(right).applyInArrow(_best_in_block(top, least, earlier), "id string, candidate string, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "candidate"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def resolve_groups(nodes: DataFrame, pairs: DataFrame, judge: Judge | None = None, confidence: float = CONFIDENCE) -> DataFrame:
-    """(id, canonical): the fold of nodes (id, rank, label, type, aliases, key group) in order of rank.
+def _comparable(left: str, right: str) -> Column:
+    return (F.col(left) == F.col(right)) | (F.col(left) == UNCLASSIFIED) | (F.col(right) == UNCLASSIFIED)
 
-    A node joins the earlier canonical node of lowest rank that shares a normalised name, aliases learnt from merges
-    included, and has a comparable type; else ``judge`` may choose one of its earlier vector candidates (pairs: id,
-    candidate, similarity) with enough confidence; else it is canonical itself. Candidates are asked for that are canonical
-    and of a comparable type when the node's turn comes. ``group`` names the connected group of candidates, whose nodes
-    alone can meet. Nodes with a true ``fixed``, if there is such a column, are canonical whatever they share.
-    """
-    fixed = F.col("fixed") if "fixed" in nodes.columns else F.lit(False)
-    named = nodes.withColumn("names", F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), entity_key)))
-    listed = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.negative("similarity").alias("d"), "candidate"))).alias("near"))
-    rows = named.join(listed, "id", "left").select("group", "id", "rank", "label", "type", "names", fixed.alias("fixed"), F.transform("near", lambda x: x["candidate"]).alias("near"), F.transform("near", lambda x: -x["d"]).alias("similar"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, list[str]] = {}
-        kinds, place, canonical, labels = {}, {}, {}, {}
-        for node in group.sort_values(["rank", "id"]).itertuples():
-            comparable = lambda c, own=node.type: UNCLASSIFIED in (kinds[c], own) or kinds[c] == own
-            found = {c for n in node.names for c in known.get(n, ()) if comparable(c)} if not node.fixed else set()
-            target = min(found, key=lambda c: (place[c], c), default=None)
-            if target is None and judge is not None and node.near is not None and not node.fixed:
-                near = [(c, s) for c, s in zip(node.near, node.similar, strict=True) if canonical.get(c) == c and comparable(c)]
-                options = [{"id": c, "label": labels[c], "type": kinds[c], "similarity": s} for c, s in near]
+
+def _asked(judge: Judge, confidence: float):
+    """Choices of rows (id, label, type, options, open): one call of the judge for each that has options and is not open."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if r.open or r.options is None:
+                    out.append((r.id, not r.open, None, []))
+                    continue
+                options = [{k: o[k] for k in ("id", "label", "type", "similarity")} for o in r.options]
+                choice, sure, *aliases = judge({"id": r.id, "label": r.label, "type": r.type}, options)
+                accepted = choice is not None and sure >= confidence and choice in {o["id"] for o in options}
+                out.append((r.id, True, choice if accepted else None, list(aliases[0]) if accepted and aliases else []))
+            yield pd.DataFrame(out, columns=["id", "ready", "choice", "aliases"])
+
+    return run
+
+
+def _earlier_document() -> Column:
+    return F.col("its_document").isNull() | F.col("document").isNull() | (F.col("its_document") < F.col("document"))
+
+
+def _holders(done: DataFrame, base: DataFrame, named: DataFrame) -> DataFrame:
+    """(name, target, since, kind, its_place, its_document): the names that decided nodes gave to canonical ones, from which
+    place on, with the type that the canonical node has by now, its own or its first typed member's."""
+    typed = F.col("type") != UNCLASSIFIED
+    kinds = done.groupBy("target").agg(F.coalesce(F.min_by(F.when(typed, F.col("type")), F.when(typed, F.col("place"))), F.lit(UNCLASSIFIED)).alias("kind"))
+    kinds = kinds.join(base.select(F.col("id").alias("target"), F.col("place").alias("its_place"), F.col("document").alias("its_document")), "target")
+    held = done.join(named, "id", "left").groupBy("name", "target").agg(F.min("place").alias("since"))
+    return held.join(kinds, "target")
+
+
+def _offers(held: DataFrame) -> DataFrame:
+    """Of the holders of a name, those that a node may choose: of many that have it from the start, the first of a kind."""
+    late = F.when(F.col("since") != F.col("its_place"), F.col("since"))
+    offers = held.filter("name is not null").groupBy("name", "kind", late.alias("late")).agg(F.min(F.struct("its_place", "since", "its_document", "target")).alias("o"))
+    return offers.select("name", "kind", "o.*")
+
+
+def _folded(judge: Judge | None, confidence: float):
+    """The ladder over the last open nodes, in order, in one task."""
+    ask = _asked(judge, confidence) if judge is not None else None
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kind, place, home, by_name, labels, out = {}, {}, {}, {}, {}, []
+        key = lambda p: (p["rank"], p["id"])
+        for r in rows.itertuples():
+            for h in (*r.offers, *r.near):
+                if h["target"] is not None:
+                    kind[h["target"]], place[h["target"]], home[h["target"]] = h["kind"], key(h["its_place"]), h["its_document"]
+            for h in r.offers:
+                known = by_name.setdefault(h["name"], {})
+                known[h["target"]] = min(known.get(h["target"], key(h["since"])), key(h["since"]))
+            labels.update({h["candidate"]: h["label"] for h in r.near})
+        for r in sorted(rows.itertuples(), key=lambda r: key(r.place)):
+            mine = key(r.place)
+            free = lambda c: home[c] is None or r.document is None or home[c] < r.document  # noqa: B023, E731
+            fits = lambda c: c in kind and free(c) and UNCLASSIFIED in (kind[c], r.type) or kind.get(c) == r.type and free(c)  # noqa: B023, E731
+            found = {c for n in r.names for c, since in by_name.get(n, {}).items() if since < mine and fits(c)}
+            target, aliases = min(found, key=place.get, default=None), []
+            if target is None and ask is not None:
+                near = sorted((-h["similarity"], h["candidate"]) for h in r.near if fits(h["candidate"]))
+                options = [{"id": c, "label": labels[c], "type": kind[c], "similarity": -d} for d, c in near]
                 if options:
-                    choice, sure = judge({"id": node.id, "label": node.label, "type": node.type}, options)
-                    target = choice if sure >= confidence and choice in {o["id"] for o in options} else None
+                    [answer] = ask(iter([pd.DataFrame([(r.id, r.label, r.type, options, False)], columns=["id", "label", "type", "options", "open"])]))
+                    target, aliases = answer["choice"][0], answer["aliases"][0]
             if target is None:
-                target = node.id
-                kinds[target], place[target], labels[target] = node.type, node.rank, node.label
-            elif kinds[target] == UNCLASSIFIED:
-                kinds[target] = node.type
-            canonical[node.id] = target
-            for n in node.names:
-                if n and target not in known.setdefault(n, []):
-                    known[n].append(target)
-        return pd.DataFrame({"id": list(canonical), "canonical": list(canonical.values())})
-
-    return rows.groupBy("group").applyInPandas(fold, "id string, canonical string")
-
-
-def name_groups(nodes: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Nodes with ``group``: names, and pairs (id, candidate) where given, connect them; rounds of smallest labels spread
-    until nothing changes."""
-    links = names(nodes).select("id", "name")
+                target = r.id
+                kind[target], place[target], home[target] = r.type, mine, r.document
+            elif kind[target] == UNCLASSIFIED:
+                kind[target] = r.type
+            for n in r.names:
+                by_name.setdefault(n, {}).setdefault(target, mine)
+            out.append((r.id, target, aliases))
+        return pd.DataFrame(out, columns=["id", "choice", "aliases"])
+
+    return run
+
+
+def _last(still: DataFrame, held: DataFrame, named: DataFrame, pairs: DataFrame | None, base: DataFrame, judge: Judge | None, confidence: float) -> DataFrame:
+    """(id, choice, aliases) of at most ``LAST`` open nodes."""
+    offers = still.select("id").join(named, "id").join(_offers(held), "name").groupBy("id").agg(F.collect_list(F.struct("name", "target", "since", "kind", "its_place", "its_document")).alias("offers"))
+    rows = still.join(base.select("id", "label"), "id").join(offers, "id", "left").join(named.groupBy("id").agg(F.collect_list("name").alias("names")), "id", "left")
+    if pairs is not None:
+        canonical = held.select("target", "kind", "its_place", "its_document").distinct()
+        near = pairs.join(still.select("id"), "id", "left_semi").join(base.select(F.col("id").alias("candidate"), "label"), "candidate").join(canonical, F.col("candidate") == F.col("target"), "left")
+        rows = rows.join(near.groupBy("id").agg(F.collect_list(F.struct("candidate", "label", "similarity", "target", "kind", "its_place", "its_document")).alias("near")), "id", "left")
+    else:
+        rows = rows.withColumn("near", F.array(F.struct(F.lit("").alias("candidate"), F.lit("").alias("label"))).cast("array<struct<candidate:string,label:string>>")).withColumn("near", F.slice("near", 1, 0))
+    rows = rows.select("id", "place", "type", "label", "document", *[F.coalesce(c, F.array()).alias(c) for c in ("names", "offers", "near")], F.lit(True).alias("all"))
+    return rows.groupBy("all").applyInPandas(_folded(judge if pairs is not None else None, confidence), "id string, choice string, aliases array<string>")
+
+
+def _matches(still: DataFrame, held: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, best, best_kind): of each open node the canonical one of the lowest place that has one of its names by its turn."""
+    met = still.join(named, "id").join(_offers(held), "name").filter((F.col("since") < F.col("place")) & _comparable("kind", "type") & _earlier_document())
+    return met.groupBy("id").agg(F.min(F.struct("its_place", "kind")).alias("m")).select("id", F.col("m.its_place").alias("best"), F.col("m.kind").alias("best_kind"))
+
+
+def _links(typed: DataFrame) -> DataFrame:
+    """(id, key): nodes of comparable types that share a name share a key. Typed nodes are linked under a name by their type
+    and to its unclassified ones, which are linked with every type that the name has."""
+    loose = typed.filter(F.col("type") == UNCLASSIFIED).select("id", "name").join(typed.select("name", "type").distinct(), "name")
+    return typed.select("id", "name", "type").unionByName(loose.select("id", "name", "type")).select("id", F.xxhash64("name", "type").alias("key")).distinct()
+
+
+def _comers(still: DataFrame, held: DataFrame, named: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(target, comer): of unclassified canonical nodes the first open node that could join them."""
+    untyped = held.filter(F.col("kind") == UNCLASSIFIED)
+    first = still.join(named, "id").groupBy("name").agg(F.min("place").alias("place"))
+    rows = untyped.join(first, "name").select("target", "place")
     if pairs is not None:
-        links = links.unionByName(pairs.select(F.explode(F.array("id", "candidate")).alias("id"), F.concat(F.lit("\0"), "candidate").alias("name")))
-    links = checkpoint(links)
-    labels = checkpoint(nodes.select("id", F.col("id").alias("group")))
+        rows = rows.unionByName(pairs.join(still.select("id", "place"), "id").select(F.col("candidate").alias("target"), "place").join(untyped, "target", "left_semi"))
+    return rows.groupBy("target").agg(F.min("place").alias("comer"))
+
+
+def _lowest(scratch: Scratch, low: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, low): the least ``low`` among the nodes that links (id, key) connect with each, spread until nothing changes."""
+    low = scratch.write(low, "low")
+    own = scratch.write(links.join(low.select("id"), "id", "left_semi"), "own-links")
     while True:
-        best = links.join(labels, "id").groupBy("name").agg(F.min("group").alias("g"))
-        spread = links.join(best, "name").groupBy("id").agg(F.min("g").alias("g"))
-        after = checkpoint(labels.join(spread, "id", "left").select("id", F.least("group", F.coalesce("g", "group")).alias("group")))
-        if after.exceptAll(labels).isEmpty():
-            return nodes.join(after, "id")
-        labels = after
+        by_key = own.join(low, "id").groupBy("key").agg(F.min("low").alias("l"))
+        spread = own.join(by_key, "key").groupBy("id").agg(F.min("l").alias("l"))
+        after = scratch.write(low.join(spread, "id", "left").select("id", F.least("low", "l").alias("low"), (F.col("l") < F.col("low")).alias("fell")), "low")
+        low = after.select("id", "low")
+        if after.filter("fell").isEmpty():
+            return low
+
+
+def _judged(turn: DataFrame, pairs: DataFrame, held: DataFrame, comers: DataFrame, base: DataFrame, judge: Judge, confidence: float) -> DataFrame:
+    """(id, ready, choice, aliases) of nodes whose turn it is: not ready are those with an unclassified candidate whose type is open."""
+    canonical = held.select(F.col("target").alias("candidate"), "kind", "its_document").distinct()
+    met = turn.join(pairs, "id").join(canonical, "candidate").filter(_comparable("kind", "type") & _earlier_document())
+    met = met.join(comers.withColumnRenamed("target", "candidate"), "candidate", "left").join(base.select(F.col("id").alias("candidate"), F.col("label").alias("its_label")), "candidate")
+    open_type = (F.col("type") != UNCLASSIFIED) & (F.col("kind") == UNCLASSIFIED) & F.coalesce(F.col("comer") < F.col("place"), F.lit(False))
+    option = F.struct(F.negative("similarity").alias("order"), F.col("candidate").alias("id"), F.col("its_label").alias("label"), F.col("kind").alias("type"), "similarity")
+    listed = met.groupBy("id").agg(F.array_sort(F.collect_list(option)).alias("options"), F.bool_or(open_type).alias("open"))
+    rows = turn.join(base.select("id", "label"), "id").join(listed, "id", "left")
+    return rows.select("id", "label", "type", "options", F.coalesce("open", F.lit(False)).alias("open")).mapInPandas(_asked(judge, confidence), "id string, ready boolean, choice string, aliases array<string>")
+
+
+def resolve(nodes: DataFrame, pairs: DataFrame | None = None, judge: Judge | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """(id, canonical, aliases) of nodes (id, rank, label, type, aliases): who each stands for, as if taken in order of rank.
+
+    A node joins the earlier canonical node of lowest rank that has one of its normalised names, names learnt from merges
+    included, and a comparable type; else ``judge`` may choose one of its earlier vector candidates (pairs: id, candidate,
+    similarity) with enough confidence; else it is canonical itself. Candidates are asked for that are canonical and of a
+    comparable type when the node's turn comes; an unclassified canonical node takes the type of its first typed member.
+    ``aliases`` are names that the judge gave with its choice: the caller's to store, they match nothing in this call.
+
+    Optional columns: nodes with a true ``fixed`` are canonical whatever they share; with a ``document`` (ordered as the ranks
+    are) only canonical nodes of earlier documents are candidates, so that a document's nodes stay apart.
+
+    Each round decides (a) nodes that no open earlier node of a comparable type shares a name with, whose candidates are
+    decided, and (b) nodes that match the canonical node of the lowest place that anything open linked with them could
+    still bring: of a name that a third of all nodes share, all join at once when its first one is decided. Both wait where an
+    open earlier node could give an unclassified target its type. The first open node is always decided. The last ``LAST`` open
+    nodes, of whatever number, are taken in order in one task.
+    """
+    pairs = pairs if judge is not None else None
+    scratch = Scratch(nodes.sparkSession)
+    fixed = F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in nodes.columns else F.lit(False)
+    document = F.col("document") if "document" in nodes.columns else F.lit(None).cast("string")
+    base = scratch.write(nodes.select("id", F.struct("rank", "id").alias("place"), "type", "label", fixed.alias("fixed"), document.alias("document")), "nodes")
+    typed = scratch.write(names(nodes).select("id", "name", "type"), "names")
+    named = typed.select("id", "name")
+    pairs = scratch.write(pairs.select("id", "candidate", "similarity"), "pairs") if pairs is not None else None
+    lasting, answers, links = [t for t in (base, typed, pairs) if t is not None], [], None
+    state = scratch.write(base.select("id", "place", "type", "document", F.when(F.col("fixed"), F.col("place")).alias("target")), "state")
+    while (left := state.filter("target is null").count()) > 0:
+        still = state.filter("target is null").drop("target")
+        held = scratch.write(_holders(state.filter("target is not null").select("id", "place", "type", F.col("target.id").alias("target")), base, named), "held")
+        if left <= LAST:
+            answers.append(scratch.write(_last(still, held, named, pairs, base, judge, confidence), "answers"))
+            places = base.select(F.col("id").alias("choice"), F.col("place").alias("now"))
+            state = state.join(answers[-1].join(places, "choice").select("id", "now"), "id", "left").select("id", "place", "type", "document", F.coalesce("target", "now").alias("target"))
+            break
+        if links is None:
+            links = scratch.write(_links(typed), "links")
+            lasting.append(links)
+        comers = _comers(still, held, named, pairs)
+        first = links.join(still, "id").groupBy("key").agg(F.min("place").alias("first"))
+        first = links.join(still.select("id"), "id", "left_semi").join(first, "key").groupBy("id").agg(F.min("first").alias("first"))
+        rows = still.join(_matches(still, held, named), "id", "left").join(first, "id", "left")
+        rows = rows.join(comers.withColumnRenamed("target", "best_id"), F.col("best.id") == F.col("best_id"), "left").drop("best_id")
+        if pairs is not None:
+            seen = pairs.join(still.select("id"), "id", "left_semi").join(base.select(F.col("id").alias("candidate"), F.col("place").alias("near")), "candidate")
+            seen = seen.join(still.select(F.col("id").alias("candidate"), F.lit(True).alias("open")), "candidate", "left")
+            rows = rows.join(seen.groupBy("id").agg(F.min("near").alias("near"), F.bool_or("open").alias("open")), "id", "left")
+        else:
+            rows = rows.withColumns({"near": F.col("place"), "open": F.lit(False)})
+        settled = (F.col("type") == UNCLASSIFIED) | (F.coalesce("best_kind", F.lit("")) != UNCLASSIFIED) | F.coalesce(F.col("comer") >= F.col("place"), F.lit(True))
+        alone = F.coalesce(F.col("first") >= F.col("place"), F.lit(True))
+        matched = F.col("best").isNotNull()
+        rows = rows.withColumns({"joins": matched & settled & alone, "waiting": matched & settled & ~alone, "turn": ~matched & alone & ~F.coalesce("open", F.lit(False))})
+        rows = scratch.write(rows, "round")
+        counts = rows.agg(F.count_if("joins").alias("joins"), F.count_if("turn").alias("turn"), F.count_if("waiting").alias("waiting")).first()
+        target = F.when(F.col("joins"), F.col("best"))
+        if counts["waiting"] > counts["joins"] + counts["turn"]:
+            low = _lowest(scratch, rows.select("id", F.least("place", "best", F.when(F.col("best").isNull(), F.col("near"))).alias("low")), links)
+            rows = rows.join(low, "id")
+            target = F.when(F.col("joins") | (F.col("waiting") & (F.col("low") == F.col("best"))), F.col("best"))
+        now = rows.select("id", F.coalesce(target, F.when(F.col("turn"), F.col("place")) if pairs is None else target).alias("now"))
+        if pairs is not None and counts["turn"]:
+            turn = rows.filter("turn").select("id", "place", "type", "document")
+            answer = scratch.write(_judged(turn, pairs, held, comers, base, judge, confidence), "answers")
+            answers.append(answer)
+            chosen = answer.filter("ready").join(base.select(F.col("id").alias("choice"), F.col("place").alias("accepted")), "choice", "left").join(base.select("id", F.col("place").alias("own")), "id")
+            now = now.join(chosen.select("id", F.coalesce("accepted", "own").alias("asked")), "id", "left").select("id", F.coalesce("now", "asked").alias("now"))
+        state = scratch.write(state.join(now, "id", "left").select("id", "place", "type", "document", F.coalesce("target", "now").alias("target")), "state")
+        scratch.keep_only(state, *lasting, *answers)
+    found, none = state.select("id", F.col("target.id").alias("canonical")), F.array().cast("array<string>")
+    if answers:
+        given = answers[0].select("id", "aliases")
+        for answer in answers[1:]:
+            given = given.unionByName(answer.select("id", "aliases"))
+        given = given.filter(F.size("aliases") > 0)
+        found = found.join(given, "id", "left")
+    else:
+        found = found.withColumn("aliases", none)
+    return scratch.keep_only(scratch.write(found.select("id", "canonical", F.coalesce("aliases", none).alias("aliases")), "resolved"))

@@ -226,7 +226,7 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _part_nodes(spark, sf_dir)
     asking = resolution.unsettled(nodes).withColumn("vector", hashing_embedder(32)(F.col("label")))
     pairs = materialise(resolution.vector_candidates(asking, asking, least=0.5, earlier=True).drop("rank"), "pairs")
-    return resolution.resolve_groups(resolution.name_groups(nodes, pairs), pairs, closest)
+    return resolution.resolve(nodes, pairs, closest).select("id", "canonical")
 
 
 # Parts as extracted nodes of chunks (their sizes), line items as extracted edges.

@@ -119,8 +119,7 @@ class KnowledgeBase:
         matched = materialise(resolution.name_matches(incoming, known), "matches")
         rest = materialise(incoming.join(matched, "id", "left_anti"), "unmatched")
         if self.judge is None or self.embed is None:
-            no_pairs = self.spark.createDataFrame([], "id string, candidate string, similarity double")
-            folded = resolution.resolve_groups(resolution.name_groups(rest), no_pairs)
+            folded = resolution.resolve(rest)
         else:
             folded = self._judged(rest, known)
         # known nodes are told apart from new ones with the same id by a mark
@@ -144,7 +143,7 @@ class KnowledgeBase:
         asked = known.select(mark.alias("id"), mark.alias("rank"), "label", "type", "aliases", F.lit(True).alias("fixed"))
         asked = asked.join(pairs.select(F.col("candidate").alias("id")), "id", "left_semi")
         both = rest.select("id", "rank", "label", "type", "aliases", F.lit(False).alias("fixed")).unionByName(asked)
-        return resolution.resolve_groups(resolution.name_groups(both, pairs), pairs, self.judge).join(rest.select("id"), "id", "left_semi")
+        return resolution.resolve(both, pairs, self.judge).join(rest.select("id"), "id", "left_semi")
 
     def _delta(self, name: str, gone: DataFrame, added: DataFrame, kind: str, rows: DataFrame, ends: DataFrame | None) -> DataFrame:
         """The stored elements with those that removed or new provenance touches made anew."""

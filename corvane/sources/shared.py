@@ -58,11 +58,11 @@ class Scratch:
         self.tables.append((written, path))
         return written
 
-    def keep_only(self, written: DataFrame) -> DataFrame:
-        """Delete all tables but this one, and return it."""
-        for other in [t for t, _ in self.tables if t is not written]:
+    def keep_only(self, *written: DataFrame) -> DataFrame:
+        """Delete all tables but these, and return the first."""
+        for other in [t for t, _ in self.tables if not any(t is w for w in written)]:
             self.remove(other)
-        return written
+        return written[0]
 
     def remove(self, written: DataFrame) -> None:
         """Delete a table that ``write`` returned."""
