@@ -31,7 +31,7 @@ from corvane.llm.common import bytes_of, materialise, table, unused
 
 MARK = "▁"
 #: Text of one block, unless a single text is longer, and bytes of a text that are cut at a time.
-BLOCK, PART = 32 << 20, 4 << 20
+BLOCK, PART = 8 << 20, 4 << 20
 #: Distinct chunks that are segmented at a time, and hash buckets of chunks at least.
 AT_ONCE, LEAST_BUCKETS = 1 << 14, 1 << 10
 _PROBE = f" \t a  Ａﬁéé{MARK} 　b\r\n  "
