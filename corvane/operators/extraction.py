@@ -6,12 +6,16 @@ label, type, suggested_type) and edges (chunk_id, ord, source_ref, target_ref, l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import structural_key
+from corvane.sources.shared import materialise
 
 #: Types and labels that name the document's own structure, not something in the world.
 STRUCTURAL_TYPES = ["chunk", "column", "file path", "heading", "link", "markdown table", "row", "source", "source path", "table", "url"]
@@ -31,6 +35,74 @@ def extract_missing(requests: DataFrame, cache: DataFrame, extract: Callable[[Da
     return requests.join(after, "key"), after
 
 
+RESULT = "nodes ARRAY<STRUCT<ref: STRING, label: STRING, type: STRING, suggested_type: STRING>>, edges ARRAY<STRUCT<source_ref: STRING, target_ref: STRING, label: STRING>>"
+
+
+class InvalidOutput(ValueError):
+    """A model's answer that is not a graph."""
+
+
+def checked(answer: dict) -> dict:
+    """An answer with only the fields of a graph, or ``InvalidOutput``: every node needs a ref, a label and a type, every
+    edge its ends and a label, all of them texts."""
+    try:
+        nodes = [{"ref": n["ref"], "label": n["label"], "type": n["type"], "suggested_type": n.get("suggested_type")} for n in answer["nodes"]]
+        edges = [{k: e[k] for k in ("source_ref", "target_ref", "label")} for e in answer["edges"]]
+    except (KeyError, TypeError, AttributeError) as error:
+        raise InvalidOutput(str(error)) from error
+    texts = [v for row in [*nodes, *edges] for k, v in row.items() if not (k == "suggested_type" and v is None)]
+    if not all(isinstance(v, str) for v in texts):
+        raise InvalidOutput("a field is not a text")
+    return {"nodes": nodes, "edges": edges}
+
+
+@dataclass(frozen=True)
+class CachedExtractor:
+    """A model that is asked once for each distinct content: ``ask`` turns a request (heading path, text) into an answer with
+    nodes and edges; an invalid answer is asked for once more. ``model`` and ``schema`` name what answers depend on."""
+
+    ask: Callable[[str, str], dict]
+    model: str
+    schema: str = "graph-1"
+
+    def requests(self, chunks: DataFrame) -> DataFrame:
+        """(chunk_id, key, heading, text) of chunks."""
+        heading = F.when(F.size("heading_path") > 0, F.array_join("heading_path", " > ")).otherwise(F.lit("(none)"))
+        rows = chunks.select(F.col("id").alias("chunk_id"), "source", heading.alias("heading"), "text")
+        prompt = F.to_json(F.struct("heading", "text"))
+        return rows.withColumn("key", cache_key(prompt, F.lit(self.schema), F.lit(self.model)))
+
+    def answers(self, missing: DataFrame) -> DataFrame:
+        """(key, result) of distinct requests, one call each."""
+        ask = self.ask
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                out = []
+                for r in rows.itertuples():
+                    try:
+                        answer = checked(ask(r.heading, r.text))
+                    except InvalidOutput:
+                        answer = checked(ask(r.heading, r.text))
+                    out.append((r.key, json.dumps(answer)))
+                yield pd.DataFrame(out, columns=["key", "result"])
+
+        return missing.select("key", "heading", "text").mapInPandas(run, "key string, result string")
+
+    def extract(self, chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, records): the graphs of chunks, and the records (source, key, result) that they use. The cache has
+        (key, result, ...); what it has is not asked for again, whoever asked."""
+        wanted = self.requests(chunks)
+        known = cache.groupBy("key").agg(F.min("result").alias("result"))
+        missing = wanted.join(known, "key", "left_anti").dropDuplicates(["key"])
+        fresh = materialise(self.answers(missing), "answers")
+        results = materialise(wanted.join(known.unionByName(fresh), "key").select("chunk_id", "source", "key", "result"), "results")
+        graph = results.select("chunk_id", F.from_json("result", RESULT).alias("g"))
+        nodes = graph.select("chunk_id", F.posexplode("g.nodes").alias("ord", "n")).select("chunk_id", "ord", "n.*")
+        edges = graph.select("chunk_id", F.posexplode("g.edges").alias("ord", "e")).select("chunk_id", "ord", "e.*")
+        return nodes, edges, results.select("source", "key", "result").distinct()
+
+
 def is_structural() -> Column:
     """Whether a node (label, type) of a chunk (chunk_id, source, heading_path) names structure: by its type, its label,
     the chunk's id or source, or as ``chunk`` and a heading."""

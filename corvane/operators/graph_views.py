@@ -117,10 +117,34 @@ def combine_edges(edges: DataFrame, provenance: bool = True) -> DataFrame:
     use = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
     rows = rows.withColumn("keeps", (use == 1) if provenance else F.lit(False))
     kept, others = rows.filter("keeps").drop("keeps"), rows.filter("not keeps").drop("keeps", "id")
-    # free numbers: as many as edges in all suffice; the ones that ids like edge-0007 hold are taken
-    others = global_rank(others, F.col("ord"), name="n")
-    taken = kept.filter(F.col("id").rlike(r"^edge-\d{4,}$")).select(F.expr("try_cast(substr(id, 6) as bigint)").alias("number"))
-    numbers = edges.sparkSession.range(1, rows.count() + taken.count() + 1).withColumnRenamed("id", "number")
+    return kept.unionByName(numbered(others, kept))
+
+
+def numbered(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """Edges (ord, ...) with ``id``: in order the next free ``edge-0001`` that no id of ``used`` holds."""
+    rows = global_rank(rows, F.col("ord"), name="n")
+    taken = used.filter(F.col("id").rlike(r"^edge-\d{4,}$")).select(F.expr("try_cast(substr(id, 6) as bigint)").alias("number")).distinct()
+    # as many numbers as there are rows and taken ones suffice
+    numbers = rows.sparkSession.range(1, rows.count() + taken.count() + 1).withColumnRenamed("id", "number")
     free = global_rank(numbers.join(taken, "number", "left_anti"), F.col("number"), name="n")
-    named = others.join(free, "n").withColumn("id", F.format_string("edge-%04d", "number")).drop("n", "number")
-    return kept.unionByName(named)
+    return rows.join(free, "n").withColumn("id", F.format_string("edge-%04d", "number")).drop("n", "number")
+
+
+def merge_edge_sets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored edges (id, source, target, label, properties, chunk_ids) with incoming ones (ord, ...) merged in by their ends
+    and label: a stored edge keeps its id and properties and gets the new chunk ids behind its own; new edges get the next
+    free numbers in order. Only the ids that stored edges hold matter, not how they came by them."""
+    key = ["source", "target", "label"]
+    fresh = incoming.groupBy(*key).agg(_ordered("properties", "chunk_ids").alias("p"))
+    fresh = fresh.select(*key, F.col("p")[0]["ord"].alias("ord"), F.col("p")[0]["properties"].alias("properties"), F.array_distinct(_all(F.col("p"), "chunk_ids")).alias("chunk_ids"))
+    more = fresh.select(*key, F.col("chunk_ids").alias("more"))
+    none = F.array().cast("array<string>")
+    kept = stored.join(more, key, "left").select("id", *key, "properties", F.array_distinct(F.concat(F.coalesce("chunk_ids", none), F.coalesce("more", none))).alias("chunk_ids"))
+    return kept.unionByName(numbered(fresh.join(stored.select(*key), key, "left_anti"), stored).select("id", *key, "properties", "chunk_ids"))
+
+
+def combine_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes (ord, id, label, type, suggested_type, aliases, properties, chunk_ids) of several graphs, merged by id in order: as
+    ``materialize_nodes`` does with contributions."""
+    rows = nodes.withColumnRenamed("id", "canonical_node_id").withColumn("resolution_aliases", F.array().cast("array<string>"))
+    return materialize_nodes(rows)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.ranking import global_rank
+
 
 def evidence(rows: DataFrame, key: list[str]) -> DataFrame:
     """Evidence rows (ord, subquestion, *key) once by key, in order of first appearance, with all their subquestions."""
@@ -13,12 +15,11 @@ def evidence(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def registry(references: DataFrame) -> DataFrame:
-    """References (ord, source, page_start, page_end) once each with ``name`` S1, S2, ... in order of first appearance.
-
-    The distinct references of one session: few rows, which one task numbers.
-    """
+    """References (ord, source, page_start, page_end) once each with ``name`` S1, S2, ... in order of first appearance, numbered
+    by ranges of that order."""
     once = references.groupBy("source", "page_start", "page_end").agg(F.min("ord").alias("first"))
-    return once.withColumn("name", F.concat(F.lit("S"), F.row_number().over(Window.orderBy("first")).cast("string")))
+    once = global_rank(once, F.col("first"), F.col("source"), F.col("page_start"), F.col("page_end"), name="number")
+    return once.withColumn("name", F.concat(F.lit("S"), F.col("number").cast("string"))).drop("number")
 
 
 def compacted(turns: DataFrame, trigger: int = 256_000, retain: int = 64_000) -> DataFrame:

@@ -52,6 +52,13 @@ def name_matches(incoming: DataFrame, canonical: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min("best").alias("best")).select("id", F.col("best.id").alias("match"))
 
 
+def same_contribution(nodes: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(id, match): nodes (id, source, content_hash) that a canonical node's provenance names already, with the same source and
+    content: they are that node, whatever their names."""
+    known = provenance.groupBy("source", "content_hash", F.col("node_id").alias("id")).agg(F.min("canonical_node_id").alias("match"))
+    return nodes.select("id", "source", "content_hash").join(known, ["source", "content_hash", "id"]).select("id", "match")
+
+
 def unsettled(nodes: DataFrame) -> DataFrame:
     """The nodes (id, rank, type, label, aliases) that may be canonical or come to the judge.
 

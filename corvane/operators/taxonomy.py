@@ -33,8 +33,27 @@ def promotions(aggregated: DataFrame, registry: DataFrame, least_nodes: int = LE
 
 
 def migrate(nodes: DataFrame, promoted: DataFrame) -> DataFrame:
-    """Nodes with the promoted type (normalized_suggested_type) where they are unclassified and suggested it."""
+    """Nodes with the promoted type (normalized_suggested_type) where they are unclassified and suggested it, their suggestion
+    taken away, and ``migrated``."""
     own = promoted.select(F.col("normalized_suggested_type").alias("__promoted"))
     rows = nodes.join(own, type_key(F.col("suggested_type")) == F.col("__promoted"), "left")
-    moves = (F.col("type") == "unclassified") & F.col("__promoted").isNotNull()
-    return rows.withColumns({"type": F.when(moves, F.col("__promoted")).otherwise(F.col("type")), "migrated": moves}).drop("__promoted")
+    moves = (type_key(F.col("type")) == "unclassified") & F.col("__promoted").isNotNull()
+    return rows.withColumns({"type": F.when(moves, F.col("__promoted")).otherwise(F.col("type")), "migrated": moves, "suggested_type": F.when(~moves, F.col("suggested_type"))}).drop("__promoted")
+
+
+def affected_nodes(migrated: DataFrame) -> DataFrame:
+    """(type, node) of migrated nodes (source, id): one row for each node that a promotion changed."""
+    return migrated.filter("migrated").select("type", F.concat_ws(":", F.nullif("source", F.lit("")), "id").alias("node")).distinct()
+
+
+def evolve(registry: DataFrame, records: DataFrame, nodes: DataFrame, least_nodes: int = LEAST_NODES, least_sources: int = LEAST_SOURCES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(registry, nodes, promotions, affected): promote the suggestions (records) that are frequent enough and migrate nodes.
+
+    The registry (type) gets the new types; promotions are (type, matched_suggestions, reason); nodes (source, id, type,
+    suggested_type, ...) carry ``migrated``; affected has a row (type, node) for each, so that no list grows with the corpus.
+    """
+    promoted = promotions(aggregate_suggestions(records), registry, least_nodes, least_sources)
+    reason = F.format_string("Appeared in %d nodes across %d source documents.", "node_count", "source_count")
+    audit = promoted.select(F.col("normalized_suggested_type").alias("type"), F.col("spellings").alias("matched_suggestions"), reason.alias("reason"))
+    moved = migrate(nodes, promoted)
+    return registry.select("type").unionByName(audit.select("type")), moved, audit, affected_nodes(moved)

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from corvane import schemas
 from corvane.functions.text import in_folder
-from corvane.operators import bm25, chunk_search, chunking, document_search, extraction, graph_views, hybrid, references, resolution, sync, taxonomy
+from corvane.operators import chunk_search, chunking, document_search, extraction, graph_views, hybrid, references, relationships, resolution, sync, taxonomy
 from corvane.sources.shared import checkpoint, materialise
-from corvane.sources.snapshots import SnapshotStore
+from corvane.sources.snapshots import Conflict, SnapshotStore
 
 #: An extractor: from chunks to nodes (chunk_id, ord, ref, label, type, suggested_type) and edges (chunk_id, ord,
-#: source_ref, target_ref, label).
-Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+#: source_ref, target_ref, label); or one that asks a model once for each content and keeps its answers with the version.
+Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]] | extraction.CachedExtractor
 
 #: Stands before the ids of known nodes while new ones are resolved, and sorts before them.
 KNOWN = "\x01"
@@ -30,26 +30,41 @@ _TABLES = {
     "chunk_vectors": schemas.EMBEDDINGS,
     "node_vectors": schemas.EMBEDDINGS,
     "suggestions": schemas.SUGGESTIONS.replace(", created_at TIMESTAMP", ""),
+    "extractions": "source STRING, key STRING, result STRING",
+    "registry": "type STRING",
+    "promotions": "type STRING, matched_suggestions ARRAY<STRING>, reason STRING, version BIGINT",
+    "promoted_nodes": "type STRING, node STRING, version BIGINT",
+    "dropped_edges": "chunk_id STRING, source STRING, ord BIGINT, source_ref STRING, target_ref STRING, label STRING, missing ARRAY<STRING>",
 }
+#: Tables that a rebuild goes on from: answers, vectors and types outlive the graph.
+_LASTING = ("extractions", "registry", "promotions", "promoted_nodes", "chunk_vectors", "node_vectors")
+#: Tables laid out by their source, for lookups that name one.
+_BY_SOURCE = ("chunks", "node_provenance", "edge_provenance")
+#: Times that a synchronisation is made again because another writer was first.
+ATTEMPTS = 5
 
 
 class KnowledgeBase:
     """Chunks and a graph with provenance, kept up to date from document snapshots."""
 
-    def __init__(self, spark: SparkSession, folder: str, scopes: dict[str, str] | None = None, embed: Callable[[Column], Column] | None = None, model: str = "embedder", judge: resolution.Judge | None = None):
+    def __init__(self, spark: SparkSession, folder: str, scopes: dict[str, str] | None = None, embed: Callable[[Column], Column] | None = None, model: str = "embedder", judge: resolution.Judge | None = None, types: Sequence[str] = ()):
         """``embed``, where given, turns texts into vectors; ``model`` names it in the vectors' cache. ``judge``, where given
-        too, decides on new nodes that share no name with an earlier one but have a similar vector."""
+        too, decides on new nodes that share no name with an earlier one but have a similar vector. ``types`` are the node
+        types that are known from the start; suggested ones that become frequent are added and nodes migrated to them."""
         self.spark, self.store, self.scopes = spark, SnapshotStore(spark, folder), scopes or {}
-        self.embed, self.model, self.judge = embed, model, judge
+        self.embed, self.model, self.judge, self.types = embed, model, judge, list(types)
+        self._anew = False
 
     def table(self, name: str) -> DataFrame:
         """A table of the newest version, empty before the first."""
         now = self.store.current()
-        return self.store.read(name) if now and name in now[1] else self.spark.createDataFrame([], _TABLES[name])
+        if now and name in now[1] and not (self._anew and name not in _LASTING):
+            return self.store.read(name)
+        return self.spark.createDataFrame([(t,) for t in self.types] if name == "registry" else [], _TABLES[name])
 
     def merge(self, documents: DataFrame, extract: Extractor) -> DataFrame:
         """Like ``sync``, but sources that ``documents`` does not name stay."""
-        return self._apply(sync.hashed(documents), extract, keep_others=True)
+        return self._first(lambda: self._apply(sync.hashed(documents), extract, keep_others=True))
 
     def sync(self, documents: DataFrame, extract: Extractor) -> DataFrame:
         """Make the knowledge base say what ``documents`` (source, markdown) say; returns (source, change).
@@ -57,84 +72,144 @@ class KnowledgeBase:
         Only added and changed documents are chunked, extracted and resolved; elements that other sources support stay,
         with their ids. All tables of the new version appear together; after an error none does.
         """
-        return self._apply(sync.hashed(documents), extract)
+        return self._first(lambda: self._apply(sync.hashed(documents), extract))
+
+    def rebuild(self, documents: DataFrame, extract: Extractor) -> DataFrame:
+        """A new version made from the documents alone, as if the graph had never been there; stored answers and vectors are
+        used again."""
+        self._anew = True
+        try:
+            return self._first(lambda: self._apply(sync.hashed(documents), extract))
+        finally:
+            self._anew = False
+
+    def _first(self, make: Callable[[], DataFrame]) -> DataFrame:
+        """The result of ``make``, made again from the newest version where another writer was first."""
+        for _ in range(ATTEMPTS - 1):
+            try:
+                return make()
+            except Conflict:
+                continue
+        return make()
 
     def _apply(self, after: DataFrame, extract: Extractor, keep_others: bool = False) -> DataFrame:
+        now = self.store.current()
         before = self.table("documents")
         if keep_others:
             others = before.join(after, "source", "left_anti").withColumn("markdown", F.lit(None).cast("string"))
             after = after.unionByName(others)
         diff = checkpoint(sync.snapshot_diff(before, after))
-        if self.store.exists() and diff.filter("change <> 'unchanged'").isEmpty():
+        if now and not self._anew and diff.filter("change <> 'unchanged'").isEmpty():
             return diff
         gone = diff.filter("change in ('deleted', 'changed')").select("source")
         fresh = after.join(diff.filter("change in ('added', 'changed')"), "source", "left_semi")
-        version = self.store.current()[0] + 1 if self.store.exists() else 1
+        version = now[0] + 1 if now else 1
         chunks = materialise(chunking.chunk_documents(fresh), "chunks")
-        found_nodes, found_edges = extract(chunks)
+        found_nodes, found_edges, answers = self._extracted(extract, chunks)
         home = chunks.select(F.col("id").alias("chunk_id"), "source", "heading_path")
-        nodes, edges, _ = extraction.chunk_graph(found_nodes.join(home, "chunk_id"), found_edges)
-        nodes = materialise(nodes.join(home.drop("heading_path"), "chunk_id"), "found-nodes")
-        kept_nodes = self.table("node_provenance").join(gone, "source", "left_anti")
-        kept_edges = self.table("edge_provenance").join(gone, "source", "left_anti")
-        canonical = self._resolve(nodes, kept_nodes)
+        nodes, edges, dropped = extraction.chunk_graph(found_nodes.join(home, "chunk_id"), found_edges)
+        home = home.drop("heading_path")
+        edges, dropped = materialise(edges, "found-edges"), materialise(dropped.join(home, "chunk_id"), "dropped-edges")
+        nodes = nodes.join(home, "chunk_id")
+        kept = lambda name: self.table(name).join(gone, "source", "left_anti")
+        kept_edges = kept("edge_provenance")
+        suggestions = materialise(kept("suggestions").unionByName(taxonomy.suggestions(nodes)), "suggestions")
+        registry, nodes, kept_nodes, audit = self._evolved(suggestions, nodes, kept("node_provenance"), version)
+        canonical = self._resolve(nodes.join(after.select("source", "content_hash"), "source"), edges, kept_nodes)
         place = lambda key: (F.lit(version * 10**9) + F.row_number().over(Window.partitionBy(key).orderBy("source", "__id"))).alias("ord")
         none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
         hashes = after.select("source", "content_hash")
         new_nodes = nodes.join(canonical, "id").join(hashes, "source").withColumn("__id", F.col("id")).select(
             F.col("canonical").alias("canonical_node_id"), place("canonical"), "source", "content_hash", F.col("id").alias("node_id"), "label", "type", "suggested_type",
-            empty.alias("aliases"), none.alias("properties"), "chunk_ids", empty.alias("resolution_aliases"),
+            empty.alias("aliases"), none.alias("properties"), "chunk_ids", F.coalesce("given", empty).alias("resolution_aliases"),
         )
         mapped = graph_views.remapped(edges, canonical.select(F.col("id").alias("old"), F.col("canonical").alias("new")))
-        mapped = mapped.withColumnRenamed("source", "source_node_id").withColumnRenamed("target", "target_node_id").join(home.drop("heading_path"), "chunk_id").join(hashes, "source")
+        mapped = mapped.withColumnRenamed("source", "source_node_id").withColumnRenamed("target", "target_node_id").join(home, "chunk_id").join(hashes, "source")
         name = F.concat(F.lit("edge-"), F.substring(F.sha2(F.concat_ws("\0", "source_node_id", "target_node_id", "label").cast("binary"), 256), 1, 16))
         new_edges = mapped.withColumns({"canonical": name, "__id": F.concat_ws("::", "chunk_id", "id")}).select(
             F.col("canonical").alias("canonical_edge_id"), place("canonical"), "source", "content_hash", F.col("__id").alias("edge_id"), "source_node_id", "target_node_id", "label", none.alias("properties"), "chunk_ids",
         )
-        node_rows = materialise(kept_nodes.unionByName(new_nodes), "node-provenance")
+        migrated = kept_nodes.filter("migrated").select(F.col("canonical_node_id").alias("id"))
+        node_rows = materialise(kept_nodes.drop("migrated").unionByName(new_nodes), "node-provenance")
         edge_rows = materialise(kept_edges.unionByName(new_edges), "edge-provenance")
         tables = {
-            "chunks": materialise(self.table("chunks").join(gone, "source", "left_anti").unionByName(chunks), "chunks"),
-            "nodes": materialise(self._delta("nodes", gone, new_nodes.select(F.col("canonical_node_id").alias("id")), "node", node_rows, None), "nodes"),
+            "chunks": materialise(kept("chunks").unionByName(chunks), "chunks"),
+            "nodes": materialise(self._delta("nodes", gone, new_nodes.select(F.col("canonical_node_id").alias("id")).unionByName(migrated), "node", node_rows, None), "nodes"),
             "edges": materialise(self._delta("edges", gone, new_edges.select(F.col("canonical_edge_id").alias("id")), "edge", edge_rows, edge_rows), "edges"),
         }
-        suggestions = self.table("suggestions").join(gone, "source", "left_anti").unionByName(taxonomy.suggestions(nodes))
-        self.store.commit(documents=hashes, node_provenance=node_rows, edge_provenance=edge_rows, suggestions=suggestions, **tables, **self._vectors(**tables))
+        used = kept("extractions").unionByName(answers)
+        dropped = kept("dropped_edges").unionByName(dropped.withColumn("ord", F.col("ord").cast("bigint")))
+        self.store.commit(
+            _BY_SOURCE, now[0] if now else 0, documents=hashes, node_provenance=node_rows, edge_provenance=edge_rows, suggestions=suggestions, extractions=used,
+            dropped_edges=dropped, registry=registry, **audit, **tables, **self._vectors(**tables),
+        )
         return diff
 
+    def _extracted(self, extract: Extractor, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, records) of chunks; a cached extractor's records are stored with the version, or not at all."""
+        if isinstance(extract, extraction.CachedExtractor):
+            return extract.extract(chunks, self.table("extractions"))
+        return *extract(chunks), self.spark.createDataFrame([], _TABLES["extractions"])
+
+    def _evolved(self, suggestions: DataFrame, nodes: DataFrame, kept: DataFrame, version: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+        """(registry, new nodes, kept provenance, audit tables) with newly frequent suggested types promoted; both kinds of
+        rows are migrated, kept ones with ``migrated``."""
+        new = nodes.select(F.lit(True).alias("new"), "source", "id", "type", "suggested_type")
+        old = kept.select(F.lit(False).alias("new"), "source", F.col("node_id").alias("id"), "type", "suggested_type")
+        registry, moved, promotions, affected = taxonomy.evolve(self.table("registry"), suggestions, new.unionByName(old))
+        moved = materialise(moved.select("new", "source", "id", "type", "suggested_type", "migrated"), "migrated")
+        types = lambda fresh: moved.filter(F.col("new") == fresh).drop("new").distinct()
+        nodes = materialise(nodes.drop("type", "suggested_type").join(types(True).drop("migrated"), ["source", "id"]), "found-nodes")
+        kept = kept.drop("type", "suggested_type").join(types(False).withColumnRenamed("id", "node_id"), ["source", "node_id"])
+        numbered = lambda rows: rows.withColumn("version", F.lit(version).cast("bigint"))
+        affected = taxonomy.affected_nodes(moved)
+        audit = {"promotions": self.table("promotions").unionByName(numbered(promotions)), "promoted_nodes": self.table("promoted_nodes").unionByName(numbered(affected))}
+        return registry, nodes, materialise(kept, "kept-nodes"), audit
+
     def _vectors(self, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
         """Vectors of all chunks and nodes; only texts that no stored vector has are embedded."""
         if self.embed is None:
             return {}
         text = chunk_search.searchable_text(chunk_search.annotated(chunks, nodes, edges)).select("id", F.col("searchable").alias("text"))
-        names = nodes.select("id", chunk_search.node_text(F.struct("label", "type", "aliases", "suggested_type", "properties")).alias("text"))
-        known = lambda name: self.table(name)
-        return {name: sync.cached_vectors(rows, known(name), self.model, self.embed) for name, rows in (("chunk_vectors", text), ("node_vectors", names))}
+        found = {"chunk_vectors": sync.cached_vectors(text, self.table("chunk_vectors"), self.model, self.embed)}
+        # nodes whose own row, edges or neighbours did not change keep their vectors; of the others texts are made
+        stored = self.table("node_vectors").filter(F.col("embedding_model") == self.model)
+        changed = relationships.stale(self.table("nodes"), self.table("edges"), nodes, edges)
+        stale = materialise(changed.unionByName(nodes.select("id").join(stored.select("id"), "id", "left_anti")).distinct(), "stale")
+        at = lambda end: edges.join(stale.withColumnRenamed("id", end), end, "left_semi").select("id")
+        near = edges.join(at("source").unionByName(at("target")), "id", "left_semi")
+        texts = relationships.node_texts(nodes, near).join(stale, "id", "left_semi")
+        kept = stored.join(stale, "id", "left_anti").join(nodes.select("id"), "id", "left_semi")
+        found["node_vectors"] = kept.unionByName(sync.cached_vectors(texts, self.table("node_vectors"), self.model, self.embed).select(*kept.columns))
+        return found
 
-    def _resolve(self, nodes: DataFrame, provenance: DataFrame) -> DataFrame:
-        """(id, canonical) of new nodes: a known node with a shared name and a comparable type, one that the judge accepts, or
-        the first new one. A new canonical node whose id is taken gets the next free number behind it."""
+    def _resolve(self, nodes: DataFrame, edges: DataFrame, provenance: DataFrame) -> DataFrame:
+        """(id, canonical, given) of new nodes: a known node with the same contribution, one with a shared name and a comparable
+        type, one that the judge accepts, or the first new one. A new canonical node whose id is taken gets the next free number
+        behind it; ``given`` are aliases that the judge adds."""
         known = graph_views.materialize_nodes(provenance).withColumn("rank", F.col("id"))
         incoming = nodes.select("id", F.concat_ws("\0", "source", "id").alias("rank"), "label", "type", "suggested_type", F.array().cast("array<string>").alias("aliases"))
-        matched = materialise(resolution.name_matches(incoming, known), "matches")
+        same = materialise(resolution.same_contribution(nodes, provenance), "same")
+        matched = same.unionByName(resolution.name_matches(incoming.join(same, "id", "left_anti"), known))
+        matched = materialise(matched, "matches")
         rest = materialise(incoming.join(matched, "id", "left_anti"), "unmatched")
         if self.judge is None or self.embed is None:
             folded = resolution.resolve(rest)
         else:
-            folded = self._judged(rest, known)
+            folded = self._judged(rest, known, edges)
         # known nodes are told apart from new ones with the same id by a mark
         number = F.coalesce(F.nullif(F.regexp_extract("id", r"::(\d{4,})$", 1), F.lit("")).cast("int"), F.lit(1))
         taken = known.select(F.regexp_replace("id", r"::\d{4,}$", "").alias("canonical"), number.alias("n")).groupBy("canonical").agg(F.max("n").alias("n"))
         free = F.when(F.col("canonical").startswith(KNOWN), F.substring_index("canonical", KNOWN, -1)).when(F.col("n").isNotNull(), F.concat("canonical", F.lit("::"), F.lpad((F.col("n") + 1).cast("string"), 4, "0")))
-        folded = folded.join(taken, "canonical", "left").select("id", F.coalesce(free, "canonical").alias("canonical"))
-        return materialise(matched.select("id", F.col("match").alias("canonical")).unionByName(folded), "canonical")
+        folded = folded.join(taken, "canonical", "left").select("id", F.coalesce(free, "canonical").alias("canonical"), F.col("aliases").alias("given"))
+        return materialise(matched.select("id", F.col("match").alias("canonical"), F.array().cast("array<string>").alias("given")).unionByName(folded), "canonical")
 
-    def _judged(self, rest: DataFrame, known: DataFrame) -> DataFrame:
-        """(id, canonical) of new nodes by name among themselves, else by the judge among similar earlier ones; known nodes
+    def _judged(self, rest: DataFrame, known: DataFrame, edges: DataFrame) -> DataFrame:
+        """(id, canonical, aliases) of new nodes by name among themselves, else by the judge among similar earlier ones; known nodes
         come first and have a mark before their ids."""
         none = F.lit(None).cast("string").alias("properties")
-        text = chunk_search.node_text(F.struct("label", "type", "aliases", "suggested_type", none))
-        fresh = resolution.unsettled(rest).select("id", "rank", "type", self.embed(text).alias("vector"))
+        texts = relationships.node_texts(rest.withColumn("properties", none), edges.select(F.concat_ws("::", "chunk_id", "id").alias("id"), "source", "target", "label"))
+        fresh = resolution.unsettled(rest).join(texts, "id").select("id", "rank", "type", self.embed(F.col("text")).alias("vector"))
         vectors = self.table("node_vectors").filter(F.col("embedding_model") == self.model).select("id", "vector")
         mark = F.concat(F.lit(KNOWN), "id")
         stored = known.join(vectors, "id").select(mark.alias("id"), mark.alias("rank"), "type", "vector")
@@ -194,9 +269,12 @@ class KnowledgeBase:
         return ranked, paths, references.source_references(ranked)
 
     def find_documents(self, query: str, scope: str | None = None, top: int = 5) -> DataFrame:
-        """Documents for a query by metadata, by the passages it finds, and by name."""
-        chunks, _, _ = self.restricted(scope)
-        passages = bm25.bm25_scores(chunks, query, {"score": F.col("text")}).filter("score > 0").orderBy(F.desc("score"), "index", "id").limit(max(4 * top, 20))
+        """Documents for a query by metadata, by the passages it finds in all fields, and by name; a blank query raises."""
+        if not query.strip():
+            raise ValueError("the query is empty")
+        chunks, nodes, edges = self.restricted(scope)
+        fields = chunk_search.search_fields(chunk_search.annotated(chunks, nodes, edges))
+        passages = chunk_search.top_chunks(chunk_search.chunk_scores(fields, query), max(4 * top, 20))
         passages = passages.select("source", F.row_number().over(Window.orderBy(F.desc("score"), "index", "id")).alias("rank"))
         allowed = None if scope is None else chunks.select("source")
         return document_search.search_documents(document_search.catalog(self.table("chunks")), query, passages, allowed, top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import in_folder
@@ -36,10 +36,29 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(relative(F.col("path"), folder).alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("markdown"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files with their numbers from 1, however files are split among tasks.
+
+    Lines are numbered within their split; splits lie in order of their first byte, so a line's number is its own and the
+    number of lines in the file's earlier splits.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("order"), "value")
+    own = F.row_number().over(Window.partitionBy("path", "split").orderBy("order"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = rows.groupBy("path", "split").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    return rows.withColumn("own", own).join(splits, ["path", "split"]).select("path", (F.col("own") + F.col("before")).alias("line"), "value")
+
+
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger of corrections, a JSON object per line; blank lines are skipped, others that do not parse raise."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.from_json("value", CORRECTIONS, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    """A ledger of corrections, a JSON object per line; blank lines are skipped, others that do not parse raise with their
+    number. Lines are numbered only where one does not parse."""
+    parsed = F.from_json("value", CORRECTIONS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    fields = F.from_json("value", f"{CORRECTIONS}, broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    bad = (F.trim("value") != "") & (fields["broken"].isNotNull() | fields["id"].isNull())
+    if not spark.read.text(path).filter(bad).isEmpty():
+        first = numbered_lines(spark, path).filter(bad).orderBy("path", "line").first()
+        raise ValueError(f"invalid correction in {first['path']} on line {first['line']}")
+    return spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
 def write_corrections(rows: DataFrame, path: str) -> None:
