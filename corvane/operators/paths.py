@@ -107,14 +107,15 @@ def best_paths(paths: DataFrame, k: int) -> DataFrame:
 def traverse(chunks: DataFrame, edges: DataFrame, scored_nodes: DataFrame, query: str, max_hops: int = 2, beam: int = BEAM) -> DataFrame:
     """Candidate paths of 1 to ``max_hops`` edges from the seeds, no node twice, at most ``beam`` of each length."""
     text = scored_nodes.select("id", "search_text", F.col("score").alias("node_score"), "mention", F.col("chunk_ids").alias("node_chunk_ids"))
-    step = adjacency(edges).join(text.withColumnRenamed("id", "neighbour"), "neighbour")
+    step, text = adjacency(edges), text.withColumnRenamed("id", "neighbour")
     frontier = seeds(scored_nodes).select(
         F.array("id").alias("node_ids"), _strings().alias("edge_ids"), F.col("score").alias("seed_score"), F.col("search_text").alias("last_text"), _strings().alias("steps"),
         F.array("score").alias("node_scores"), F.array("mention").alias("mentions"), F.coalesce("chunk_ids", _strings()).alias("node_chunks"), _strings().alias("edge_chunks"),
     )
     frontier, reached = checkpoint(frontier), None
     for _ in range(max_hops):
-        on = F.broadcast(frontier).join(step, F.element_at("node_ids", -1) == F.col("node")).filter(~F.array_contains("node_ids", F.col("neighbour")))
+        # the frontier, at most the beam, picks its edges; only their other ends are looked up
+        on = F.broadcast(frontier).join(step, F.element_at("node_ids", -1) == F.col("node")).filter(~F.array_contains("node_ids", F.col("neighbour"))).join(text, "neighbour")
         direction = F.when(F.col("forward"), F.col("label")).otherwise(F.concat(F.lit("inverse "), "label"))
         more = lambda array, value: F.concat(array, F.array(value))
         expanded = on.select(
