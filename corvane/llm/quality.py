@@ -285,11 +285,12 @@ def train(shapes: DataFrame, labels: DataFrame) -> Model:
 
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The documents whose score is at least ``least``, all columns kept, whatever their names. Empty texts score like
-    any other. The documents and their features are written once, learnt from and scored there."""
-    own = unused(documents, "shape")
-    shaped = materialise(documents.withColumn(own, features(F.col("text"))), "shaped")
-    model = train(shaped.select("doc_id", F.col(own).alias("x")), labels)
-    return shaped.filter(model.score(F.col(own)) >= least).drop(own)
+    any other. Features are written for the fit alone, and made again for the score: the
+    documents are not copied."""
+    shapes = materialise(documents.select("doc_id", features(F.col("text")).alias("x")), "shapes")
+    model = train(shapes, labels)
+    own = unused(documents, "score")
+    return documents.withColumn(own, model.score(features(F.col("text")))).filter(F.col(own) >= least).drop(own)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ Equal fingerprints and equal sets are collapsed before, and links leave the list
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -219,9 +220,9 @@ def _set_bytes(texts: list[bytes]) -> pa.Array:
     return pa.array([shingles(t).tobytes() for t in texts], pa.binary())
 
 
-def link_sets(sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of similar sets, from sketches (fp, bytes), one for each set, and texts
-    (fp, text), a text of each set.
+def link_sets(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that span the components of similar sets, from sketches (fp, bytes), one for each set, and ``texts``: from
+    sets (fp) to rows (fp, text), a text of each.
 
     The first pass tallies and its forest is verified by whole sets. What that leaves apart is compared whole, but
     only sets that share the minimum of bytes with one of another component travel for it.
@@ -231,7 +232,7 @@ def link_sets(sketches: DataFrame, texts: DataFrame) -> DataFrame:
     bytes_ = sketches.select("fp", F.col("bytes").alias("data"))
     tried = materialise(postings.first_links(members, bytes_, _tally_close), "tried")
     some = members.select("fp").distinct()
-    sets = texts.join(some, "fp", "left_semi").select("fp", text_udf(_set_bytes, "binary")(bytes_of(F.col("text"))).alias("own"))
+    sets = texts(some).select("fp", text_udf(_set_bytes, "binary")(bytes_of(F.col("text"))).alias("own"))
     sets = materialise(sets.join(bytes_, "fp").select("fp", F.concat("data", "own").alias("data")), "sets")
     pairs = tried.join(sets.select(F.col("fp").alias("a"), F.col("data").alias("one")), "a").join(sets.select(F.col("fp").alias("b"), F.col("data").alias("other")), "b")
     links = materialise(pairs.filter(F.arrow_udf(_verified, returnType="boolean")("one", "other")).select("a", "b"), "links")
@@ -250,8 +251,12 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     rows = numbered.select("doc_id", "text", F.col(f"{own}.s.fp").alias("fp"), F.col(f"{own}.s.n").alias("n"), F.col(f"{own}.s.bytes").alias("bytes"), F.col(f"{own}.row").alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     classes = materialise(rows.groupBy("fp").agg(first, F.first("bytes").alias("bytes"), F.first("n").alias("n")), "classes")
-    firsts = classes.filter("n > 0").select("fp", F.col("first.row").alias("row"))
-    texts = rows.select("row", "fp", "text").join(firsts, ["row", "fp"], "left_semi").select("fp", "text")
+
+    def texts(sets: DataFrame) -> DataFrame:
+        # the few sets that meet another are written first: where they are small, Spark need not move the texts
+        first = materialise(classes.join(sets, "fp", "left_semi").select("fp", F.col("first.row").alias("row")), "met")
+        return rows.select("row", "text").join(first, "row").select("fp", "text")
+
     roots = components(link_sets(classes.filter("n > 0").select("fp", "bytes"), texts)).withColumnRenamed("node", "fp")
     kept = classes.select("fp", "first").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.struct(F.col("first.row").alias("row")).alias("kept"))
