@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE_CLASS, WORD_CLASS, materialise, table
+from corvane.llm.common import materialise, SPACE_CLASS, table, unused, WORD_CLASS
 
 #: Rows up to which the table of targets (one per source) is broadcast; beyond it, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -65,21 +65,23 @@ def plan_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), budget:
     """
     sizes = documents.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
     targets = source_targets(sizes, weights, budget, cap)
-    t = targets.select(F.col("source").alias("__source"), F.struct("source_size", "target").alias("__target"))
+    source, target = (unused(documents, name) for name in ("its_source", "its_target"))
+    t = targets.select(F.col("source").alias(source), F.struct("source_size", "target").alias(target))
     t = materialise(t, "targets")
     small = t.count() <= BROADCAST_SOURCES
-    joined = documents.join(F.broadcast(t) if small else t, F.col("source").eqNullSafe(F.col("__source")), "left")
-    rate = F.when(F.col("__target.source_size") > 0, F.col("__target.target") / F.col("__target.source_size")).otherwise(0.0)
+    joined = documents.join(F.broadcast(t) if small else t, F.col("source").eqNullSafe(F.col(source)), "left")
+    rate = F.when(F.col(f"{target}.source_size") > 0, F.col(f"{target}.target") / F.col(f"{target}.source_size")).otherwise(0.0)
     copies = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text")) < rate - F.floor(rate), 1).otherwise(0)
-    mix = F.struct(word_count(F.col("text")).alias("size"), F.col("__target.source_size").alias("source_size"), F.col("__target.target").alias("target"), copies.cast("long").alias("copies"))
-    return joined.withColumn(into, mix).drop("__source", "__target")
+    mix = F.struct(word_count(F.col("text")).alias("size"), F.col(f"{target}.source_size").alias("source_size"), F.col(f"{target}.target").alias("target"), copies.cast("long").alias("copies"))
+    return joined.withColumn(into, mix).drop(source, target)
 
 
 def mix_documents(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mixture: every document as often as its source's rate says, its copies numbered from 1 in ``mix_copy``
     (a column of that name is replaced)."""
-    planned = plan_mix(documents, weights, budget, cap, "__mix").filter(F.col("__mix.copies") > 0)
-    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))).drop("__mix")
+    own = unused(documents, "mix")
+    planned = plan_mix(documents, weights, budget, cap, own).filter(F.col(f"{own}.copies") > 0)
+    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}.copies").cast("int")))).drop(own)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

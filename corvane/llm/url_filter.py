@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table
+from corvane.llm.common import table, unused
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 RESULT = "struct<host:string,path:string,rule:string,verdict:string>"
@@ -123,7 +123,7 @@ def judge(url: Column, rules: Sequence[Rule], default: str = "allow") -> Column:
 
 def filter_urls(df: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """The rows of ``df`` whose URL is allowed, with all their columns."""
-    judged = "__corvane_verdict"
+    judged = unused(df, "judged")
     return df.withColumn(judged, judge(F.col(url), rules, default)).filter(F.col(judged)["verdict"] == "allow").drop(judged)
 
 
