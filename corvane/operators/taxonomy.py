@@ -46,8 +46,9 @@ def affected_nodes(migrated: DataFrame) -> DataFrame:
     return migrated.filter("migrated").select("type", F.concat_ws(":", F.nullif("source", F.lit("")), "id").alias("node")).distinct()
 
 
-def evolve(registry: DataFrame, records: DataFrame, nodes: DataFrame, least_nodes: int = LEAST_NODES, least_sources: int = LEAST_SOURCES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(registry, nodes, promotions, affected): promote the suggestions (records) that are frequent enough and migrate nodes.
+def evolve(registry: DataFrame, records: DataFrame, nodes: DataFrame, earlier: DataFrame | None = None, least_nodes: int = LEAST_NODES, least_sources: int = LEAST_SOURCES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(registry, nodes, promotions, affected): promote the suggestions (records) that are frequent enough and migrate nodes,
+    to types that were promoted ``earlier`` (type) too, so that it does not matter when a node comes.
 
     The registry (type) gets the new types; promotions are (type, matched_suggestions, reason); nodes (source, id, type,
     suggested_type, ...) carry ``migrated``; affected has a row (type, node) for each, so that no list grows with the corpus.
@@ -55,5 +56,6 @@ def evolve(registry: DataFrame, records: DataFrame, nodes: DataFrame, least_node
     promoted = promotions(aggregate_suggestions(records), registry, least_nodes, least_sources)
     reason = F.format_string("Appeared in %d nodes across %d source documents.", "node_count", "source_count")
     audit = promoted.select(F.col("normalized_suggested_type").alias("type"), F.col("spellings").alias("matched_suggestions"), reason.alias("reason"))
-    moved = migrate(nodes, promoted)
+    own = promoted.select("normalized_suggested_type")
+    moved = migrate(nodes, own if earlier is None else own.unionByName(earlier.select(F.col("type").alias("normalized_suggested_type")).distinct()))
     return registry.select("type").unionByName(audit.select("type")), moved, audit, affected_nodes(moved)

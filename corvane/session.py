@@ -156,7 +156,7 @@ class KnowledgeBase:
         rows are migrated, kept ones with ``migrated``."""
         new = nodes.select(F.lit(True).alias("new"), "source", "id", "type", "suggested_type")
         old = kept.select(F.lit(False).alias("new"), "source", F.col("node_id").alias("id"), "type", "suggested_type")
-        registry, moved, promotions, affected = taxonomy.evolve(self.table("registry"), suggestions, new.unionByName(old))
+        registry, moved, promotions, affected = taxonomy.evolve(self.table("registry"), suggestions, new.unionByName(old), self.table("promotions"))
         moved = materialise(moved.select("new", "source", "id", "type", "suggested_type", "migrated"), "migrated")
         types = lambda fresh: moved.filter(F.col("new") == fresh).drop("new").distinct()
         nodes = materialise(nodes.drop("type", "suggested_type").join(types(True).drop("migrated"), ["source", "id"]), "found-nodes")
