@@ -113,6 +113,14 @@ def _unpacked(packed: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
+class _Numbers(dict):
+    """Numbers of chunks in the order in which they are first asked for."""
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = number = len(self)
+        return number
+
+
 def _cut(cutter: Callable[[bytes], Iterator[list[bytes]]], buckets: int, lists: bool):
     """Blocks of texts, cut into chunks that are numbered as they come, in either of two views.
 
@@ -123,8 +131,7 @@ def _cut(cutter: Callable[[bytes], Iterator[list[bytes]]], buckets: int, lists:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        known: dict[bytes, int] = {}
-        held = 0
+        known, held = _Numbers(), 0
 
         def batch_of(**columns: pa.Array) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -157,11 +164,14 @@ def _cut(cutter: Callable[[bytes], Iterator[list[bytes]]], buckets: int, lists:
                     if i > start and not lists:
                         yield batch_of(block=pa.array(blocks, pa.int64()), kept=kept.slice(start, i - start), codes=pa.array(codes, pa.binary()))
                     yield from listed()
-                    block, known, held, start, codes, blocks = block + 1, {}, 0, i, [], []
-                own = [np.fromiter([known.setdefault(c, len(known)) for c in words], np.int32, len(words)) for words in cutter(text)]
-                if not lists:
+                    block, known, held, start, codes, blocks = block + 1, _Numbers(), 0, i, [], []
+                if lists:
+                    for words in cutter(text):
+                        known.update(dict.fromkeys(words))
+                else:
+                    own = [np.fromiter(map(known.__getitem__, words), np.int32, len(words)) for words in cutter(text)]
                     codes.append(_packed(np.concatenate(own), "<i4") if own else b"")
-                blocks.append(block)
+                    blocks.append(block)
                 held += len(text)
             if batch.num_rows > start and not lists:
                 yield batch_of(block=pa.array(blocks, pa.int64()), kept=kept.slice(start), codes=pa.array(codes, pa.binary()))
@@ -283,7 +293,12 @@ def decoded(ids: Column, path: str) -> Column:
 
     def call(column: pa.Array) -> pa.Array:
         model = processor(path)
-        return pa.array([model.decode(own or []) for own in (x.as_py() for x in column)], pa.string())
+        ids, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        texts: list[str] = []
+        for at in range(0, len(column), 256):
+            cuts = [int(ends[at - 1]) if at else 0, *ends[at : at + 256].tolist()]
+            texts += model.decode([ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)])
+        return pa.array(texts, pa.string())
 
     call.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(call, returnType="string")(ids)
