@@ -1,5 +1,6 @@
 """Exclusive commits, cached extraction, promoted types, rebuilds, node texts, lookups, tails, numbered lines."""
 
+import base64
 import json
 import random
 import re
@@ -265,3 +266,22 @@ def test_bad_lines_are_named_in_split_files(spark, tmp_path):
             files.read_corrections(spark, str(tmp_path / "y.jsonl"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chunks_by_the_tokens_of_a_public_vocabulary(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    tokens = chunking.RankTokens(public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    text = "Élan vital, naïve 漢字 🙂 words-and-marks!? 12345 supercalifragilistic\n\n\tend"
+    spans = tokens.spans(text)
+    assert all(a < b for a, b in spans) and [text[a:b] for a, b in spans if text[a:b].strip() != text[a:b]] == []
+    assert "".join(text[a:b] for a, b in spans) == "".join(text.split())
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.path, "rb"))}
+    model = tiktoken.Encoding("m", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain = "the quick brown fox jumps over supercalifragilistic dogs"
+    assert tokens.count(plain) == len(model.encode_ordinary(" " + plain))
+    long = " ".join(random.Random(1).choices(["alpha", "supercalifragilistic", "naïveté", "x"], k=900))
+    docs = spark.createDataFrame([("a.md", f"# H\n\n{long}")], "source string, markdown string")
+    got = chunking.chunk_documents(docs, 50, 100, tokens).orderBy("index").collect()
+    assert " ".join(r["text"] for r in got).split() == f"# H {long}".split() and len(got) > 10
+    assert all(len(model.encode_ordinary(" " + " ".join(r["text"].split()))) <= 100 for r in got)
