@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane import schemas
 from corvane.functions.text import in_folder
 from corvane.operators import chunk_search, chunking, document_search, extraction, graph_views, hybrid, references, relationships, resolution, sync, taxonomy
+from corvane.sources import export
 from corvane.sources.shared import checkpoint, materialise
 from corvane.sources.snapshots import Conflict, SnapshotStore
 
@@ -238,17 +239,19 @@ class KnowledgeBase:
         chunks = self.table("chunks")
         if scope is None and sources is None:
             return chunks, self.table("nodes"), self.table("edges")
+        own_rows = self.table if sources is None or not self.store.exists() else (lambda name: self.store.read(name, sources))
+        chunks = own_rows("chunks")
         if scope is not None:
             if scope.strip().casefold() not in self.scopes:
                 raise ValueError(f"unknown scope {scope!r}; there are {', '.join(sorted(self.scopes))}")
             chunks = chunks.filter(in_folder(F.col("source"), self.scopes[scope.strip().casefold()]))
         if sources is not None:
-            if missing := set(sources) - {r["source"] for r in chunks.filter(F.col("source").isin(*sources)).select("source").distinct().collect()}:
+            wanted = self.spark.createDataFrame([(s,) for s in sources], "source string")
+            if missing := [r["source"] for r in wanted.join(chunks, "source", "left_anti").distinct().take(5)]:
                 raise ValueError(f"unknown sources: {', '.join(sorted(missing))}")
-            chunks = chunks.filter(F.col("source").isin(*sources))
         own = chunks.select("source").distinct()
-        nodes = graph_views.materialize_nodes(self.table("node_provenance").join(own, "source", "left_semi"))
-        edges = graph_views.materialize_edges(self.table("edge_provenance").join(own, "source", "left_semi"), self.table("edges"))
+        nodes = graph_views.materialize_nodes(own_rows("node_provenance").join(own, "source", "left_semi"))
+        edges = graph_views.materialize_edges(own_rows("edge_provenance").join(own, "source", "left_semi"), self.table("edges"))
         ends = nodes.select(F.col("id").alias("__id"))
         edges = edges.join(ends, F.col("source") == F.col("__id"), "left_semi").join(ends, F.col("target") == F.col("__id"), "left_semi")
         return chunks, nodes, edges
@@ -258,23 +261,33 @@ class KnowledgeBase:
         chunks, nodes, edges = self.restricted(scope, sources)
         vector = None
         if self.embed is not None:
-            vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
-            own = lambda name: self.table(name).filter(F.col("embedding_model") == self.model).select("id", "vector")
-            chunks = chunks.join(own("chunk_vectors"), "id", "left")
+            vector = self._query_vector(query)
+            chunks = chunks.join(self._vectors_of("chunk_vectors"), "id", "left")
             if scope is None or sources is not None:  # a folder scope alone seeds the graph by names, not by meaning
-                nodes = nodes.join(own("node_vectors"), "id", "left")
+                nodes = nodes.join(self._vectors_of("node_vectors"), "id", "left")
         hits, paths = hybrid.retrieve(chunks, nodes, edges, query, top, query_vector=vector)
         order = Window.orderBy(F.desc("score"), "best_rank", "index", "id")
         ranked = hits.withColumn("ord", F.row_number().over(order))
         return ranked, paths, references.source_references(ranked)
 
+    def _query_vector(self, query: str) -> list[float]:
+        return self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()["v"]
+
+    def _vectors_of(self, name: str) -> DataFrame:
+        return self.table(name).filter(F.col("embedding_model") == self.model).select("id", "vector")
+
     def find_documents(self, query: str, scope: str | None = None, top: int = 5) -> DataFrame:
         """Documents for a query by metadata, by the passages it finds in all fields, and by name; a blank query raises."""
         if not query.strip():
             raise ValueError("the query is empty")
+        if top < 1:
+            raise ValueError("top must be positive")
         chunks, nodes, edges = self.restricted(scope)
-        fields = chunk_search.search_fields(chunk_search.annotated(chunks, nodes, edges))
-        passages = chunk_search.top_chunks(chunk_search.chunk_scores(fields, query), max(4 * top, 20))
+        fields, vector = chunk_search.search_fields(chunk_search.annotated(chunks, nodes, edges)), None
+        if self.embed is not None:
+            vector = self._query_vector(query)
+            fields = fields.join(self._vectors_of("chunk_vectors"), "id", "left")
+        passages = chunk_search.top_chunks(chunk_search.chunk_scores(fields, query, vector), max(4 * top, 20))
         passages = passages.select("source", F.row_number().over(Window.orderBy(F.desc("score"), "index", "id")).alias("rank"))
         allowed = None if scope is None else chunks.select("source")
         return document_search.search_documents(document_search.catalog(self.table("chunks")), query, passages, allowed, top)
@@ -285,3 +298,20 @@ class KnowledgeBase:
         if found.isEmpty():
             raise LookupError(f"no chunk {chunk_id!r} in {source!r}")
         return found
+
+    def lookup(self, source: str, ids: Sequence[str]) -> DataFrame:
+        """The chunks of a source with the given ids, in the order asked for; unknown ones are left out. Only the source's
+        folder is read."""
+        asked = self.spark.createDataFrame([(i, source, id_) for i, id_ in enumerate(ids)], "ord int, source string, id string")
+        return chunking.by_ids(self.store.read("chunks", [source]), asked).orderBy("ord").drop("ord")
+
+    def document_graph(self, source: str) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges that one source alone supports."""
+        return self.restricted(sources=[source])[1:]
+
+    def export(self, folder: str) -> None:
+        """The graph for viewers, as a whole and by source; what lay in the folder is replaced."""
+        nodes, edges = self.table("nodes"), self.table("edges")
+        export.export_graph(nodes, edges, f"{folder}/all")
+        homes = self.table("node_provenance").select(F.col("canonical_node_id").alias("id"), "source").distinct()
+        export.export_by_source(export.viewer_nodes(nodes).join(homes, "id"), f"{folder}/sources")

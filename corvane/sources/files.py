@@ -81,6 +81,18 @@ def read_scopes(spark: SparkSession, path: str, root: str = "documents") -> dict
     return scopes
 
 
+def read_terms(spark: SparkSession, path: str) -> list[str]:
+    """A glossary, {"terms": [...]}: a small settings file. Terms are trimmed; an empty one raises, no file is no terms."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    row = spark.read.text(path, wholetext=True).select(F.from_json("value", "terms array<string>", {"mode": "FAILFAST"})["terms"].alias("terms")).first()
+    terms = [(t or "").strip() for t in (row["terms"] or [])]
+    if not all(terms):
+        raise ValueError(f"the glossary {path!r} contains an empty term")
+    return terms
+
+
 def scoped(rows: DataFrame, scopes: dict[str, str], scope: str | None) -> DataFrame:
     """Rows whose source lies in the folder of a scope; no scope, all rows; an unknown one raises."""
     if scope is None:

@@ -285,3 +285,45 @@ def test_chunks_by_the_tokens_of_a_public_vocabulary(spark):
     got = chunking.chunk_documents(docs, 50, 100, tokens).orderBy("index").collect()
     assert " ".join(r["text"] for r in got).split() == f"# H {long}".split() and len(got) > 10
     assert all(len(model.encode_ordinary(" " + " ".join(r["text"].split()))) <= 100 for r in got)
+
+
+def test_lookups_document_graphs_export_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    from corvane import __main__ as command
+
+    base = KnowledgeBase(spark, str(tmp_path / "kb"))
+    (tmp_path / "docs").mkdir()
+    for name, text in DOCS.items():
+        (tmp_path / "docs" / name).write_text(text)
+    module = type("module", (), {"extractor": asking(tmp_path / "log")})
+    monkeypatch.setattr(command.importlib, "import_module", lambda name: module)
+    command.main(["sync", str(tmp_path / "kb"), str(tmp_path / "docs"), "--extractor", "own.module:extractor"])
+    assert capsys.readouterr().out == "added: 3\n"
+    ids = [r["id"] for r in base.table("chunks").filter("source = 'b.md'").collect()]
+    assert [r["id"] for r in base.lookup("b.md", ["none", *ids, *ids]).collect()] == ids * 2
+    nodes, edges = base.document_graph("b.md")
+    assert {r["label"] for r in nodes.collect()} == {"Beta", "Gamma"} and edges.count() == 1
+    with pytest.raises(ValueError, match="unknown sources: z.md"):
+        base.document_graph("z.md")
+    for query, top in (("  ", 5), ("Beta", 0)):
+        with pytest.raises(ValueError):
+            base.find_documents(query, top=top)
+    command.main(["documents", str(tmp_path / "kb"), "Gamma"])
+    assert capsys.readouterr().out.split()[0] == "b.md"
+    command.main(["export", str(tmp_path / "kb"), str(tmp_path / "out")])
+    assert {p.name for p in (tmp_path / "out" / "sources").iterdir() if p.is_dir()} == {f"source={s}" for s in DOCS}
+    assert spark.read.json(str(tmp_path / "out" / "all" / "nodes")).count() == 3
+
+
+def test_context_prompts_and_terms(spark, tmp_path):
+    from corvane.operators import transcripts
+
+    rows = spark.createDataFrame([("s", 0, "abc"), ("s", 1, "x" * 600), ("s", 2, None), ("t", 0, "q")], "source string, index int, text string")
+    got = {(r["source"], r["index"]): r["prompt"] for r in transcripts.context_prompts(rows).collect()}
+    assert got == {("s", 0): None, ("s", 1): "Transcribed before:\nabc", ("s", 2): "Transcribed before:\n" + "x" * 500, ("t", 0): None}
+    told = transcripts.context_prompts(rows, ["Ada", "Zoë"]).filter("index = 1").first()["prompt"]
+    assert told.split("\n\n") == ["Names and spellings to expect, where they match what is said:\n- Ada\n- Zoë", "Transcribed before:\nabc"]
+    (tmp_path / "g.json").write_text(json.dumps({"terms": [" Ada ", "Zoë"]}))
+    assert files.read_terms(spark, str(tmp_path / "g.json")) == ["Ada", "Zoë"] and files.read_terms(spark, str(tmp_path / "none.json")) == []
+    (tmp_path / "b.json").write_text(json.dumps({"terms": ["a", " "]}))
+    with pytest.raises(ValueError, match="empty term"):
+        files.read_terms(spark, str(tmp_path / "b.json"))
