@@ -113,15 +113,33 @@ class Index:
         self.dense[self.row[terms[dense]], places[dense]] = weights[dense]
         terms, places, weights = terms[~dense], places[~dense], weights[~dense]
         by_term = np.lexsort((places, terms))
-        terms, self.places, self.weights = terms[by_term], places[by_term].astype(np.int32), weights[by_term]
-        slot = terms * self.blocks + self.places // block
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else none[0]
-        self.of_block = (self.places[first] // block).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else none[1]
-        self.first = np.append(first, len(slot))
-        self.entries = np.searchsorted(terms[first], np.arange(len(self.idf) + 1))
+        terms, self.weights = terms[by_term], weights[by_term]
+        self.places = places[by_term].astype(np.int16 if n <= np.iinfo(np.int16).max else np.int32)
+        self.count = np.bincount(terms, minlength=len(self.idf)).astype(np.int32)
+        return self._listed()
+
+    def _listed(self) -> Index:
+        """Lay out the postings' blocks, a slot for each block of a term: where it begins and its largest weight."""
+        terms = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        block = self.places // self.block
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        self.of_block = block[first]
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(terms[first], np.arange(len(self.count) + 1)).astype(np.int32)
+        self.first = np.append(first, len(terms)).astype(np.int32)
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("of_block", "most", "entries", "first")}
+
+    def __setstate__(self, state: dict) -> None:
+        """Tasks lay out the slots themselves: what travels to them is the postings alone."""
+        self.__dict__.update(state)
+        if "count" in state:
+            self._listed()
+
     def weigh(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray, other_counts: np.ndarray) -> np.ndarray:
         """The unit vector of a text over the examples' words; all its words are in the norm."""
         w, o = (1 + np.log(counts)) * self.idf[terms], (1 + np.log(other_counts)) * self.idf_other[others]
@@ -252,11 +270,12 @@ def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, str
     size = vocabulary.size
 
     def partial(batch: pa.RecordBatch) -> np.ndarray:
-        total, number = np.zeros(size + OTHERS + 1, np.int64), vocabulary.numbers.get
+        total, known = np.zeros(size + OTHERS + 1, np.int64), vocabulary.numbers
         total[-1] = batch.num_rows
         for piece in blocks(iter([batch]), "text"):
-            held = [number(w, -1) if number(w, -1) >= 0 else size + bucket_of(w) for t in piece.column("text").to_pylist() for w in set(words_of(t))]
-            total += np.bincount(np.array(held, np.int64), minlength=len(total))
+            for value in piece.column("text"):
+                own = set(words_of(value.as_py()))
+                np.add.at(total, np.fromiter((known[w] if w in known else size + bucket_of(w) for w in own), np.int64, len(own)), 1)
         return total
 
     seen = vector_sum(documents.select(bytes_of(F.col("text")).alias("text")), partial, size + OTHERS + 1)
