@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions.scoring import reciprocal_rank
 from corvane.operators.chunk_search import annotated, chunk_scores, search_fields, top_chunks
 from corvane.operators.paths import evidence_chunks, graph_paths
-from corvane.sources.shared import checkpoint
+from corvane.sources.shared import materialise
 
 #: Each branch gives so many times the chunks asked for.
 POOL = 3
@@ -36,13 +36,13 @@ def retrieve(
     """
     if min(top, max_hops, top_paths) < 1:
         raise ValueError("limits must be positive")
-    scores = checkpoint(chunk_scores(search_fields(annotated(chunks, nodes, edges)), query, query_vector).select("id", "index", "score"))
-    paths = checkpoint(graph_paths(chunks, nodes, edges, query, max_hops, top_paths, query_vector))
+    scores = materialise(chunk_scores(search_fields(annotated(chunks, nodes, edges)), query, query_vector).select("id", "index", "score"), "scores")
+    paths = materialise(graph_paths(chunks, nodes, edges, query, max_hops, top_paths, query_vector), "paths")
     direct = top_chunks(scores, POOL * top)
     graph = top_chunks(evidence_chunks(paths, chunks).select("id", "index", "score"), POOL * top)
     fused = fuse(direct, graph).join(scores.select("id", F.col("score").alias("relevance")), "id", "left")
     kept = fused.filter(F.coalesce("relevance", F.lit(0.0)) >= LEAST_RELEVANCE).orderBy(F.desc("fused"), "best_rank", "index", "id").limit(top)
-    kept = checkpoint(kept.select("id", F.col("fused").alias("score"), "relevance", "best_rank"))
+    kept = materialise(kept.select("id", F.col("fused").alias("score"), "relevance", "best_rank"), "kept")
     hits = chunks.join(F.broadcast(kept), "id")
     ids = kept.agg(F.collect_list("id").alias("ids"))
     retained = paths.crossJoin(F.broadcast(ids)).filter(F.size(F.array_except("chunk_ids", "ids")) == 0).drop("ids")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corvane.functions.scoring import SIMILARITY_FLOOR, calibrate_bm25, calibrate_similarity, cosine, noisy_or
 from corvane.functions.text import tokenize
 from corvane.operators.bm25 import bm25_scores
-from corvane.sources.shared import checkpoint
+from corvane.sources.shared import materialise
 
 SEEDS, BEAM = 5, 50
 MENTION, HOP_DECAY = 0.9, 0.85
@@ -112,7 +112,8 @@ def traverse(chunks: DataFrame, edges: DataFrame, scored_nodes: DataFrame, query
         F.array("id").alias("node_ids"), _strings().alias("edge_ids"), F.col("score").alias("seed_score"), F.col("search_text").alias("last_text"), _strings().alias("steps"),
         F.array("score").alias("node_scores"), F.array("mention").alias("mentions"), F.coalesce("chunk_ids", _strings()).alias("node_chunks"), _strings().alias("edge_chunks"),
     )
-    frontier, reached = checkpoint(frontier), None
+    # steps are written as tables, whose size Spark knows: a small frontier's texts are looked up without moving the others
+    frontier, reached = materialise(frontier, "frontier"), None
     for _ in range(max_hops):
         # the frontier, at most the beam, picks its edges; only their other ends are looked up
         on = F.broadcast(frontier).join(step, F.element_at("node_ids", -1) == F.col("node")).filter(~F.array_contains("node_ids", F.col("neighbour"))).join(text, "neighbour")
@@ -124,7 +125,7 @@ def traverse(chunks: DataFrame, edges: DataFrame, scored_nodes: DataFrame, query
             more("mentions", F.col("mention")).alias("mentions"), F.concat("node_chunks", F.coalesce("node_chunk_ids", _strings())).alias("node_chunks"),
             F.concat("edge_chunks", F.coalesce("chunk_ids", _strings())).alias("edge_chunks"),
         )
-        frontier = checkpoint(best_paths(ranked(checkpoint(deduplicated(expanded)), chunks, query), beam).drop("score", "chunk_ids"))
+        frontier = materialise(best_paths(ranked(materialise(deduplicated(expanded), "expanded"), chunks, query), beam).drop("score", "chunk_ids"), "frontier")
         reached = frontier if reached is None else reached.unionByName(frontier)
         if frontier.isEmpty():
             break
@@ -135,8 +136,8 @@ def graph_paths(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: st
     """The best paths with evidence: node_ids, edge_ids, chunk_ids, score."""
     if min(max_hops, top_paths) < 1:
         raise ValueError("max_hops and top_paths must be positive")
-    scored = checkpoint(seed_scores(nodes, query, query_vector))
-    candidates = checkpoint(traverse(chunks, edges, scored, query, max_hops, max(BEAM, 5 * top_paths)))
+    scored = materialise(seed_scores(nodes, query, query_vector), "seed-scores")
+    candidates = materialise(traverse(chunks, edges, scored, query, max_hops, max(BEAM, 5 * top_paths)), "candidates")
     found = ranked(candidates, chunks, query).filter(F.size("chunk_ids") > 0)
     return best_paths(found, top_paths).select("node_ids", "edge_ids", "chunk_ids", "score")
 
