@@ -390,11 +390,29 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(markdown(spark, sf_dir)).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
-@query("page_batches")
+OPENS = "c = 8 OR chars + p.n > 16000"
+
+
+@query("page_batches", f"""WITH RECURSIVE p AS (SELECT source, doc_id AS page, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b AS (SELECT source, page, k, 1 AS batch, 1 AS c, n AS chars FROM p WHERE k = 1
+  UNION ALL SELECT p.source, p.page, p.k, CASE WHEN {OPENS} THEN batch + 1 ELSE batch END, CASE WHEN {OPENS} THEN 1 ELSE c + 1 END, CASE WHEN {OPENS} THEN p.n ELSE chars + p.n END FROM b JOIN p ON p.source IS NOT DISTINCT FROM b.source AND p.k = b.k + 1)
+SELECT source, page::INT AS page, batch FROM b""")
 def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page_batches(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text"))
 
 
-@query("message_split")
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
+
+
+def last_of(mark: str) -> str:
+    """The length of what precedes the last ``mark`` in the first 4,097 characters, if that is not blank."""
+    before = f"regexp_extract(left(rest, 4097), '(?s)^(.*){mark}', 1)"
+    return f"WHEN trim({before}, {BLANKS}) <> '' THEN length({before})"
+
+
+@query("message_split", rf"""WITH RECURSIVE m AS (SELECT doc_id AS id, -1 AS part, NULL::VARCHAR AS text, trim(coalesce(text, ''), {BLANKS}) AS rest FROM documents
+  UNION ALL SELECT id, part + 1, CASE WHEN length(rest) <= 4096 THEN rest ELSE rtrim(left(rest, cut), {BLANKS}) END, CASE WHEN length(rest) <= 4096 THEN '' ELSE ltrim(substr(rest, cut + 1), {BLANKS}) END
+  FROM (SELECT id, part, rest, CASE {last_of(chr(92) + "n")} {last_of(" ")} ELSE 4096 END AS cut FROM m WHERE rest <> ''))
+SELECT id, part, text FROM m WHERE part >= 0""")
 def message_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.split_messages(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
