@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import entity_key, keep_first, type_key
+from corvane.functions.text import entity_key, type_key
 from corvane.operators.ranking import global_rank
 
 
@@ -29,11 +29,6 @@ def validate(nodes: DataFrame, edges: DataFrame) -> None:
         raise ValueError("invalid graph: " + ", ".join(f"{r['kind']} {r['id']}" for r in found))
 
 
-def unique_aliases(label: Column, aliases: Column) -> Column:
-    """Aliases by first occurrence of their key, without the label's own."""
-    return keep_first(aliases, entity_key, entity_key(label))
-
-
 def _ordered(*fields: str) -> Column:
     return F.array_sort(F.collect_list(F.struct("ord", *fields)))
 
@@ -43,33 +38,51 @@ def _all(rows: Column, field: str) -> Column:
     return F.flatten(F.transform(rows, lambda x: F.coalesce(x[field], none)))
 
 
+def _once(rows: DataFrame, values: Column, out: str, key=None) -> DataFrame:
+    """(id, ``out``): the distinct values of all rows (id, ord, ...) of an element, those of one ``key`` once, in order of first
+    occurrence. Repeats go before the values of an element meet, so its row holds what differs and no more."""
+    each = rows.select("id", "ord", F.posexplode(values).alias("pos", "value")).filter("value is not null")
+    each = each.withColumn("key", F.col("value") if key is None else key(F.col("value")))
+    first = each.groupBy("id", "key").agg(F.min(F.struct("ord", "pos", "value")).alias("first"))
+    return first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "key"))).alias(out))
+
+
 def materialize_nodes(provenance: DataFrame) -> DataFrame:
     """Nodes from their provenance rows: label and properties of the first, the first type that is not unclassified, the
     first suggested type that is not empty, other labels and all aliases once, chunk ids once, in order."""
-    fields = ["label", "type", "suggested_type", "aliases", "properties", "chunk_ids", "resolution_aliases"]
-    grouped = provenance.groupBy(F.col("canonical_node_id").alias("id")).agg(_ordered(*fields).alias("p"))
-    first = F.col("p")[0]
-    classified = F.filter("p", lambda x: type_key(x["type"]) != "unclassified")
-    suggested = F.filter("p", lambda x: x["suggested_type"] != "")
     none = F.array().cast("array<string>")
-    others = F.transform("p", lambda x: F.concat(F.when(entity_key(x["label"]) != entity_key(first["label"]), F.array(x["label"])).otherwise(none), F.coalesce(x["aliases"], none), F.coalesce(x["resolution_aliases"], none)))
-    return grouped.select(
+    rows = provenance.withColumnRenamed("canonical_node_id", "id")
+    place = F.struct("ord", "label", "type")
+    at = lambda wanted: F.when(wanted, place)
+    classified, suggested = type_key(F.col("type")) != "unclassified", F.col("suggested_type") != ""
+    firsts = rows.groupBy("id").agg(
+        F.min_by(F.struct("label", "properties", "type"), place).alias("first"),
+        F.min_by("type", at(classified)).alias("classified"),
+        F.min_by("suggested_type", at(suggested)).alias("suggested_type"),
+    )
+    named = _once(rows, F.concat(F.array("label"), F.coalesce("aliases", none), F.coalesce("resolution_aliases", none)), "names", entity_key)
+    cited = _once(rows, F.coalesce("chunk_ids", none), "chunks")
+    joined = firsts.join(named, "id", "left").join(cited, "id", "left")
+    others = F.filter(F.coalesce("names", F.array()), lambda n: (n["key"] != "") & (n["key"] != entity_key(F.col("first.label"))))
+    return joined.select(
         "id",
-        first["label"].alias("label"),
-        F.coalesce(F.get(classified, 0)["type"], first["type"]).alias("type"),
-        F.get(suggested, 0)["suggested_type"].alias("suggested_type"),
-        unique_aliases(first["label"], F.flatten(others)).alias("aliases"),
-        first["properties"].alias("properties"),
-        F.array_distinct(_all(F.col("p"), "chunk_ids")).alias("chunk_ids"),
+        F.col("first.label").alias("label"),
+        F.coalesce("classified", "first.type").alias("type"),
+        "suggested_type",
+        F.transform(others, lambda n: n["first"]["value"]).alias("aliases"),
+        F.col("first.properties").alias("properties"),
+        F.coalesce(F.transform("chunks", lambda c: c["key"]), none).alias("chunk_ids"),
     )
 
 
 def materialize_edges(provenance: DataFrame, ends: DataFrame) -> DataFrame:
     """Edges (ends gives id, source, target) from their provenance rows: label and properties of the first, chunk ids once."""
-    grouped = provenance.groupBy(F.col("canonical_edge_id").alias("id")).agg(_ordered("label", "properties", "chunk_ids").alias("p"))
-    rows = grouped.join(ends.select("id", "source", "target"), "id")
-    first = F.col("p")[0]
-    return rows.select("id", "source", "target", first["label"].alias("label"), first["properties"].alias("properties"), F.array_distinct(_all(F.col("p"), "chunk_ids")).alias("chunk_ids"))
+    rows = provenance.withColumnRenamed("canonical_edge_id", "id")
+    firsts = rows.groupBy("id").agg(F.min_by(F.struct("label", "properties"), F.struct("ord", "label", "properties")).alias("first"))
+    none = F.array().cast("array<string>")
+    cited = _once(rows, F.coalesce("chunk_ids", none), "chunks")
+    joined = firsts.join(ends.select("id", "source", "target"), "id").join(cited, "id", "left")
+    return joined.select("id", "source", "target", F.col("first.label").alias("label"), F.col("first.properties").alias("properties"), F.coalesce(F.transform("chunks", lambda c: c["key"]), none).alias("chunk_ids"))
 
 
 def _connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
