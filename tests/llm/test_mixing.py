@@ -52,3 +52,11 @@ def test_mixture_follows_its_plan(spark):
 
 def test_empty_table(spark):
     assert mixing.mix_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__source", "__target", "__mix", "mix", "its_source", "its_target"]
+    df = spark.createDataFrame([(1, "a b", "s", *names), (2, None, None, *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == [*df.columns, "mix_copy"] and mixed.count() > 0
+    assert all(r[n] == n for r in mixed.collect() for n in names)

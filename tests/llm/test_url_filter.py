@@ -43,3 +43,9 @@ def test_no_rules_and_empty_table(spark):
     assert df.select(u.judge(F.col("url"), u.RULES)).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert one.select(u.judge(F.col("url"), [], "block").alias("j")).first()["j"]["verdict"] == "block"
+
+
+def test_columns_of_any_name_stay_in_the_filter(spark):
+    df = spark.createDataFrame([("http://a.com/x", "v", "w"), (None, "v", "w")], "url string, __corvane_verdict string, judged string")
+    got = u.filter_urls(df, u.RULES)
+    assert got.columns == df.columns and all((r[1], r[2]) == ("v", "w") for r in got.collect()) and got.count() == 2
