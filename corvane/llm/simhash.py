@@ -254,8 +254,8 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
 
     def texts(sets: DataFrame) -> DataFrame:
         # the few sets that meet another are written first: where they are small, Spark need not move the texts
-        first = materialise(classes.join(sets, "fp", "left_semi").select("fp", F.col("first.row").alias("row")), "met")
-        return rows.select("row", "text").join(first, "row").select("fp", "text")
+        first = materialise(classes.join(sets, "fp", "left_semi").select(F.col("first.row").alias("row")).sortWithinPartitions("row"), "met")
+        return rows.select("row", "fp", "text").join(first, "row", "left_semi").select("fp", "text")
 
     roots = components(link_sets(classes.filter("n > 0").select("fp", "bytes"), texts)).withColumnRenamed("node", "fp")
     kept = classes.select("fp", "first").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))

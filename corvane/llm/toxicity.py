@@ -102,7 +102,8 @@ class Index:
         n, self.block, self.blocks = len(order), block, max(1, -(-len(order) // block))
         terms = np.concatenate([vectors[i][0] for i in order] or [none[0]])
         weights = np.concatenate([weighed[i] for i in order] or [none[1]])
-        places = np.repeat(np.arange(n), [len(weighed[i]) for i in order])
+        places = np.repeat(np.arange(n, dtype=np.int32), [len(weighed[i]) for i in order])
+        del vectors, weighed
         df = np.bincount(terms, minlength=len(self.idf))
         most = np.argsort(-df, kind="stable")[:frequent]
         most = most[df[most] * 32 >= n]
@@ -265,7 +266,7 @@ def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, str
     """The examples' vocabulary and their index, with document frequencies over all documents."""
     rows = sample_examples(documents, labels, examples)
     words: dict[bytes, int] = {}
-    vectors = [(np.array([words.setdefault(w, len(words)) for w in bytes(r["words"]).split()], np.int64), np.frombuffer(bytes(r["counts"]), "<i4").astype(np.float64)) for r in rows]
+    vectors = [(np.array([words.setdefault(w, len(words)) for w in bytes(r["words"]).split()], np.int32), np.frombuffer(bytes(r["counts"]), "<i4")) for r in rows]
     vocabulary = Vocabulary(list(words))
     size = vocabulary.size
 
@@ -284,6 +285,7 @@ def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, str
     flat = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
     toxic = np.repeat(label, [len(t) for t, _ in vectors])
     ratio = association(len(rows), int(label.sum()), np.bincount(flat, minlength=size), np.bincount(flat, toxic, size))
+    del flat, toxic
     raised = 1 + strength * np.sqrt(np.maximum(0, ratio - CHANCE))
     index = Index(np.array([r["doc_id"] for r in rows], np.int64), label, idf[:size] * raised, idf[size:])
     return vocabulary, index.build(vectors)
