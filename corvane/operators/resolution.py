@@ -3,7 +3,8 @@
 Candidates are joins by normalised name, and matrix products of blocks of vectors within comparable types. A node's
 decision depends on those of earlier nodes that share a name with it or are its candidates; ``resolve`` takes them in
 rounds, each of which decides every node whose outcome no open decision can change. Its state is a narrow
-table of nodes and the canonical nodes that they stand for; no group of nodes is ever held in one task.
+table of nodes and the canonical nodes that they stand for; no group of nodes is ever held in one task. Nodes that repeat
+the names and type of an earlier one are set aside, and join at the end by what the others made of those names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ UNCLASSIFIED = "unclassified"
 
 #: Rows of a block of vectors on average, and rows of it that are multiplied at a time.
 BLOCK, STRIP = 4096, 512
-#: Open nodes, at most, that end the rounds: they are folded in one task.
-LAST = 4096
+#: Open nodes, at most, that end the rounds: they are folded in one task, some tens of MB of names and candidates.
+LAST = 1 << 15
 
 #: From a node (id, label, type) and its options (id, label, type, similarity) to the chosen option's id, or none, a
 #: confidence, and maybe a list of aliases that the chosen one gets.
@@ -283,6 +284,40 @@ def _judged(turn: DataFrame, pairs: DataFrame, held: DataFrame, comers: DataFram
     return rows.select("id", "label", "type", "options", F.coalesce("open", F.lit(False)).alias("open")).mapInPandas(_asked(judge, confidence), "id string, ready boolean, choice string, aliases array<string>")
 
 
+def _told(nodes: DataFrame) -> DataFrame:
+    """(id, place, type, names, told): false for nodes with the names and type of an earlier one. Told are all without a name or
+    a type, all fixed ones, and all of documents, within which nodes stay apart."""
+    every = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+    own = F.array_sort(F.array_distinct(F.filter(F.transform(every, entity_key), lambda n: n != "")))
+    apart = (F.size(own) == 0) | F.col("type").isNull()
+    apart = apart | F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in nodes.columns else apart
+    apart = apart | F.col("document").isNotNull() if "document" in nodes.columns else apart
+    rows = nodes.select("id", F.struct("rank", "id").alias("place"), "type", own.alias("names"), apart.alias("apart"))
+    first = rows.groupBy("names", "type").agg(F.min("place").alias("first"))
+    rows = rows.join(first, ["names", "type"], "left")
+    return rows.select("id", "place", "type", "names", (F.col("apart") | F.coalesce(F.col("place") == F.col("first"), F.lit(True))).alias("told"))
+
+
+def _repeats(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, place, type, names, canonical, tells) of the rows that are not told, from what the told came to (id, canonical): the
+    canonical node that each joins by name, and whether it tells that one a name or its type, or joins none."""
+    done = rows.filter("told").join(found.select("id", "canonical"), "id")
+    # what a canonical node is and has from which place on, one row for each set of names and type
+    typed = done.filter(F.col("type") != UNCLASSIFIED).groupBy("canonical").agg(F.min(F.struct("place", "type")).alias("kind"))
+    its = done.filter("id = canonical").select("canonical", F.col("place").alias("its_place")).join(typed, "canonical", "left")
+    held = done.select("canonical", "place", F.explode("names").alias("name")).groupBy("name", "canonical").agg(F.min("place").alias("since"))
+    asked = rows.filter("not told").select("names", "type").distinct().select("names", "type", F.explode("names").alias("name"))
+    some = asked.join(held, "name").groupBy("names", "type", "canonical").agg(F.min("since").alias("one"), F.max("since").alias("last"), F.count("*").alias("n"))
+    some = some.join(its, "canonical").withColumn("all", F.when(F.col("n") == F.size("names"), F.col("last")))
+    offers = some.groupBy("names", "type").agg(F.array_sort(F.collect_list(F.struct("its_place", "canonical", "one", "all", "kind"))).alias("offers"))
+    kind = lambda o: F.when(o["kind"]["place"] < F.col("place"), o["kind"]["type"]).otherwise(UNCLASSIFIED)
+    fits = lambda o: (o["one"] < F.col("place")) & ((F.col("type") == UNCLASSIFIED) | kind(o).isin(UNCLASSIFIED) | (kind(o) == F.col("type")))
+    met = rows.filter("not told").drop("told").join(offers, ["names", "type"], "left").withColumn("o", F.get(F.filter("offers", fits), F.lit(0)))
+    whole = F.coalesce(F.col("o.all") < F.col("place"), F.lit(False))
+    retyped = (kind(F.col("o")) == UNCLASSIFIED) & (F.col("type") != UNCLASSIFIED)
+    return met.select("id", "place", "type", "names", F.col("o.canonical").alias("canonical"), (~whole | retyped).alias("tells"))
+
+
 def resolve(nodes: DataFrame, pairs: DataFrame | None = None, judge: Judge | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """(id, canonical, aliases) of nodes (id, rank, label, type, aliases): who each stands for, as if taken in order of rank.
 
@@ -300,7 +335,32 @@ def resolve(nodes: DataFrame, pairs: DataFrame | None = None, judge: Judge | Non
     still bring: of a name that a third of all nodes share, all join at once when its first one is decided. Both wait where an
     open earlier node could give an unclassified target its type. The first open node is always decided. The last ``LAST`` open
     nodes, of whatever number, are taken in order in one task.
+
+    Before all that, nodes that have the names and type of an earlier one are set aside, and the rounds run over the others. Under
+    what these come to, each repeat joins by name; if its target had its names and a type before, its turn changed nothing.
+    Repeats that would have told their target something are taken into the rounds, which begin anew, until none is left: a judge
+    may then be asked the same again.
     """
+    scratch = Scratch(nodes.sparkSession)
+    rows = scratch.write(_told(nodes), "told")
+    while not rows.filter("not told").isEmpty():
+        found = _in_rounds(nodes.join(rows.filter("told").select("id"), "id", "left_semi"), pairs, judge, confidence)
+        repeats = scratch.write(_repeats(rows, found), "repeats")
+        tells = repeats.filter("tells")
+        if tells.isEmpty():
+            scratch.keep_only(repeats)
+            return found.unionByName(repeats.select("id", "canonical", F.array().cast("array<string>").alias("aliases")))
+        first = F.row_number().over(Window.partitionBy("names", "type", "canonical").orderBy("place"))
+        more = tells.withColumn("n", first).filter("n = 1 or canonical is null").select("id", F.lit(True).alias("more"))
+        rows = scratch.write(rows.join(more, "id", "left").withColumn("told", F.col("told") | F.coalesce("more", F.lit(False))).drop("more"), "told")
+        scratch.keep_only(rows)
+    scratch.keep_only(rows)
+    scratch.remove(rows)
+    return _in_rounds(nodes, pairs, judge, confidence)
+
+
+def _in_rounds(nodes: DataFrame, pairs: DataFrame | None, judge: Judge | None, confidence: float) -> DataFrame:
+    """``resolve`` in rounds over all nodes."""
     pairs = pairs if judge is not None else None
     scratch = Scratch(nodes.sparkSession)
     fixed = F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in nodes.columns else F.lit(False)
