@@ -95,12 +95,17 @@ def _best_in_block(top: int, least: float, earlier: bool):
             s[mine[at : at + STRIP, None] == other[None, :]] = -np.inf
             if earlier:
                 s[place[at : at + len(s), None] <= place[None, len(x) :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :top]
-            value = np.take_along_axis(s, best, axis=1)
-            row, column = np.nonzero(value >= least)
+            s[np.isnan(s)] = -np.inf
+            # the top and all that tie with its last, then in order: a whole sort of each row is most of the work
+            last = np.partition(s, -top, axis=1)[:, -top] if s.shape[1] > top else np.full(len(s), -np.inf)
+            row, column = np.nonzero((s >= np.maximum(last, least)[:, None]) & (s > -np.inf))
+            order = np.lexsort((column, -s[row, column], row))
+            row, column = row[order], column[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < top
+            row, column = row[kept], column[kept]
             ids.extend(mine[at + row])
-            found.extend(other[best[row, column]])
-            scores.append(value[row, column])
+            found.extend(other[column])
+            scores.append(s[row, column])
         return pa.table({"id": pa.array(ids, pa.string()), "candidate": pa.array(found, pa.string()), "similarity": pa.array(np.concatenate(scores), pa.float64())})
 
     return run
