@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
 documents with their columns; the last emits the mixture's copies. Between stages the rows are
-written as a table in the shared folder and read again.
+written as a table in the shared folder and read again. Stages that send texts to Python set the session's
+Arrow batches small and leave them so, as their result is only computed when it is read.
 """
 
 from __future__ import annotations
@@ -10,26 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, mixing, quality, simhash, toxicity
-from corvane.llm.common import materialise, table
+from corvane.llm.common import materialise, small_batches, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.7."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of 5-word shingles are linked by a Jaccard similarity of at least 0.8."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    small_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 

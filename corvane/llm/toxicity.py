@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, bytes_of, crc_mod, materialise, table, text_udf, unused, vector_sum
+from corvane.llm.common import blocks, bytes_of, crc_mod, materialise, packed, table, text_udf, unpacked, unused, vector_sum
 from corvane.llm.decontaminate import words_of
 from corvane.llm.quality import trusted
 
@@ -133,11 +133,16 @@ class Index:
         return self
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("of_block", "most", "entries", "first")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("of_block", "most", "entries", "first")}
+        return state | {k: (packed(state[k]), state[k].shape) for k in ("idf_other", "dense") if k in state}
 
     def __setstate__(self, state: dict) -> None:
-        """Tasks lay out the slots themselves: what travels to them is the postings alone."""
+        """Tasks lay out the slots themselves: what travels to them, and stays in them beside the index, is the postings
+        alone, with the dense rows and the other words' weights compressed."""
         self.__dict__.update(state)
+        for k in {"idf_other", "dense"} & state.keys():
+            x, shape = state[k]
+            setattr(self, k, unpacked(x, int(np.prod(shape)), "float64").reshape(shape))
         if "count" in state:
             self._listed()
 
@@ -271,7 +276,7 @@ def train(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, str
     size = vocabulary.size
 
     def partial(batch: pa.RecordBatch) -> np.ndarray:
-        total, known = np.zeros(size + OTHERS + 1, np.int64), vocabulary.numbers
+        total, known = np.zeros(size + OTHERS + 1, np.int32), vocabulary.numbers
         total[-1] = batch.num_rows
         for piece in blocks(iter([batch]), "text"):
             for value in piece.column("text"):

@@ -1,6 +1,7 @@
 """Quality and toxicity: held-out accuracy, exact neighbours, edge cases."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -230,6 +231,18 @@ def test_block_max_search_is_exact_with_small_blocks():
             assert index.ids[places].tolist() == best and np.allclose(cosines, row[best])
 
 
+def test_what_travels_to_tasks_is_small_and_the_same_index():
+    vectors = [(np.array([0, 1, 2 + i]), np.array([1.0, 2.0, 1.0])) for i in range(256)]
+    index = toxicity.Index(np.arange(256), np.zeros(256), np.ones(258), np.ones(toxicity.OTHERS)).build(vectors)
+    sent = pickle.dumps(index)
+    assert len(sent) < 100_000  # the other words' weights alone are 8 MB
+    for one in (index, toxicity.Index(np.arange(0), np.zeros(0), np.ones(0), np.ones(4)).build([])):
+        got = pickle.loads(pickle.dumps(one))
+        assert got.__dict__.keys() == one.__dict__.keys()
+        for k, v in one.__dict__.items():
+            assert np.array_equal(getattr(got, k), v), k
+
+
 def test_toxicity_held_out_and_edges(spark):
     docs, labels, df, known = frames(spark)
     vocabulary, index = toxicity.train(df, known)
