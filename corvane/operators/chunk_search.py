@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions.scoring import SIMILARITY_FLOOR, calibrate_bm25, calibrate_similarity, cosine, noisy_or
 from corvane.functions.text import file_name, keep_first, search_key, stem
 from corvane.operators.bm25 import bm25_scores
+from corvane.sources.shared import materialise
 
 #: Weights of the signals of a chunk.
 WEIGHTS = {"labels": 2.0, "aliases": 1.5, "content": 1.0, "metadata": 0.5, "semantic": 1.0}
@@ -38,9 +39,25 @@ def attached_edges(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     return _by_chunk(rows, "edges", [*fields, "source_label", "target_label"])
 
 
+def attached_kinds(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chunk_id, edges): of the edges of each chunk the first of each label and properties, in id order; both ends must
+    exist. That is all that search fields tell of edges, and tasks leave but these before a chunk's edges meet."""
+    fields = ["id", "label", "source", "target", "properties"]
+    rows = edges.select(F.explode(F.array_distinct("chunk_ids")).alias("chunk_id"), *fields)
+    for end in ("source", "target"):
+        rows = rows.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    first = rows.groupBy("chunk_id", "label", "properties").agg(F.min(F.struct(*fields)).alias("e"))
+    first = first.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    return first.groupBy("chunk_id").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+
+
 def annotated(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Chunks with their ``nodes`` and ``edges``, empty arrays where there are none."""
-    rows = chunks.withColumn("chunk_id", F.col("id")).join(attached_nodes(chunks, nodes), "chunk_id", "left").join(attached_edges(chunks, nodes, edges), "chunk_id", "left")
+    return _annotated(chunks, nodes, attached_edges(chunks, nodes, edges))
+
+
+def _annotated(chunks: DataFrame, nodes: DataFrame, attached: DataFrame) -> DataFrame:
+    rows = chunks.withColumn("chunk_id", F.col("id")).join(attached_nodes(chunks, nodes), "chunk_id", "left").join(attached, "chunk_id", "left")
     return rows.drop("chunk_id").withColumns({"nodes": F.coalesce("nodes", F.array()), "edges": F.coalesce("edges", F.array())})
 
 
@@ -77,6 +94,13 @@ def search_fields(rows: DataFrame) -> DataFrame:
     )
 
 
+def search_rows(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``search_fields`` of all chunks as a written table, with id, index and any vector: scores read it twice, and a second
+    pass over it is not a second pass over the graph."""
+    rows = search_fields(_annotated(chunks, nodes, attached_kinds(chunks, nodes, edges)))
+    return materialise(rows.select("id", "index", "labels", "aliases", "content", "metadata", *[c for c in chunks.columns if c == "vector"]), "fields")
+
+
 def searchable_text(rows: DataFrame) -> DataFrame:
     """Annotated chunks with ``searchable``, the text that is embedded: source, heading, content, entities, relationships."""
     section = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n")))

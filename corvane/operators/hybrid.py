@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.scoring import reciprocal_rank
-from corvane.operators.chunk_search import annotated, chunk_scores, search_fields, top_chunks
+from corvane.operators.chunk_search import chunk_scores, search_rows, top_chunks
 from corvane.operators.paths import evidence_chunks, graph_paths
 from corvane.sources.shared import materialise
 
@@ -36,7 +36,7 @@ def retrieve(
     """
     if min(top, max_hops, top_paths) < 1:
         raise ValueError("limits must be positive")
-    scores = materialise(chunk_scores(search_fields(annotated(chunks, nodes, edges)), query, query_vector).select("id", "index", "score"), "scores")
+    scores = materialise(chunk_scores(search_rows(chunks, nodes, edges), query, query_vector).select("id", "index", "score"), "scores")
     paths = materialise(graph_paths(chunks, nodes, edges, query, max_hops, top_paths, query_vector), "paths")
     direct = top_chunks(scores, POOL * top)
     graph = top_chunks(evidence_chunks(paths, chunks).select("id", "index", "score"), POOL * top)

@@ -116,7 +116,8 @@ def traverse(chunks: DataFrame, edges: DataFrame, scored_nodes: DataFrame, query
     frontier, reached = materialise(frontier, "frontier"), None
     for _ in range(max_hops):
         # the frontier, at most the beam, picks its edges; only their other ends are looked up
-        on = F.broadcast(frontier).join(step, F.element_at("node_ids", -1) == F.col("node")).filter(~F.array_contains("node_ids", F.col("neighbour"))).join(text, "neighbour")
+        on = F.broadcast(frontier).join(step, F.element_at("node_ids", -1) == F.col("node")).filter(~F.array_contains("node_ids", F.col("neighbour")))
+        on = materialise(on, "picked").join(text, "neighbour")
         direction = F.when(F.col("forward"), F.col("label")).otherwise(F.concat(F.lit("inverse "), "label"))
         more = lambda array, value: F.concat(array, F.array(value))
         expanded = on.select(

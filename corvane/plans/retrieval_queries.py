@@ -57,6 +57,10 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_search.annotated(corpora.chunks(spark, sf_dir), corpora.nodes(spark, sf_dir), corpora.edges(spark, sf_dir))
 
 
+def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_search.search_rows(corpora.chunks(spark, sf_dir), corpora.nodes(spark, sf_dir), corpora.edges(spark, sf_dir))
+
+
 _UNIQUE = "list_filter(x, lambda v, i: trim(regexp_replace(lower(v), '\\s+', ' ', 'g')) <> '' AND list_position(list_transform(x, lambda u: trim(regexp_replace(lower(u), '\\s+', ' ', 'g'))), trim(regexp_replace(lower(v), '\\s+', ' ', 'g'))) = i)"
 C_FIELDS = (
     C_NODES
@@ -89,18 +93,18 @@ def score_ctes(q: str) -> str:
 
 @query("chunk_search_fields", "WITH " + C_SCORES + " SELECT id, labels, aliases, metadata FROM c_texts")
 def chunk_search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_search.search_fields(annotated(spark, sf_dir)).select("id", "labels", "aliases", "metadata")
+    return search_rows(spark, sf_dir).select("id", "labels", "aliases", "metadata")
 
 
 @query("multi_field_score", "WITH " + score_ctes(GRAPH_QUERY) + " SELECT id, index::BIGINT AS index, round(score, 9) AS score FROM c_scores")
 def multi_field_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = chunk_search.chunk_scores(chunk_search.search_fields(annotated(spark, sf_dir)), GRAPH_QUERY)
+    scored = chunk_search.chunk_scores(search_rows(spark, sf_dir), GRAPH_QUERY)
     return scored.select("id", F.col("index").cast("long").alias("index"), r9("score"))
 
 
 @query("chunk_top_k", "WITH " + score_ctes(GRAPH_QUERY) + " SELECT id, round(score, 9) AS score FROM c_scores ORDER BY c_scores.score DESC, index, id LIMIT 10")
 def chunk_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = chunk_search.chunk_scores(chunk_search.search_fields(annotated(spark, sf_dir)), GRAPH_QUERY)
+    scored = chunk_search.chunk_scores(search_rows(spark, sf_dir), GRAPH_QUERY)
     return chunk_search.top_chunks(scored, 10).select("id", r9("score"))
 
 
@@ -318,7 +322,7 @@ def evidence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("relevance_cut", "WITH " + score_ctes(GRAPH_QUERY) + " SELECT id, round(score, 9) AS score FROM c_scores WHERE score >= 0.05e0 ORDER BY c_scores.score DESC, index, id LIMIT 5")
 def relevance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = chunk_search.chunk_scores(chunk_search.search_fields(annotated(spark, sf_dir)), GRAPH_QUERY)
+    scored = chunk_search.chunk_scores(search_rows(spark, sf_dir), GRAPH_QUERY)
     return chunk_search.top_chunks(scored.filter(F.col("score") >= hybrid.LEAST_RELEVANCE), 5).select("id", r9("score"))
 
 
