@@ -133,11 +133,16 @@ def traverse(chunks: DataFrame, edges: DataFrame, scored_nodes: DataFrame, query
     return deduplicated(reached)
 
 
+def dealt(nodes: DataFrame) -> DataFrame:
+    """The nodes as a table of a file for each core: millions fit in one file, which a single task would read and match."""
+    return materialise(nodes.repartition(nodes.sparkSession.sparkContext.defaultParallelism, "id"), "dealt")
+
+
 def graph_paths(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, max_hops: int = 2, top_paths: int = 5, query_vector: Sequence[float] | None = None) -> DataFrame:
     """The best paths with evidence: node_ids, edge_ids, chunk_ids, score."""
     if min(max_hops, top_paths) < 1:
         raise ValueError("max_hops and top_paths must be positive")
-    scored = materialise(seed_scores(nodes, query, query_vector), "seed-scores")
+    scored = materialise(seed_scores(dealt(nodes), query, query_vector), "seed-scores")
     candidates = materialise(traverse(chunks, edges, scored, query, max_hops, max(BEAM, 5 * top_paths)), "candidates")
     found = ranked(candidates, chunks, query).filter(F.size("chunk_ids") > 0)
     return best_paths(found, top_paths).select("node_ids", "edge_ids", "chunk_ids", "score")
