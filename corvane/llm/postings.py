@@ -35,7 +35,8 @@ def members_of(postings: DataFrame) -> DataFrame:
     lists = postings.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("list"), F.min("fp").alias("least")).filter("m > 1")
     # inverted keys, as in the rounds of components: a long list can be split among the tasks of the join
     lists = lists.select(F.bitwise_not("key").alias("k"), "list", F.ceil(F.col("m") / MEMBERS).cast("int").alias("parts"), "least")
-    own = postings.select(F.bitwise_not("key").alias("k"), "fp").join(lists, "k")
+    # Spark sizes exploded rows as those they come from, and would take all postings for small enough to broadcast
+    own = postings.select(F.bitwise_not("key").alias("k"), "fp").hint("merge").join(lists, "k")
     return materialise(own.select("list", "fp", "parts", "least").distinct(), "lists")
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from corvane.llm import simhash
 from corvane.llm.components import components
@@ -94,6 +95,14 @@ def test_links_span_planted_clusters(spark):
     assert [got[s] for s in signed] == brute_components(list(range(len(prints))), prints)
 
 
+def test_exploded_postings_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash.postings, "materialise", lambda df, name: df)
+    fps = spark.range(1000).select(F.col("id").alias("fp"))
+    members = simhash.postings.members_of(fps.select(F.explode(simhash.posting_keys(F.col("fp"), 4)).alias("key"), "fp"))
+    assert "Broadcast" not in members._jdf.queryExecution().sparkPlan().toString()
+    assert members.count() > 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0

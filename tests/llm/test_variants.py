@@ -93,3 +93,8 @@ def test_long_words_are_keyed_by_hashes(spark, monkeypatch):
 def test_no_words(spark):
     assert variants.group_variants(spark.createDataFrame([], "word string, n long")).collect() == []
     assert variants.words(spark.createDataFrame([], "doc_id long, text string"), 31).collect() == []
+
+
+def test_deletions_are_never_broadcast(spark):
+    counted = spark.range(1000).selectExpr("concat('harbour', id) as word", "id + 2 as n")
+    assert "Broadcast" not in variants._short_pairs(counted)._jdf.queryExecution().sparkPlan().toString()
