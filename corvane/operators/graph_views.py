@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import entity_key, type_key
 from corvane.operators.ranking import global_rank
+from corvane.sources.shared import materialise
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -134,13 +135,21 @@ def combine_edges(edges: DataFrame, provenance: bool = True) -> DataFrame:
 
 
 def numbered(rows: DataFrame, used: DataFrame) -> DataFrame:
-    """Edges (ord, ...) with ``id``: in order the next free ``edge-0001`` that no id of ``used`` holds."""
+    """Edges (ord, ...) with ``id``: in order the next free ``edge-0001`` that no id of ``used`` holds.
+
+    Beyond the largest number taken the free ones run on, so that only rows that fill a gap before it meet a table of them.
+    """
     rows = global_rank(rows, F.col("ord"), name="n")
-    taken = used.filter(F.col("id").rlike(r"^edge-\d{4,}$")).select(F.expr("try_cast(substr(id, 6) as bigint)").alias("number")).distinct()
-    # as many numbers as there are rows and taken ones suffice
-    numbers = rows.sparkSession.range(1, rows.count() + taken.count() + 1).withColumnRenamed("id", "number")
-    free = global_rank(numbers.join(taken, "number", "left_anti"), F.col("number"), name="n")
-    return rows.join(free, "n").withColumn("id", F.format_string("edge-%04d", "number")).drop("n", "number")
+    taken = used.filter(F.col("id").rlike(r"^edge-\d{4,}$")).select(F.expr("try_cast(substr(id, 6) as bigint)").alias("number")).filter("number > 0").distinct()
+    taken = materialise(taken, "taken")
+    total, last = taken.agg(F.count("*"), F.coalesce(F.max("number"), F.lit(0))).first()
+    placed = rows.filter(F.col("n") > last - total).withColumn("number", F.col("n") + total)
+    if last > total:
+        # as many numbers as there are rows and taken ones suffice
+        numbers = rows.sparkSession.range(1, min(last, rows.count() + total) + 1).withColumnRenamed("id", "number")
+        free = global_rank(numbers.join(taken, "number", "left_anti"), F.col("number"), name="n")
+        placed = placed.unionByName(rows.filter(F.col("n") <= last - total).join(free, "n").select(*placed.columns))
+    return placed.withColumn("id", F.format_string("edge-%04d", "number")).drop("n", "number")
 
 
 def merge_edge_sets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -148,12 +157,16 @@ def merge_edge_sets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     and label: a stored edge keeps its id and properties and gets the new chunk ids behind its own; new edges get the next
     free numbers in order. Only the ids that stored edges hold matter, not how they came by them."""
     key = ["source", "target", "label"]
-    fresh = incoming.groupBy(*key).agg(_ordered("properties", "chunk_ids").alias("p"))
-    fresh = fresh.select(*key, F.col("p")[0]["ord"].alias("ord"), F.col("p")[0]["properties"].alias("properties"), F.array_distinct(_all(F.col("p"), "chunk_ids")).alias("chunk_ids"))
-    more = fresh.select(*key, F.col("chunk_ids").alias("more"))
     none = F.array().cast("array<string>")
+
+    def merged(how: str) -> DataFrame:
+        # incoming edges part before they meet, so that neither side carries the other's
+        rows = incoming.join(stored.select(*key), key, how).groupBy(*key).agg(_ordered("properties", "chunk_ids").alias("p"))
+        return rows.select(*key, F.col("p")[0]["ord"].alias("ord"), F.col("p")[0]["properties"].alias("properties"), F.array_distinct(_all(F.col("p"), "chunk_ids")).alias("chunk_ids"))
+
+    more = merged("left_semi").select(*key, F.col("chunk_ids").alias("more"))
     kept = stored.join(more, key, "left").select("id", *key, "properties", F.array_distinct(F.concat(F.coalesce("chunk_ids", none), F.coalesce("more", none))).alias("chunk_ids"))
-    return kept.unionByName(numbered(fresh.join(stored.select(*key), key, "left_anti"), stored).select("id", *key, "properties", "chunk_ids"))
+    return kept.unionByName(numbered(merged("left_anti"), stored).select("id", *key, "properties", "chunk_ids"))
 
 
 def combine_nodes(nodes: DataFrame) -> DataFrame:

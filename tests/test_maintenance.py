@@ -233,6 +233,34 @@ def test_edge_sets_take_the_next_free_numbers(spark):
     }
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_free_numbers_against_a_plain_model(spark, seed):
+    """Gaps before the largest taken number are filled in order, then the numbers run on; rows that are ranked do not move again."""
+    rng = random.Random(seed)
+    used = rng.sample(range(40), rng.choice([0, 5, 20])) + rng.choice([[], [5_000_000_000]])
+    n = rng.choice([0, 3, 30])
+    rows = spark.createDataFrame([(i, f"row {i}") for i in rng.sample(range(1000), n)], "ord int, name string")
+    ids = [f"edge-{u:04d}" for u in used] + ["edge-7", "own", "edge-" + "9" * 30]
+    got = graph_views.numbered(rows, spark.createDataFrame([(i,) for i in ids], "id string"))
+    free = [i for i in range(1, 100) if i not in used]
+    want = {o: f"edge-{free[k]:04d}" for k, o in enumerate(sorted(r["ord"] for r in rows.collect()))}
+    assert {r["ord"]: r["id"] for r in got.collect()} == want
+
+
+def test_ranked_rows_move_once(spark):
+    from corvane.operators.ranking import global_rank
+
+    plan = global_rank(spark.range(100), F.desc("id"))._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_known_edges_meet_stored_ones_alone(spark):
+    stored = spark.createDataFrame([("edge-0001", "a", "b", "p", None, ["c1"])], EDGES)
+    incoming = spark.createDataFrame([(1, "a", "b", "p", None, ["c2"]), (2, "x", "y", "p", None, ["c3"])], "ord int, source string, target string, label string, properties string, chunk_ids array<string>")
+    plan = graph_views.merge_edge_sets(stored, incoming)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 @pytest.mark.parametrize("size", [1, 3, 7, 500])
 def test_rolling_tail_is_the_end_of_all_before(spark, size):
     rng = random.Random(size)
