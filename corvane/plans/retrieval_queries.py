@@ -218,12 +218,13 @@ rb AS (SELECT key, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS ran
 SELECT key AS doc_id, round(sum(1e0 / (60 + rank)), 9) AS fused, min(rank)::BIGINT AS best_rank FROM (FROM ra UNION ALL FROM rb) GROUP BY key""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = bm25.bm25_scores(docs, {"a": "the and of", "b": "with this that"}, {"score": F.col("text")}, keep=["doc_id"])
 
     def pool(q):
-        scored = bm25.bm25_scores(docs, q, {"score": F.col("text")}).filter("score > 0").select(F.col("doc_id").alias("id"), F.lit(0).alias("index"), r9("score"))
-        return scored.orderBy(F.desc("score"), "id").limit(15)
+        own = scored.filter(F.col(f"score.{q}") > 0).select(F.col("doc_id").alias("id"), F.lit(0).alias("index"), F.round(f"score.{q}", 9).alias("score"))
+        return own.orderBy(F.desc("score"), "id").limit(15)
 
-    return hybrid.fuse(pool("the and of"), pool("with this that")).select(F.col("id").alias("doc_id"), r9("fused"), F.col("best_rank").cast("long").alias("best_rank"))
+    return hybrid.fuse(pool("a"), pool("b")).select(F.col("id").alias("doc_id"), r9("fused"), F.col("best_rank").cast("long").alias("best_rank"))
 
 
 @query("hybrid_topk")
