bm25_rank: texts are read once, the ranking is dealt from counts

Symptom: the documents were read and tokenised three times: for the statistics, for the sample that sets the ranges of the ranking, and for the rows.
Evidence: three stages of 49 task seconds over the documents on the large input (0.51 GB); 282 CPU seconds a GB, 28 s. Growth was in proportion before: power 0.99 for CPU seconds, 1.00 for shuffle.
Fix: the query names the one column it keeps, so bm25_scores writes the counts and the statistics, the sample and the rows read those.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 478 -> 294 s, shuffle 0.01 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 2.91 -> 1.00 GB, longest task 21 -> 23 s, most memory of a task 42 -> 42 MB; at 6 GB of input CPU 2105 -> 827 s, shuffle 0.04 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 17.71 -> 6.05 GB, longest task 24 -> 24 s, most memory of a task 50 -> 67 MB; with hot keys, at 1 GB of input CPU 227 -> 179 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.54 -> 0.19 GB, longest task 9 -> 9 s, most memory of a task 38 -> 38 MB.

@@ -37,7 +37,7 @@ def r9(c: str):
 @query("bm25_rank", "WITH " + sql.bm25_ctes("b", "documents", "doc_id", "text", QUERY) + "SELECT key AS doc_id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, key)::BIGINT AS rank FROM b")
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = bm25.bm25_scores(docs, QUERY, {"score": F.col("text")}).select("doc_id", r9("score"))
+    scored = bm25.bm25_scores(docs, QUERY, {"score": F.col("text")}, keep=["doc_id"]).select("doc_id", r9("score"))
     return ranking.global_rank(scored, F.desc("score"), F.col("doc_id"))
 
 
