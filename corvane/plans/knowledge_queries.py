@@ -175,9 +175,10 @@ def embedding_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
     vector = lambda t: F.array(F.char_length(t).cast("float"))
     cache = docs.filter("doc_id % 3 = 0").select("id", F.lit("m").alias("embedding_model"), F.sha2(F.col("text").cast("binary"), 256).alias("embedding_input_hash"), vector(F.col("text")).alias("vector"))
-    found = sync.cached_vectors(docs, cache, "m", vector)
-    known = cache.select("embedding_input_hash").distinct().withColumn("known", F.lit(True))
-    own = cache.select("id").withColumn("own", F.lit(True))
+    stored = materialise(cache, "cache")
+    found = sync.cached_vectors(docs, stored, "m", vector)
+    known = stored.select("embedding_input_hash").distinct().withColumn("known", F.lit(True))
+    own = stored.select("id").withColumn("own", F.lit(True))
     rows = found.join(known, "embedding_input_hash", "left").join(own, "id", "left")
     return rows.select("id", F.get("vector", 0).cast("double").alias("size"), F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("known", F.lit(False)).alias("known"))
 

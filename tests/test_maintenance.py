@@ -1,6 +1,7 @@
 """Exclusive commits, cached extraction, promoted types, rebuilds, node texts, lookups, tails, numbered lines."""
 
 import base64
+import hashlib
 import json
 import random
 import re
@@ -355,3 +356,47 @@ def test_context_prompts_and_terms(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"terms": ["a", " "]}))
     with pytest.raises(ValueError, match="empty term"):
         files.read_terms(spark, str(tmp_path / "b.json"))
+
+
+def test_cached_vectors_against_a_plain_model(spark):
+    """Nulls, ids that repeat, cached rows that repeat or lack a vector; every text that is nowhere is embedded once."""
+    from corvane.operators import sync
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embed(text):
+        asked.add(1)
+        return [float(len(text))]
+
+    h = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    inputs = [("a", "one"), ("a", "two"), ("b", "one"), ("b", "one"), ("c", "new"), ("d", "new"), (None, "new"), (None, "one"), ("e", None), ("f", ""), ("g", "bare"), ("a", None)]
+    cache = [("a", "m", "one", [1.0]), ("a", "m", "one", [2.0]), ("z", "m", "one", [9.0]), ("c", "other", "new", [7.0]), ("y", "m", "two", [3.0]), ("x", "m", "two", [4.0]), ("e", "m", None, [5.0]), (None, "m", "", [6.0]), ("g", "m", "bare", None)]
+    stored = spark.createDataFrame([(i, m, h(t), v) for i, m, t, v in cache], "id string, embedding_model string, embedding_input_hash string, vector array<float>")
+    got = sync.cached_vectors(spark.createDataFrame(inputs, "id string, text string"), stored, "m", embed)
+    want = []
+    for i, t in inputs:
+        mine = [c for c in cache if c[1] == "m" and t is not None and c[2] == t]
+        same = min(((c[0], c[3]) for c in mine if c[0] is not None), key=lambda x: x[0], default=(None, None))[1]
+        for own in [c[3] for c in mine if i is not None and c[0] == i] or [None]:
+            want.append((i, "m", h(t), own or same or (None if t is None else [float(len(t))])))
+    # of one id's vectors any may stand for the same text elsewhere
+    rows = [(*r[:3], [1.0] if r[0] != "a" and r["vector"] == [2.0] else r["vector"]) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str) and asked.value == 3  # "new", "" and "bare"
+
+
+def test_embedding_cache_lookup_reads_texts_for_hashes_and_for_what_is_missing(spark, tmp_path):
+    """Twice in all, beside the cache, which is written once; rows and ids that repeat keep their number."""
+    from corvane.plans import knowledge_queries
+
+    docs = [(i, f"text {i % 7}") for i in range(30)] + [(3, "text 3"), (3, "other"), (None, "text 1"), (31, None), (33, None), (32, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = knowledge_queries.embedding_cache_lookup(spark, str(tmp_path))
+    assert got._jdf.queryExecution().sparkPlan().toString().count("text:string") == 2
+    cached = [(i, t) for i, t in docs if i is not None and i % 3 == 0]
+    want = []
+    for i, t in docs:
+        times = max(1, sum(c == (i, t) for c in cached if t is not None)) * max(1, sum(c[0] == i for c in cached))
+        row = (None if i is None else str(i), None if t is None else float(len(t)), any(c[0] == i for c in cached), t is not None and any(c[1] == t for c in cached))
+        want += [row] * times
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
